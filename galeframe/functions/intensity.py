@@ -4,9 +4,7 @@ where the argument is called vmax_kt, in m/s where it is called vmax_ms)."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe import constants as K
@@ -56,16 +54,11 @@ def pressure_regression(pressure: Column, lat: Column, lon: Column, vmax_kt: Col
 
 
 def piecewise_linear(x: Column, xs: list[float], ys: list[float]) -> Column:
-    """Linear between the knots, constant outside: one hat function per knot."""
-    hats = []
-    for i, (xk, yk) in enumerate(zip(xs, ys)):
-        weight = F.lit(1.0)
-        if i > 0:
-            weight = weight - F.greatest(F.lit(0.0), xk - x) / (xk - xs[i - 1])
-        if i + 1 < len(xs):
-            weight = weight - F.greatest(F.lit(0.0), x - xk) / (xs[i + 1] - xk)
-        hats.append(yk * F.greatest(F.lit(0.0), weight))
-    return F.when(x.isNotNull(), reduce(lambda a, b: a + b, hats))
+    """Linear between the knots, constant outside. x should be a plain column: it is read per knot."""
+    out = F.when(x <= xs[0], ys[0])
+    for (xa, ya), (xb, yb) in zip(zip(xs, ys), zip(xs[1:], ys[1:])):
+        out = out.when(x <= xb, ya + (x - xa) * ((yb - ya) / (xb - xa)))
+    return out.when(x > xs[-1], ys[-1])
 
 
 def rmw_from_pressure(pressure: Column) -> Column:
@@ -106,24 +99,38 @@ def roci_knaff(lat: Column, vmax_kt: Column) -> Column:
     return F.when(r.isNotNull(), F.greatest(r, F.lit(20.0)))
 
 
-def ensemble_estimates(lat, lon, vmax_kt, u850, v850, u250, v250) -> dict[str, Column]:
-    """Weighted mean and spread of the single methods."""
-    p_fit = pressure_regression(F.lit(None).cast("double"), lat, lon, vmax_kt)
-    p_dvo = pressure_dvorak(vmax_kt)
-    r_fit, r_wil = rmw_from_pressure(p_fit), rmw_willoughby(lat, vmax_kt)
-    r_shr = rmw_shear(vmax_kt, u850, v850, u250, v250)
-    o_fit, o_kna = roci_from_pressure(p_fit), roci_knaff(lat, vmax_kt)
-    r_mid = (r_fit + r_wil + r_shr) / 3
-    spread = sum(((r - r_mid) * (r - r_mid) for r in (r_wil, r_shr)), (r_fit - r_mid) * (r_fit - r_mid))
-    rmw = 0.4 * r_fit + 0.3 * r_wil + 0.3 * r_shr
-    return {
-        "central_pressure": 0.6 * p_fit + 0.4 * p_dvo,
-        "central_pressure_std": F.abs(p_fit - p_dvo) / 2,
-        "rmw": rmw,
-        "rmw_std": F.sqrt(spread / 3),
-        "roci": F.greatest(rmw, 0.5 * o_fit + 0.5 * o_kna),
-        "roci_std": F.abs(o_fit - o_kna) / 2,
-    }
+def with_ensemble_estimates(points: DataFrame, prefix: str = "") -> DataFrame:
+    """Adds the weighted means and spreads of the single methods, six columns. The methods are laid
+    down in steps, so that each is computed once and the generated code stays small."""
+    lat, lon, kt = F.col("lat"), F.col("lon"), F.col("_kt")
+    c = F.col
+    staged = (
+        points.withColumn("_kt", ms_to_kt(c("vmax_ms")))
+        .withColumns({
+            "_p_fit": pressure_regression(F.lit(None).cast("double"), lat, lon, kt),
+            "_p_dvo": pressure_dvorak(kt),
+            "_r_wil": rmw_willoughby(lat, kt),
+            "_r_shr": rmw_shear(kt, c("u850"), c("v850"), c("u250"), c("v250")),
+            "_o_kna": roci_knaff(lat, kt),
+        })
+        .withColumns({"_r_fit": rmw_from_pressure(c("_p_fit")), "_o_fit": roci_from_pressure(c("_p_fit"))})
+        .withColumns({
+            "_rmw": 0.4 * c("_r_fit") + 0.3 * c("_r_wil") + 0.3 * c("_r_shr"),
+            "_r_mid": (c("_r_fit") + c("_r_wil") + c("_r_shr")) / 3,
+        })
+    )
+
+    def off(name: str) -> Column:
+        return (c(name) - c("_r_mid")) * (c(name) - c("_r_mid"))
+
+    return staged.withColumns({
+        prefix + "central_pressure": 0.6 * c("_p_fit") + 0.4 * c("_p_dvo"),
+        prefix + "central_pressure_std": F.abs(c("_p_fit") - c("_p_dvo")) / 2,
+        prefix + "rmw": c("_rmw"),
+        prefix + "rmw_std": F.sqrt((off("_r_fit") + off("_r_wil") + off("_r_shr")) / 3),
+        prefix + "roci": F.greatest(c("_rmw"), 0.5 * c("_o_fit") + 0.5 * c("_o_kna")),
+        prefix + "roci_std": F.abs(c("_o_fit") - c("_o_kna")) / 2,
+    }).drop("_kt", "_p_fit", "_p_dvo", "_r_wil", "_r_shr", "_o_kna", "_r_fit", "_o_fit", "_rmw", "_r_mid")
 
 
 def environmental_pressure(lat: Column, roci_nm: Column | None = None, method: str = "standard") -> Column:

@@ -66,18 +66,14 @@ def edge_buckets(df: DataFrame, keys: Sequence[str], col: str, parts: int = 64)
     ).drop("_edges")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], col: str, out: str) -> DataFrame:
-    """Distinct values of col with their average 1-based rank inside keys and the row count _n."""
+def average_ranks(df: DataFrame, keys: Sequence[str], col: str, copies: str, out: str) -> DataFrame:
+    """Distinct values of col with their average 1-based rank inside keys, where each row of df stands
+    for a number of equal rows given by the column copies. At least one key."""
     keys = list(keys)
-    key = keys or ["_all"]
-    base = df.filter(F.col(col).isNotNull())
-    if not keys:
-        base = base.withColumn("_all", F.lit(0))
-    counts = base.groupBy(*key, col).agg(F.count("*").alias("_n"))
-    cut = edge_buckets(counts, key, col)
-    total = running_total(cut, key, F.col("_bucket"), [col], F.col("_n"), "_upto")
-    ranked = total.withColumn(out, F.col("_upto") - (F.col("_n") - 1) / 2.0).drop("_upto")
-    return ranked if keys else ranked.drop("_all")
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.sum(copies).alias("_n"))
+    cut = edge_buckets(counts, keys, col)
+    total = running_total(cut, keys, F.col("_bucket"), [col], F.col("_n"), "_upto")
+    return total.select(*keys, col, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
 
 
 # A group of at most this many rows is ranked whole; larger ones only between sketch brackets.
@@ -156,3 +152,24 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
     first = F.greatest(F.floor(F.col(left_span[0]) / width), F.floor(F.col(right_span[0]) / width))
     touch = (F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(left_span[1]) >= F.col(right_span[0]))
     return a.join(b, [*keys, "_cell"]).filter(touch & (F.col("_cell") == first)).drop("_cell")
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str,
+                   out: str) -> DataFrame:
+    """value of the row before, along a unique order inside keys; NULL for the first row. bucket must
+    not decrease along the order. Inside a bucket this is a lag; the first row of a bucket takes the
+    last row of the bucket before."""
+    keys = list(keys)
+    cut = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("_bucket")
+    tails = (
+        cut.groupBy(*keys, "_bucket").agg(F.max(F.struct(*order, F.col(value).alias("_last"))).alias("_t"))
+        .select(*keys, "_bucket", F.lag("_t._last").over(across).alias("_carry"))
+    )
+    return (
+        cut.withColumns({"_lag": F.lag(value).over(inside), "_rn": F.row_number().over(inside)})
+        .join(tails, [*keys, "_bucket"])
+        .withColumn(out, F.when(F.col("_rn") > 1, F.col("_lag")).otherwise(F.col("_carry")))
+        .drop("_bucket", "_lag", "_rn", "_carry")
+    )

@@ -94,22 +94,23 @@ UNITS = {
 
 
 def add_tc_parameters(points: DataFrame, use_ensemble: bool = True, env_method: str = "standard") -> DataFrame:
-    """The eight derived columns for points with a latitude; the others stay missing. One projection."""
-    lat, lon = F.col("lat"), F.col("lon")
-    v = intensity.ms_to_kt(F.col("vmax_ms"))
+    """The eight derived columns for points with a latitude; the others stay missing. No shuffle."""
+    lat = F.col("lat")
     if use_ensemble:
-        est = intensity.ensemble_estimates(lat, lon, v, *[F.col(c) for c in ("u850", "v850", "u250", "v250")])
+        out = intensity.with_ensemble_estimates(points)
     else:
-        p = intensity.pressure_regression(F.lit(None).cast("double"), lat, lon, v)
         zero = F.lit(0.0)
-        est = {
-            "central_pressure": p, "central_pressure_std": zero,
-            "rmw": intensity.rmw_from_pressure(p), "rmw_std": zero,
-            "roci": intensity.roci_from_pressure(p), "roci_std": zero,
-        }
-    env = intensity.environmental_pressure(lat, est["roci"], env_method)
-    est = {**est, "environmental_pressure": env, "pressure_deficit": env - est["central_pressure"]}
-    out = points.withColumns({name: F.when(lat.isNotNull(), est[name]) for name in UNITS})
+        p = F.col("central_pressure")
+        out = (
+            points.withColumn("central_pressure", intensity.pressure_regression(
+                F.lit(None).cast("double"), lat, F.col("lon"), intensity.ms_to_kt(F.col("vmax_ms"))))
+            .withColumns({"central_pressure_std": zero, "rmw": intensity.rmw_from_pressure(p), "rmw_std": zero,
+                          "roci": intensity.roci_from_pressure(p), "roci_std": zero})
+        )
+    env = intensity.environmental_pressure(lat, F.col("roci"), env_method)
+    out = out.withColumn("environmental_pressure", env).withColumn(
+        "pressure_deficit", F.col("environmental_pressure") - F.col("central_pressure"))
+    out = out.withColumns({name: F.when(lat.isNotNull(), F.col(name)) for name in UNITS})
     for name, (unit, text) in UNITS.items():
         out = out.withMetadata(name, {"units": unit, "long_name": text})
     return out

@@ -125,7 +125,8 @@ def _scalar(name: str, columns: dict[str, str], build):
 
     @query(name, sql)
     def _(spark, sf_dir):
-        return _pts(spark, sf_dir).select("event_id", *[rnd(c).alias(n) for n, c in build().items()])
+        pts = _pts(spark, sf_dir).withColumn("_kt", intensity.ms_to_kt(F.col("vmax_ms"))).withColumn("_p_fit", _p_fit())
+        return pts.select("event_id", *[rnd(c).alias(n) for n, c in build().items()])
 
 
 def _c(name):
@@ -133,7 +134,7 @@ def _c(name):
 
 
 def _kt():
-    return intensity.ms_to_kt(_c("vmax_ms"))
+    return _c("_kt")
 
 
 def _p_fit():
@@ -142,15 +143,20 @@ def _p_fit():
 
 _scalar("p8_pressure_from_wind", {"pressure": "p_fit"}, lambda: {"pressure": _p_fit()})
 _scalar("p9_piecewise_linear", {"rmw_nm": "r_fit", "roci_nm": "o_fit"},
-        lambda: {"rmw_nm": intensity.rmw_from_pressure(_p_fit()), "roci_nm": intensity.roci_from_pressure(_p_fit())})
+        lambda: {"rmw_nm": intensity.rmw_from_pressure(_c("_p_fit")), "roci_nm": intensity.roci_from_pressure(_c("_p_fit"))})
 _scalar("p10_pressure_dvorak", {"pressure": "p_dvo"}, lambda: {"pressure": intensity.pressure_dvorak(_kt())})
 _scalar("p11_rmw_willoughby", {"rmw_nm": "r_wil"}, lambda: {"rmw_nm": intensity.rmw_willoughby(_c("lat"), _kt())})
 _scalar("p12_rmw_shear", {"rmw_nm": "r_shr"},
         lambda: {"rmw_nm": intensity.rmw_shear(_kt(), _c("u850"), _c("v850"), _c("u250"), _c("v250"))})
 _scalar("p13_roci_knaff", {"roci_nm": "o_kna"}, lambda: {"roci_nm": intensity.roci_knaff(_c("lat"), _kt())})
 _ENS = {"central_pressure": "cp", "central_pressure_std": "cp_std", "rmw": "rmw_e", "rmw_std": "rmw_s", "roci": "roci_e", "roci_std": "o_std"}
-_scalar("p14_ensemble_estimates", _ENS, lambda: intensity.ensemble_estimates(
-    _c("lat"), _c("lon"), _kt(), _c("u850"), _c("v850"), _c("u250"), _c("v250")))
+
+
+@query("p14_ensemble_estimates", ora("fx_points", "SELECT event_id, " + ", ".join(R(e, n) for n, e in _ENS.items()) + " FROM est", EST_CTES))
+def _(spark, sf_dir):
+    return intensity.with_ensemble_estimates(_pts(spark, sf_dir)).select("event_id", *[rnd(n).alias(n) for n in _ENS])
+
+
 _scalar("p15_environmental_pressure", {
     "standard": "env_p",
     "gradient": "CASE WHEN lat IS NOT NULL THEN GREATEST(1005.0, LEAST(1020.0, 1015.0 - 0.5 * (ABS(lat) - 30.0) * (ABS(lat) - 30.0) / 900.0)) END",
@@ -321,10 +327,10 @@ _thermo("p27_genesis_index", {
     lambda: {"gpi": thermo.genesis_index((_c("sst") - 290) * 8, 0.5 + _c("month") / 10, _c("month") / 10, (_c("year") - 1990).cast("double")),
              "gpi_2004": thermo.genesis_index_2004((_c("sst") - 290) * 8, thermo.relative_humidity(_c("t_mid"), _c("q_mid"), F.lit(_P_MID)) * 100,
                                                    _c("month") / 1e5, (_c("year") - 1990).cast("double"))}, 6)
-_VI = "CASE WHEN sst - 297 > 0 THEN month * q_mid / (sst - 297) END"
+_VI = "CASE WHEN sst - 297 > 0 THEN SQRT(month) * q_mid / (sst - 297) END"
 _thermo("p28_ventilation_index", {"vent": _VI, "rejects": f"CASE WHEN {_VI} >= 1 THEN 1 ELSE 0 END"},
-        lambda: {"vent": intensity.ventilation_index(_c("month"), _c("q_mid"), _c("sst") - 297),
-                 "rejects": F.when(intensity.ventilation_index(_c("month"), _c("q_mid"), _c("sst") - 297) >= 1, 1).otherwise(0)}, 6)
+        lambda: {"vent": intensity.ventilation_index(F.sqrt("month"), _c("q_mid"), _c("sst") - 297),
+                 "rejects": F.when(intensity.ventilation_index(F.sqrt("month"), _c("q_mid"), _c("sst") - 297) >= 1, 1).otherwise(0)})
 _thermo("p30_inner_core_moisture", {"m": f"GREATEST(0.0, 0.20 / (1 + EXP(-10 * ({_RH} - 0.55))) + 0.125)"},
         lambda: {"m": intensity.inner_core_moisture(thermo.relative_humidity(_c("t_mid"), _c("q_mid"), F.lit(_P_MID)))})
 
@@ -347,7 +353,7 @@ def _(spark, sf_dir):
 # --- names, dates, arrays ---------------------------------------------------------------------
 
 @query("d1_date_int", ora("fx_files", """
-SELECT file_name, CAST(strptime(s, CASE WHEN freq = 'day' THEN '%Y%m%d' ELSE '%Y%m' END) AS DATE)::STRING AS d,
+SELECT file_name, CAST(CASE WHEN freq = 'day' THEN strptime(s, '%Y%m%d') ELSE strptime(CONCAT(s, '01'), '%Y%m%d') END AS DATE)::STRING AS d,
   CAST(s AS BIGINT) AS back FROM (SELECT file_name, freq, regexp_extract(file_name, '_(\\d{6,8})-(\\d{6,8})\\.nc$', 2) AS s FROM fx_files) WHERE s <> ''"""))
 def _(spark, sf_dir):
     s = F.regexp_extract("file_name", r"_(\d{6,8})-(\d{6,8})\.nc$", 2)
@@ -423,7 +429,7 @@ def _(spark, sf_dir):
 SELECT storm, array_to_string(list_sort(list_distinct(cats)), ',') AS unique_sorted, list_bool_or(hits) AS any_hit, list_bool_and(hits) AS all_hit,
   CAST(CASE WHEN list_position(hits, true) > 0 THEN list_position(hits, true) - 1 END AS INT) AS first_hit,
   CAST(CASE WHEN list_position(list_reverse(hits), true) > 0 THEN len(hits) - list_position(list_reverse(hits), true) END AS INT) AS last_hit,
-  {R('COALESCE(list_sum(list_transform(range(1, len(lons)), i -> ABS(lons[i + 1] - lons[i]))), 0)', 'path')}, {R('list_sum(lons)', 'last_cumsum')}
+  {R('COALESCE(list_sum(list_transform(range(1, len(lons)), lambda i: ABS(lons[i + 1] - lons[i]))), 0)', 'path')}, {R('list_sum(lons)', 'last_cumsum')}
 FROM (SELECT storm, list(lon ORDER BY step) AS lons, list(COALESCE(vmax_ms >= 33, false) ORDER BY step) AS hits, list(CAST(FLOOR(lon / 90) AS INT) ORDER BY step) AS cats
       FROM fx_points GROUP BY storm)"""))
 def _(spark, sf_dir):

@@ -82,7 +82,7 @@ FROM lineitem GROUP BY 1, 2, 3, 4""",
     "fx_best": """
 SELECT CASE MOD(l_suppkey, 7) WHEN 0 THEN 'AU' WHEN 1 THEN 'EP' WHEN 2 THEN 'NA' WHEN 3 THEN 'NI'
             WHEN 4 THEN 'SI' WHEN 5 THEN 'SP' ELSE 'WP' END AS basin,
-       CAST(2015 + MOD(l_orderkey, 4) AS INT) AS year, l_orderkey * 8 + l_linenumber AS point_id,
+       CAST(2015 + MOD(l_orderkey, 4) AS INT) AS year, CONCAT(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS point_id,
        CASE WHEN MOD(l_orderkey, 29) = 0 THEN NULL ELSE 10 + l_quantity * 1.2 END AS vmax_ms
 FROM lineitem""",
 }
