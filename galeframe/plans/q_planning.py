@@ -199,7 +199,7 @@ def _diff_sql(v, must):
 
 @query("j17_draws_differ", ora("fx_points", f"""
 SELECT draw_a, draw_b, variable, must_differ, BOOL_AND(same) AS identical, COUNT(*) FILTER (WHERE NOT same) AS n_differ, {R('MAX(gap)', 'max_gap')}, {R('AVG(gap)', 'mean_gap')},
-  must_differ AND BOOL_AND(same) AS problem FROM ({' UNION ALL '.join(_diff_sql(v, v in D.MUST_DIFFER) for v in D.MUST_DIFFER + D.MAY_AGREE)}) GROUP BY ALL""", _TRK))
+  must_differ AND BOOL_AND(same) AS problem FROM ({' UNION ALL '.join(_diff_sql(v, v in D.MUST_DIFFER) for v in D.MUST_DIFFER + D.MAY_AGREE)}) GROUP BY draw_a, draw_b, variable, must_differ""", _TRK))
 def _(spark, sf_dir):
     return rounded(D.draws_differ(_tracked(spark, sf_dir), []), "max_gap", "mean_gap")
 

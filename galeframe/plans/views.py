@@ -78,6 +78,19 @@ SELECT CAST(MOD(l_partkey, 6) AS INT) AS lat_ix, CAST(MOD(l_suppkey, 10) AS INT)
        AVG(296 + l_quantity / 8) AS sst, AVG(100000 + l_quantity * 30) AS psl,
        AVG(265 + l_quantity / 5) AS t_mid, AVG(0.0005 + l_discount / 50) AS q_mid
 FROM lineitem GROUP BY 1, 2, 3, 4""",
+    # validated folder tree: one row per frequency folder, M2 all incomplete, M3 all complete
+    "fx_tree": """
+SELECT CONCAT('M', CAST(m AS STRING)) AS model, CONCAT('r', CAST(v + 1 AS STRING), 'i1p1f1') AS variant,
+       CASE s WHEN 0 THEN 'historical' WHEN 1 THEN 'ssp126' ELSE 'ssp585' END AS scenario,
+       CASE q WHEN 0 THEN 'ua' WHEN 1 THEN 'tos' ELSE 'psl' END AS variable,
+       CASE g WHEN 0 THEN 'gr1' WHEN 1 THEN 'gn' WHEN 2 THEN 'gr2' ELSE 'gr' END AS grid,
+       CASE q WHEN 0 THEN 'day' WHEN 1 THEN 'Omon' ELSE 'Amon' END AS frequency,
+       ok AS complete,
+       CASE WHEN ok THEN NULL WHEN g = 0 THEN 'No files found' WHEN g = 1 THEN CONCAT('Coverage starts too late: ', CAST(2016 + v AS STRING), ', expected by: 2015')
+            ELSE CONCAT('Gap between ', CAST(2020 + v AS STRING), '12 and ', CAST(2022 + v AS STRING), '01 in a folder with a rather long name') END AS issue
+FROM (SELECT *, m = 3 OR (m <> 2 AND MOD(m * 3 + v * 7 + s * 5 + q * 11 + g * 13, 4) > 0) AS ok
+      FROM (SELECT DISTINCT MOD(o_custkey, 4) AS m, MOD(o_custkey, 5) AS v, MOD(o_custkey, 3) AS s, MOD(o_orderkey, 3) AS q,
+                   MOD(o_orderkey + o_custkey, 4) AS g FROM orders) a) t""",
     # observed storm points for model skill: one row per line item
     "fx_best": """
 SELECT CASE MOD(l_suppkey, 7) WHEN 0 THEN 'AU' WHEN 1 THEN 'EP' WHEN 2 THEN 'NA' WHEN 3 THEN 'NI'
@@ -149,3 +162,7 @@ def fields(spark, sf_dir):
 
 def best_track(spark, sf_dir):
     return _sql_view(spark, sf_dir, "fx_best", "lineitem")
+
+
+def tree(spark, sf_dir):
+    return _sql_view(spark, sf_dir, "fx_tree", "orders")
