@@ -52,36 +52,38 @@ def coverage(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
         ranges, keys, F.floor(c("start_int") / F.when(c("kind") == "day", 10000).otherwise(100)),
         ["start_int", "end_int"], "end_int", "_before")
     is_year = c("kind") == "year"
-    joined_month = F.add_months(_as_date(c("_before"), c("kind")), 1) == _as_date(c("start_int"), c("kind"))
-    joined_day = F.date_add(_as_date(c("_before"), c("kind")), 1) == _as_date(c("start_int"), c("kind"))
-    joined_year = F.floor(c("_before") / 100) + 1 == F.floor(c("start_int") / 100)
-    fits = F.when(is_year, joined_year).when(c("kind") == "month", joined_month).otherwise(joined_day)
-    gap_text = F.when(is_year, F.format_string("Gap between period ending %d and period starting %d",
-                                               F.floor(c("_before") / 100), F.floor(c("start_int") / 100))
-                      ).otherwise(F.format_string("Gap between %d and %d", "_before", "start_int"))
-    gap = F.when(c("_before").isNotNull() & ~fits, F.struct(c("start_int").alias("at"), c("end_int").alias("to"), gap_text.alias("text")))
+    before, start = _as_date(c("_before"), c("kind")), _as_date(c("start_int"), c("kind"))
+    steps = steps.withColumns({"_b": before, "_s": start}).withColumn(
+        "_next", F.when(c("kind") == "month", F.add_months("_b", 1)).otherwise(F.date_add("_b", 1)))
+    fits = F.when(is_year, F.floor(c("_before") / 100) + 1 == F.floor(c("start_int") / 100)).otherwise(c("_next") == c("_s"))
+    gap_text = F.when(is_year, F.concat(
+        F.lit("Gap between period ending "), F.floor(c("_before") / 100).cast("string"),
+        F.lit(" and period starting "), F.floor(c("start_int") / 100).cast("string"))
+    ).otherwise(F.concat(F.lit("Gap between "), c("_before").cast("string"), F.lit(" and "), c("start_int").cast("string")))
+    steps = steps.withColumn("_hole", c("_before").isNotNull() & ~fits).drop("_b", "_s", "_next")
+    gap = F.when(c("_hole"), F.struct(c("start_int").alias("at"), c("end_int").alias("to"), gap_text.alias("text")))
     g = steps.withColumn("_gap", gap).groupBy(*keys, "kind", "expected_start", "expected_end").agg(
         F.count("*").alias("n_ranges"), F.min("start_int").alias("actual_start"),
         F.max_by("end_int", F.struct("start_int", "end_int")).alias("actual_end"), F.min("_gap").alias("_first_gap"))
-    starts_late = c("actual_start") > c("expected_start")
-    ends_early = c("actual_end") < c("expected_end")
-    start_ok = ~starts_late | (~is_year & (_year(c("expected_start")) == 2015) & (_year(c("actual_start")) <= 2020))
-    end_ok = ~ends_early | (~is_year & (_year(c("expected_end")) == 2100) & (_year(c("actual_end")) >= 2095))
-
-    def shown(name: str) -> Column:
-        return F.when(is_year, F.floor(c(name) / 100)).otherwise(c(name)).cast("int")
-
-    start_text = F.when(starts_late, F.concat(
-        F.lit("Coverage starts "), F.when(start_ok, "a little").otherwise("too"), F.lit(" late: "), shown("actual_start").cast("string"),
-        F.lit(", expected by: "), shown("expected_start").cast("string")))
-    look_at_end = start_ok | is_year
-    end_text = F.when(look_at_end & ends_early, F.concat(
-        F.lit("Coverage ends "), F.when(end_ok, "a little").otherwise("too"), F.lit(" early: "), shown("actual_end").cast("string"),
-        F.lit(", expected until: "), shown("expected_end").cast("string")))
-    return g.withColumns({"start_issue": start_text, "end_issue": end_text, "_ok": start_ok & end_ok}).withColumns({
-        "gap_issue": F.when(c("_ok"), c("_first_gap.text")),
-        "complete": c("_ok") & c("_first_gap").isNull(),
-    }).drop("_ok", "_first_gap")
+    g = g.withColumns({
+        "_late": c("actual_start") > c("expected_start"), "_early": c("actual_end") < c("expected_end"),
+        "_late_ok": ~is_year & (_year(c("expected_start")) == 2015) & (_year(c("actual_start")) <= 2020),
+        "_early_ok": ~is_year & (_year(c("expected_end")) == 2100) & (_year(c("actual_end")) >= 2095),
+    }).withColumns({"_start_ok": ~c("_late") | c("_late_ok"), "_end_ok": ~c("_early") | c("_early_ok")})
+    scale = F.when(is_year, 100).otherwise(1)
+
+    def text(event: str, actual: str, wanted: str, expected: str, mild: str) -> Column:
+        return F.concat(
+            F.lit(f"Coverage {event} "), F.when(c(mild), "a little").otherwise("too"), F.lit(f" {actual}: "),
+            F.floor(c(f"actual_{expected}") / scale).cast("string"), F.lit(f", expected {wanted}: "),
+            F.floor(c(f"expected_{expected}") / scale).cast("string"))
+
+    return g.withColumns({
+        "start_issue": F.when(c("_late"), text("starts", "late", "by", "start", "_late_ok")),
+        "end_issue": F.when(c("_early") & (c("_start_ok") | is_year), text("ends", "early", "until", "end", "_early_ok")),
+        "gap_issue": F.when(c("_start_ok") & c("_end_ok"), c("_first_gap.text")),
+        "complete": c("_start_ok") & c("_end_ok") & c("_first_gap").isNull(),
+    }).drop("_late", "_early", "_late_ok", "_early_ok", "_start_ok", "_end_ok", "_first_gap")
 
 
 def fill_flags(files: DataFrame, covered: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -244,12 +246,13 @@ def flatten_tree(nested: DataFrame, levels: Sequence[str], root: str) -> DataFra
 
 
 def nest_rows(flat: DataFrame, levels: Sequence[str], leaf: str, out: str = "tree") -> DataFrame:
-    """Flat rows -> one nested map per value of the first level; the last level maps to leaf. The tree of one
-    model is one value, as large as that model's folder listing."""
+    """Flat rows -> one nested map per value of the first level; the last level maps to leaf. Meant for the
+    edge, below folders whose names come from the rule tables (scenarios, variables, grids): the map of one
+    root is then bounded by those tables. File lists stay flat."""
     current, value = flat, leaf
     for depth in range(len(levels) - 1, 0, -1):
         entry = F.struct(levels[depth], value)
-        current = current.groupBy(*levels[:depth]).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("_tree"))
+        current = current.groupBy(*levels[:depth]).agg(F.map_from_entries(F.collect_list(entry)).alias("_tree"))
         value = "_tree"
     return current.withColumnRenamed("_tree", out)
 

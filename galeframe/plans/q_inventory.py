@@ -277,8 +277,9 @@ def _(spark, sf_dir):
 
 @query("u3_flatten_tree", ora("fx_files", "SELECT model, variable, freq, file_name AS file FROM fx_files"))
 def _(spark, sf_dir):
-    flat = V.files(spark, sf_dir).groupBy("model", "variable", "freq").agg(F.collect_list("file_name").alias("files"))
-    nested = I.nest_rows(flat, ["model", "variable", "freq"], "files").select(F.create_map("model", "tree").alias("root"))
+    c = F.col
+    inner = F.create_map(c("variable"), F.create_map(c("freq"), F.array("file_name")))
+    nested = V.files(spark, sf_dir).select(F.create_map(c("model"), inner).alias("root"))
     return I.flatten_tree(nested, ["model", "variable", "freq"], "root")
 
 

@@ -12,8 +12,12 @@ from galeframe import constants as K
 from galeframe.functions import text
 from galeframe.operators.tracks import nan_to_null
 
-# fixed pattern of a raw file name: variable, frequency, model, scenario, variant, grid, start, end
-NAME_PATTERN = r"^([A-Za-z0-9]+)_([A-Za-z0-9]+)_([^_]+)_([^_]+)_([^_]+)_([^_]+)_(\d{6}|\d{8})-(\d{6}|\d{8})\.nc$"
+# fixed pattern of a raw file name: variable, frequency, model, scenario, variant, grid, start-end; six-digit
+# dates go with a monthly frequency, eight-digit ones with any other
+NAME_PATTERN = (
+    r"^[A-Za-z0-9]+_(?:(?i:[A-Za-z0-9]*mon[A-Za-z0-9]*)(?:_[^_]+){4}_\d{6}-\d{6}"
+    r"|(?![A-Za-z0-9]*(?i:mon))[A-Za-z0-9]+(?:_[^_]+){4}_\d{8}-\d{8})\.nc$"
+)
 NAME_PARTS = ["variable", "frequency", "model", "scenario", "variant", "grid"]
 
 TIME_BINS = T.StructType([
@@ -34,29 +38,29 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def scan_manifest(files: DataFrame, name_col: str) -> DataFrame:
     """Typed inventory from file names. Names off the pattern, or with impossible dates, stay as rows
     that carry an issue."""
-    name = F.element_at(F.split(F.col(name_col), "/"), -1)
-    parsed = files.select("*", *[
-        F.regexp_extract(name, NAME_PATTERN, i + 1).alias(f"_{part}") for i, part in enumerate([*NAME_PARTS, "start", "end"])
-    ])
-    monthly = text.is_monthly(F.col("_frequency"))
-    width = F.when(monthly, 6).otherwise(8)
-    fits = (F.col("_variable") != "") & (F.length("_start") == width) & (F.length("_end") == width)
-
-    def day(c: str) -> Column:
-        return F.when(fits, F.when(monthly, text.int_to_date(F.col(c), True)).otherwise(text.int_to_date(F.col(c), False)))
-
-    out = parsed.select(
+    c = F.col
+    named = files.withColumn("_name", F.element_at(F.split(c(name_col), "/"), -1)).withColumns({
+        "_fits": c("_name").rlike(NAME_PATTERN),
+        "_from": F.regexp_extract("_name", r"_(\d+)-\d+\.nc$", 1),
+        "_to": F.regexp_extract("_name", r"-(\d+)\.nc$", 1),
+    })
+
+    def day(col: str) -> Column:
+        return F.try_to_timestamp(F.when(c("_fits"), F.rpad(c(col), 8, "01")), F.lit("yyyyMMdd")).cast("date")
+
+    part = F.split("_name", "_")
+    out = named.select(
         *files.columns,
-        *[F.when(fits, F.col(f"_{p}")).alias(f"file_{p}") for p in NAME_PARTS],
-        F.when(fits, F.col("_start").try_cast("int")).alias("start_int"),
-        F.when(fits, F.col("_end").try_cast("int")).alias("end_int"),
-        day("_start").alias("start_date"), day("_end").alias("end_date"), fits.alias("_fits"), name.alias("_name"),
+        *[F.when(c("_fits"), F.get(part, F.lit(i))).alias(f"file_{p}") for i, p in enumerate(NAME_PARTS)],
+        F.when(c("_fits"), c("_from").try_cast("int")).alias("start_int"),
+        F.when(c("_fits"), c("_to").try_cast("int")).alias("end_int"),
+        day("_from").alias("start_date"), day("_to").alias("end_date"), "_fits", "_name",
     )
-    bad_date = F.col("start_date").isNull() | F.col("end_date").isNull()
+    bad_date = c("start_date").isNull() | c("end_date").isNull()
     return out.withColumn(
         "issue",
-        F.when(~F.col("_fits"), F.concat(F.lit("File '"), F.col("_name"), F.lit("' doesn't match naming convention")))
-        .when(bad_date, F.concat(F.lit("File '"), F.col("_name"), F.lit("' has invalid date format"))),
+        F.when(~c("_fits"), F.concat(F.lit("File '"), c("_name"), F.lit("' doesn't match naming convention")))
+        .when(bad_date, F.concat(F.lit("File '"), c("_name"), F.lit("' has invalid date format"))),
     ).drop("_fits", "_name")
 
 
