@@ -185,3 +185,18 @@ def predict_memory_gib(years: Column) -> Column:
 def predict_runtime_minutes(storms: Column, draws_per_batch: Column) -> Column:
     a, b, worst = K.RUNTIME_FIT
     return F.ceil((a + b * storms + worst) * (draws_per_batch / 2) * (1 + K.COST_BUFFER))
+
+
+AIR_DENSITY = 1.15  # kg m-3, near the surface
+
+
+def holland_shape(vmax: Column, deficit_hpa: Column) -> Column:
+    """Shape B of the Holland (1980) profile from peak wind and pressure deficit, within 1..2.5."""
+    b = vmax * vmax * (2.718281828459045 * AIR_DENSITY) / (deficit_hpa * 100.0)
+    return F.when(deficit_hpa > 0, clip(b, 1.0, 2.5)).otherwise(F.when(deficit_hpa.isNotNull(), F.lit(1.0)))
+
+
+def holland_speed(r_km: Column, rmw_km: Column, vmax: Column, shape: Column) -> Column:
+    """Gradient wind of the Holland profile, without the Coriolis term; vmax at the radius rmw."""
+    x = F.pow(rmw_km / F.greatest(r_km, F.lit(0.1)), shape)
+    return vmax * F.sqrt(x * F.exp(1 - x))

@@ -62,12 +62,12 @@ def subset_basins(cells: DataFrame, basins: Sequence[str]) -> DataFrame:
 
 
 def centroids(basins: DataFrame, res: float) -> DataFrame:
-    """Lattice of each basin box, both edges included, made in the row. Longitudes run in 0..360, so boxes
+    """Lattice of each basin box from its lower corner to its edges, made in the row. Longitudes run in 0..360, so boxes
     ending at 180 or 360 stay whole, and are brought to -180..180 at the end. 360 and 0 are one meridian."""
     b = F.col("_b")
 
     def axis(lo: Column, hi: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.round((hi - lo) / res).cast("int")), lambda k: lo + k * res)
+        return F.transform(F.sequence(F.lit(0), F.floor((hi - lo) / res + 1e-9).cast("int")), lambda k: lo + k * res)
 
     return (
         basins.withColumn("_b", basin_bounds(F.col("basin")))
@@ -205,11 +205,17 @@ def nearest_sources(cells: DataFrame, group: Sequence[str], value: str) -> DataF
     column (a window over one column of the grid), then the best column along the row, over an array as
     long as the grid is wide."""
     group = list(group)
+    # holes in the listing become cells that neither give nor take
+    box = cells.groupBy(*group).agg(*[f(c).alias(f"_{n}_{c}") for n, f in (("a", F.min), ("b", F.max)) for c in ("lat_ix", "lon_ix")])
+    full = box.select(*group, F.explode(F.sequence("_a_lat_ix", "_b_lat_ix")).alias("lat_ix"), "_a_lon_ix", "_b_lon_ix").select(
+        *group, "lat_ix", F.explode(F.sequence("_a_lon_ix", "_b_lon_ix")).alias("lon_ix"))
+    known = cells.select(*group, "lat_ix", "lon_ix", value, F.lit(True).alias("_listed"))
+    cells = full.join(known, [*group, "lat_ix", "lon_ix"], "left")
     here = F.when(F.col(value).isNotNull(), F.col("lat_ix"))
     w = Window.partitionBy(*group, "lon_ix").orderBy("lat_ix")
     above = F.last(here, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(here, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    cols = cells.select(*group, "lat_ix", "lon_ix", F.col(value).isNull().alias("_gap"), above.alias("_a"), below.alias("_b"))
+    cols = cells.select(*group, "lat_ix", "lon_ix", (F.col(value).isNull() & F.col("_listed").isNotNull()).alias("_gap"), above.alias("_a"), below.alias("_b"))
     take_above = F.col("_b").isNull() | (F.col("lat_ix") - F.col("_a") <= F.col("_b") - F.col("lat_ix"))
     row = F.when(F.col("_a").isNotNull() & take_above, F.col("_a")).otherwise(F.col("_b"))
     cols = cols.withColumn("_row", row)

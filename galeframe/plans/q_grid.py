@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from galeframe import constants as K
 from galeframe.functions import geo
-from galeframe.functions.intensity import ms_to_kt
 from galeframe.operators import fields as FD
 from galeframe.operators import grid as G
 from galeframe.operators import sampling as SM
@@ -28,12 +27,12 @@ def _pts(spark, sf_dir):
 _DAYS = """days AS (SELECT lat_ix, lon_ix, CAST(ts AS DATE) AS day, AVG(u250) AS u250, AVG(v250) AS v250, AVG(u850) AS u850, AVG(v850) AS v850 FROM fx_wind_daily GROUP BY ALL)"""
 
 
-_KT = ", kt AS (SELECT lat_ix, lon_ix, day, " + ", ".join(f"{w} * 1.943844 AS {w}" for w in FD.WINDS) + " FROM days)"
+_KT = ", kt AS (SELECT lat_ix, lon_ix, day, " + ", ".join(f"{w} * 1.94384449 AS {w}" for w in FD.WINDS) + " FROM days)"
 
 
 def _days_kt(spark, sf_dir):
     days = FD.daily_mean(V.wind_daily(spark, sf_dir), ["lat_ix", "lon_ix"])
-    return days.withColumns({w: ms_to_kt(_c(w)) for w in FD.WINDS})
+    return days.withColumns({w: _c(w) * 1.94384449 for w in FD.WINDS})
 
 
 @query("a6_daily_mean", ora("fx_wind_daily", f"SELECT lat_ix, lon_ix, CAST(day AS STRING) AS day, {', '.join(R(w, w) for w in FD.WINDS)} FROM days", _DAYS))

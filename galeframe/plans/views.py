@@ -75,8 +75,8 @@ FROM customer GROUP BY 1, 2, 3, 4, 5, 6""",
     "fx_fields": """
 SELECT CAST(MOD(l_partkey, 6) AS INT) AS lat_ix, CAST(MOD(l_suppkey, 10) AS INT) AS lon_ix,
        YEAR(l_shipdate) AS year, MONTH(l_shipdate) AS month,
-       AVG(296 + l_quantity * 0.1237) AS sst, AVG(100000 + l_quantity * 30) AS psl,
-       AVG(265 + l_quantity * 0.2013) AS t_mid, AVG(0.0005 + l_discount * 0.01973) AS q_mid
+       AVG(296 + l_quantity * 0.12371931) AS sst, AVG(100000 + l_quantity * 30) AS psl,
+       AVG(265 + l_quantity * 0.20131721) AS t_mid, AVG(0.0005 + l_discount * 0.01973177) AS q_mid
 FROM lineitem GROUP BY 1, 2, 3, 4""",
     # validated folder tree: one row per frequency folder, M2 all incomplete, M3 all complete
     "fx_tree": """
