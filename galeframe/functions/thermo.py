@@ -53,7 +53,7 @@ def s_unsat(t: Column, p: Column, r: Column, rt: Column, form: str = "pseudo") -
 def s_sat(t: Column, p: Column, rt: Column, form: str = "pseudo") -> Column:
     es = sat_pressure(t)
     rs = mixing_ratio(es, p)
-    t = F.greatest(t, F.lit(1e-4))
+    t = F.when(t.isNotNull(), F.greatest(t, F.lit(1e-4)))
     dry = -K.RD * F.log(F.greatest(p - es, F.lit(1e-4)))
     if form == "pseudo":
         return K.CP * F.log(t) + dry + K.L0 * rs / t

@@ -103,7 +103,13 @@ FROM lineitem""",
 
 def points(spark: SparkSession, sf_dir: str, steps: bool = True) -> DataFrame:
     """Track points. steps=False leaves out the step number, and with it two shuffles."""
-    e = table(spark, sf_dir, "events")
+    df = points_of(table(spark, sf_dir, "events"))
+    return number_steps(df, ["storm"], "ts", "event_id") if steps else df
+
+
+def points_of(events: DataFrame) -> DataFrame:
+    """Points without step numbers, from a table or a stream of events."""
+    e = events
     uid, eid = F.col("user_id"), F.col("event_id")
     basin = F.lit("WP")
     for i, code in reversed(list(enumerate(["AU", "EP", "NA", "NI", "SI", "SP"]))):
@@ -112,7 +118,7 @@ def points(spark: SparkSession, sf_dir: str, steps: bool = True) -> DataFrame:
     def tenth(factor: int, span: int, shift: int):
         return (eid * factor % span).cast("double") / 10 - shift
 
-    df = e.select(
+    return e.select(
         F.concat(F.lit("M"), (uid % 3).cast("string")).alias("model"),
         F.when(uid % 2 == 0, "ssp126").otherwise("ssp585").alias("scenario"),
         basin.alias("basin"),
@@ -125,7 +131,6 @@ def points(spark: SparkSession, sf_dir: str, steps: bool = True) -> DataFrame:
         tenth(11, 400, 20).alias("u250"), tenth(13, 400, 20).alias("v250"),
         tenth(17, 300, 15).alias("u850"), tenth(19, 300, 15).alias("v850"),
     )
-    return number_steps(df, ["storm"], "ts", "event_id") if steps else df
 
 
 def _sql_view(spark: SparkSession, sf_dir: str, view: str, source: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe import constants as K
@@ -38,6 +38,10 @@ def _literal(value):
     return F.lit(value)
 
 
+def _without_keys(base: Column, other: Column) -> Column:
+    return F.map_filter(base, lambda k, _v: ~F.array_contains(F.map_keys(other), k))
+
+
 def with_config(df: DataFrame, text: str, out: str = "config") -> DataFrame:
     """Adds the full configuration of a row: the fields its JSON gives, else the defaults. Maps are merged
     key by key."""
@@ -46,8 +50,7 @@ def with_config(df: DataFrame, text: str, out: str = "config") -> DataFrame:
     for name, value in DEFAULTS.items():
         given, base = F.col(f"_given.{name}"), _literal(value)
         if isinstance(value, dict):
-            rest = F.map_filter(base, lambda k, _v, g=given: ~F.coalesce(F.map_contains_key(g, k), F.lit(False)))
-            merged = F.when(given.isNull(), base).otherwise(F.map_concat(rest, given))
+            merged = F.when(given.isNull(), base).otherwise(F.map_concat(_without_keys(base, given), given))
         else:
             merged = F.coalesce(given, base)
         fields.append(merged.alias(name))
