@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from galeframe import constants as K
 from galeframe.functions import geo
 from galeframe.operators.grid import basin_bounds
+from galeframe.operators.scale import join_small
 
 
 def uniform(key: Column, stream: str) -> Column:
@@ -28,14 +29,14 @@ def inverse_cdf(sample: DataFrame, targets: DataFrame, keys: Sequence[str], valu
     # equal extremes: unit width around the value
     ends = ends.withColumn("_w", spread / bins).withColumn("_lo", F.when(F.col("_hi") > F.col("_lo"), F.col("_lo")).otherwise(F.col("_lo") - 0.5))
     slot = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")), F.lit(bins - 1)).cast("int")
-    counts = data.join(ends, keys).groupBy(*keys, "_lo", "_w", "_n", slot.alias("_bin")).agg(F.count("*").alias("_c"))
+    counts = join_small(data, ends, keys).groupBy(*keys, "_lo", "_w", "_n", slot.alias("_bin")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     steps = counts.withColumn("_cum", F.sum("_c").over(w))
     # occupied bins only: an empty bin is a flat piece that no probability falls into from the left
     curve = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         (F.col("_cum") / F.col("_n")).alias("p1"), ((F.col("_cum") - F.col("_c")) / F.col("_n")).alias("p0"),
         (F.col("_lo") + F.col("_bin") * F.col("_w")).alias("x0"), F.col("_w").alias("w")))).alias("_curve"))
-    joined = targets.join(curve, keys)
+    joined = join_small(targets, curve, keys)
     piece = F.get(F.filter("_curve", lambda c: c["p1"] >= F.col(u)), F.lit(0))
     share = (F.col(u) - F.col("_p.p0")) / (F.col("_p.p1") - F.col("_p.p0"))
     return joined.withColumn("_p", piece).withColumn("sampled", F.col("_p.x0") + share * F.col("_p.w")).drop("_curve", "_p")

@@ -12,6 +12,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galeframe.session import shared_dir
+
+# rows of a per-key table that may be sent to every executor (narrow rows: a few numbers or a short array)
+SMALL_ROWS = 100_000
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written once to the shared checkpoint folder; its lineage ends there."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joins a table of one narrow row per key to a large one. The small side is written and counted; up to
+    SMALL_ROWS it is broadcast, so the large side is not shuffled by what may be very few keys. Beyond
+    that it is an ordinary join."""
+    kept = saved(small)
+    if kept.count() <= SMALL_ROWS:
+        kept = F.broadcast(kept)
+    return big.join(kept, list(keys), how)
+
 
 def running_total(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence, value: Column,
                   out: str) -> DataFrame:
@@ -61,7 +82,7 @@ def edge_buckets(df: DataFrame, keys: Sequence[str], col: str, parts: int = 64)
     sketch = df.groupBy(*keys).agg(
         F.percentile_approx(col, probs, 10000).alias("_edges")
     )
-    return df.join(sketch, keys).withColumn(
+    return join_small(df, sketch, keys).withColumn(
         "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(col)))
     ).drop("_edges")
 
@@ -113,7 +134,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[st
         ]).alias("_b"),
     )
     banded = (
-        x.join(brackets, keys_)
+        join_small(x, brackets, keys_)
         .select(*keys_, "_count", "_x", F.explode("_b").alias("_b"))
         .filter(F.col("_x") <= F.col("_b.hi"))
         .groupBy(*keys_, "_count", F.col("_b.name").alias("_name"), F.col("_b.p").alias("_p"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeframe.operators.scale import average_ranks, exact_quantiles, number_rows
+from galeframe.operators.scale import average_ranks, exact_quantiles, join_small, number_rows, saved
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -25,9 +25,10 @@ def summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation (average ranks for ties) with pair count n. Equal pairs collapse before any
-    join, and ranks come from distinct values, so no group is sorted whole."""
+    join, and ranks come from distinct values, so no group is sorted whole. The pairs are read four
+    times, hence written once."""
     keys = list(keys)
-    pairs = (
+    pairs = saved(
         df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .filter("_x IS NOT NULL AND _y IS NOT NULL").groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_w"))
     )
@@ -40,7 +41,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     mid = (F.col("_total") + 1) / 2.0
     totals = pairs.groupBy(*keys).agg(F.sum("_w").alias("_total"))
     return (
-        ranked.join(totals, keys)
+        join_small(ranked, totals, keys)
         .groupBy(*keys).agg(
             n.alias("n"), F.sum(w * (a - mid) * (b - mid)).alias("_ab"),
             F.sum(w * (a - mid) * (a - mid)).alias("_aa"), F.sum(w * (b - mid) * (b - mid)).alias("_bb"))
@@ -114,7 +115,7 @@ def taylor(df: DataFrame, keys: Sequence[str], ref: str, mod: str, weight: Colum
         F.count("*").alias("n"), F.sum(w).alias("_sw"),
         F.try_divide(F.sum(w * r), F.sum(w)).alias("_mr"), F.try_divide(F.sum(w * m), F.sum(w)).alias("_mm"))
     a, b = r - F.col("_mr"), m - F.col("_mm")
-    sums = pairs.join(means, keys).groupBy(*keys, "n", "_sw").agg(
+    sums = join_small(pairs, means, keys).groupBy(*keys, "n", "_sw").agg(
         F.sum(w * a * a).alias("_aa"), F.sum(w * b * b).alias("_bb"), F.sum(w * a * b).alias("_ab"),
         F.sum(w * (a - b) * (a - b)).alias("_dd"))
 

@@ -86,7 +86,7 @@ def _(spark, sf_dir):
 
 
 @query("s9_sink_intensity_raster", ora("fx_points", f"""
-SELECT severity, CONCAT(basin, '_', d0, '_', d1) AS raster, COUNT(*) AS n_cells, {R('MAX(intensity)', 'top', 2)} FROM si JOIN sd USING (storm) GROUP BY severity, basin, d0, d1, storm""", _WIND + _INT))
+SELECT severity, CONCAT(basin, '_', d0, '_', d1) AS raster, COUNT(*) AS n_cells, {R('MAX(CAST(intensity AS FLOAT))', 'top', 2)} FROM si JOIN sd USING (storm) GROUP BY severity, basin, d0, d1, storm""", _WIND + _INT))
 def _(spark, sf_dir):
     path = scratch_path(spark, "intensity")
     sinks.write_intensity(FP.storm_intensity(footprint(spark, sf_dir)), path)

@@ -216,7 +216,9 @@ SELECT event_id, {assign_sql('p.lon', 'p.lat', 'COALESCE(g.land, false)')} AS ba
 ON g.lat_ix = FLOOR((p.lat + 90) / 10) AND g.lon_ix = FLOOR(p.lon / 10)""", _CELLS))
 def _(spark, sf_dir):
     land = _cells(spark, sf_dir).select("lat_ix", "lon_ix", "land")
-    pts = _pts(spark, sf_dir).select("event_id", "lon", "lat", F.floor((_c("lat") + 90) / 10).cast("int").alias("lat_ix"), F.floor(_c("lon") / 10).cast("int").alias("lon_ix"))
+    # points without a position get scattered keys that meet no cell
+    row = F.coalesce(F.floor((_c("lat") + 90) / 10), -1 - _c("event_id") % 4096).cast("int")
+    pts = _pts(spark, sf_dir).select("event_id", "lon", "lat", row.alias("lat_ix"), F.floor(_c("lon") / 10).cast("int").alias("lon_ix"))
     joined = pts.join(land, ["lat_ix", "lon_ix"], "left")
     return joined.select("event_id", geo.assign_basin(_c("lon"), _c("lat"), F.coalesce("land", F.lit(False))).alias("basin_of"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from galeframe import constants as K
 from galeframe.functions import text
 from galeframe.operators import inventory as I
+from galeframe.operators.scale import saved
 from galeframe.plans import views as V
 from galeframe.plans.registry import R, ora, query, rnd
 from galeframe.sources import manifest as M
@@ -16,7 +17,8 @@ _MAN = """man AS (SELECT *, regexp_matches(file_name, '^[A-Za-z0-9]+_[A-Za-z0-9]
 
 
 def manifest(spark, sf_dir):
-    return M.scan_manifest(V.files(spark, sf_dir), "file_name")
+    """The inventory as a stored table: several operators read it more than once."""
+    return saved(M.scan_manifest(V.files(spark, sf_dir), "file_name"))
 
 
 @query("s1_scan_manifest", ora("fx_files", """
@@ -25,7 +27,7 @@ SELECT file_name, CASE WHEN ok THEN variable END AS file_variable, CASE WHEN ok
   CASE WHEN ok THEN CONCAT(y0, '-01-01') END AS start_date, CASE WHEN ok THEN CONCAT(y1, CASE WHEN freq = 'day' THEN '-12-31' ELSE '-12-01' END) END AS end_date,
   CASE WHEN NOT ok THEN CONCAT('File ''', file_name, ''' doesn''t match naming convention') END AS issue FROM man""", _MAN))
 def _(spark, sf_dir):
-    return manifest(spark, sf_dir).select(
+    return M.scan_manifest(V.files(spark, sf_dir), "file_name").select(
         "file_name", "file_variable", "file_frequency", "file_model", "file_grid", "start_int", "end_int",
         F.col("start_date").cast("string").alias("start_date"), F.col("end_date").cast("string").alias("end_date"), "issue")
 
@@ -243,7 +245,7 @@ def _(spark, sf_dir):
 
 
 @query("a20_variant_triage", ora("fx_draws fx_bins", """
-SELECT model, variant, CASE WHEN all_ok THEN 'complete' ELSE 'short_of_files' END AS status, CASE WHEN NOT all_ok THEN message END AS message FROM (
+SELECT DISTINCT model, variant, CASE WHEN all_ok THEN 'complete' ELSE 'short_of_files' END AS status, CASE WHEN NOT all_ok THEN message END AS message FROM (
  SELECT model, 'r1i1p1f1' AS variant, time_period, BOOL_AND(BOOL_AND(complete)) OVER (PARTITION BY model) AS all_ok,
   CONCAT('Basin=''', MIN(basin) FILTER (WHERE NOT complete), ''' in ', time_period, ': Expected at least 250 draw files, found ', arg_min(found, basin) FILTER (WHERE NOT complete), '.') AS message
  FROM st GROUP BY model, time_period) WHERE all_ok OR message IS NOT NULL""", """

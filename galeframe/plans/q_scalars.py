@@ -59,12 +59,12 @@ def _(spark, sf_dir):
 
 
 @query("p5_unit_convert", ora("fx_points", f"""
-SELECT event_id, {R('vmax_ms * 1.943844', 'v_kt')}, {R('vmax_ms * 1.852', 'km')}, {R('lat + 273.15', 'kelvin')},
+SELECT event_id, {R('vmax_ms * 1.943844', 'v_kt', 6)}, {R('vmax_ms * 1.852', 'km', 6)}, {R('lat + 273.15', 'kelvin')},
   {R('lon * 100.0', 'pa')}, {R('event_id / 3600.0', 'hours')}, {R('ROUND(lon)', 'level')} FROM fx_points"""))
 def _(spark, sf_dir):
     v, lat, lon = F.col("vmax_ms"), F.col("lat"), F.col("lon")
     return _pts(spark, sf_dir).select(
-        "event_id", rnd(intensity.ms_to_kt(v)).alias("v_kt"), rnd(intensity.nm_to_km(v)).alias("km"),
+        "event_id", rnd(intensity.ms_to_kt(v), 6).alias("v_kt"), rnd(intensity.nm_to_km(v), 6).alias("km"),
         rnd(intensity.celsius_to_kelvin(lat)).alias("kelvin"), rnd(intensity.hpa_to_pa(lon)).alias("pa"),
         rnd(intensity.seconds_to_hours(F.col("event_id").cast("double"))).alias("hours"), rnd(F.round(lon)).alias("level"))
 

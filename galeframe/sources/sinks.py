@@ -23,8 +23,9 @@ LAYOUTS = {
 
 
 def _partitioned(df: DataFrame, path: str, levels: Sequence[str], fmt: str = "parquet") -> None:
-    # dynamic overwrite: partitions present in df are replaced, others stay
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*levels).format(fmt).save(path)
+    # rebalance: tasks line up with the partitions, so files are few, and AQE splits a large partition over
+    # several tasks; dynamic overwrite: partitions present in df are replaced, others stay
+    df.hint("rebalance", *levels).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*levels).format(fmt).save(path)
 
 
 def write_layout(df: DataFrame, path: str, kind: str) -> None:
@@ -73,18 +74,13 @@ def read_storm_points(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*keep, F.explode("points").alias("_p")).select(*keep, "_p.*").withColumn("draw", F.col("draw").cast("int"))
 
 
-def _spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Files of a partition come from several tasks (one per latitude band), never all from one."""
-    return df.repartition(*[F.col(c) for c in cols], F.floor(F.col("clat") / 10))
-
-
 def write_exposure(exposure: DataFrame, path: str) -> None:
     """Long raster per severity and day in float32 (EPSG:4326); days without any hour are left out."""
     seen = exposure.groupBy("severity", "day").agg(F.sum("hours").alias("_sum")).filter("_sum > 0").select("severity", "day")
     rows = exposure.join(seen, ["severity", "day"], "left_semi").select(
         "severity", F.col("day").cast("string").alias("day"), "clat", "clon", F.col("hours").cast("float").alias("hours"))
     rows = rows.withMetadata("hours", {"crs": "EPSG:4326", "units": "h"})
-    _partitioned(_spread(rows, "severity", "day"), path, ["severity", "day"])
+    _partitioned(rows, path, ["severity", "day"])
 
 
 def write_intensity(cells: DataFrame, path: str) -> None:
@@ -94,7 +90,7 @@ def write_intensity(cells: DataFrame, path: str) -> None:
     rows = cells.join(seen, "storm", "left_semi").select(
         "severity", name.alias("raster"), "storm", "clat", "clon", F.col("intensity").cast("float").alias("intensity"))
     rows = rows.withMetadata("intensity", {"crs": "EPSG:4326", "units": "m/s"})
-    _partitioned(_spread(rows, "severity", "storm"), path, ["severity"])
+    _partitioned(rows, path, ["severity"])
 
 
 def write_registry(registry: DataFrame, path: str) -> None:
