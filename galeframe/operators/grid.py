@@ -104,14 +104,20 @@ def locate(df: DataFrame, grid: Lattice, lon: str = "lon", lat: str = "lat") ->
 
 
 def quads(cells: DataFrame, grid: Lattice, fields: Sequence[str], group: Sequence[str] = (), i: str = "lat_ix",
-          j: str = "lon_ix") -> DataFrame:
+          j: str = "lon_ix", complete: bool = False) -> DataFrame:
     """Cells with their three neighbours: one row per lower-left cell holding four corners per field. One
-    shuffle of the grid, so that points later need a single join."""
+    shuffle of the grid, so that points later need a single join. complete adds the quads of which no
+    corner is listed, with missing fields."""
     homes = F.array(*[
         F.struct((F.col(i) - di).cast("int").alias("_qi"), F.pmod(F.col(j) - dj, F.lit(grid.nlon)).cast("int").alias("_qj"),
                  F.lit(f"{di}{dj}").alias("_corner"))
         for di in (0, 1) for dj in (0, 1)])
     rows = cells.select(*group, *fields, F.inline(homes)).filter((F.col("_qi") >= 0) & (F.col("_qi") <= grid.nlat - 2))
+    if complete:
+        groups = cells.select(*group).distinct() if group else cells.sparkSession.range(1).select()
+        empty = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid.nlat - 2))).alias("_qi")).select(
+            "*", F.explode(F.sequence(F.lit(0), F.lit(grid.nlon - 1))).alias("_qj"))
+        rows = rows.unionByName(empty, allowMissingColumns=True)
     return rows.groupBy(*group, "_qi", "_qj").agg(*[
         F.max(F.when(F.col("_corner") == c, F.col(f))).alias(f"_{f}_{c}") for f in fields for c in ("00", "01", "10", "11")])
 
@@ -183,7 +189,7 @@ def regrid_bilinear(cells: DataFrame, source: Lattice, target: Lattice, fields:
     in place is returned unchanged."""
     if source == target:
         return cells.select(*group, "lat_ix", "lon_ix", *fields)
-    q = quads(cells, source, fields, group)
+    q = quads(cells, source, fields, group, complete=True)
     x0 = source.lon0 + F.col("_qj") * source.dlon - target.lon0
     js = F.sequence(F.ceil(x0 / target.dlon).cast("int"), F.ceil((x0 + source.dlon) / target.dlon).cast("int") - 1)
     y0 = (source.lat0 - target.lat0) + F.col("_qi") * source.dlat
