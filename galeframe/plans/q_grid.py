@@ -320,11 +320,12 @@ def _(spark, sf_dir):
     return G.fill_nearest(cells, ["year", "month"], "value").withColumn("value", rnd("value"))
 
 
-@query("g2_fill_nearest_grid", ora("fx_grid", f"""
-SELECT m.lat_ix, m.lon_ix, {R('COALESCE(m.value, (SELECT p.value FROM fx_grid p WHERE p.value IS NOT NULL ORDER BY (p.lat_ix - m.lat_ix) ** 2 + (p.lon_ix - m.lon_ix) ** 2, p.lat_ix, p.lon_ix LIMIT 1))', 'value')} FROM fx_grid m"""))
+@query("g2_fill_nearest_levels", ora("fx_grid", f"""
+SELECT level, m.lat_ix, m.lon_ix, {R('level * COALESCE(m.value, (SELECT p.value FROM fx_grid p WHERE p.value IS NOT NULL ORDER BY (p.lat_ix - m.lat_ix) ** 2 + (p.lon_ix - m.lon_ix) ** 2, p.lat_ix, p.lon_ix LIMIT 1))', 'value')} FROM fx_grid m CROSS JOIN (VALUES (1), (2)) AS l(level)"""))
 def _(spark, sf_dir):
-    cells = V.grid(spark, sf_dir).withColumn("t", F.lit(0))
-    return G.fill_nearest(cells, ["t"], "value").select("lat_ix", "lon_ix", rnd("value").alias("value"))
+    # two levels with the same gaps: one search serves both
+    cells = V.grid(spark, sf_dir).withColumn("level", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("value", _c("value") * _c("level"))
+    return G.fill_nearest(cells, ["level"], "value").select("level", "lat_ix", "lon_ix", rnd("value").alias("value"))
 
 
 @query("g5_smooth_box", ora("fx_grid", f"SELECT lat_ix, lon_ix, {R('v', 'value')} FROM it WHERE k = 15", """
