@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from galeframe import constants as K
 from galeframe.functions import geo
+from galeframe.operators.scale import join_small, saved
 
 
 @dataclass(frozen=True)
@@ -247,17 +248,16 @@ def fill_nearest(cells: DataFrame, time: Sequence[str], value: str) -> DataFrame
     h1 = F.xxhash64("lat_ix", "lon_ix").cast("decimal(20,0)")
     h2 = F.xxhash64("lon_ix", F.lit(1), "lat_ix").cast("decimal(20,0)")
     sig = ["_n", "_m", "_h1", "_h2", "_p1", "_p2"]
-    masks = cells.groupBy(*time).agg(
+    masks = saved(cells.groupBy(*time).agg(
         F.count("*").alias("_n"), F.count_if(gap).alias("_m"),
         F.coalesce(F.sum(F.when(gap, h1)), F.lit(0)).alias("_h1"), F.coalesce(F.sum(F.when(gap, h2)), F.lit(0)).alias("_h2"),
-        F.coalesce(F.sum(F.when(~gap, h1)), F.lit(0)).alias("_p1"), F.coalesce(F.sum(F.when(~gap, h2)), F.lit(0)).alias("_p2"))
+        F.coalesce(F.sum(F.when(~gap, h1)), F.lit(0)).alias("_p1"), F.coalesce(F.sum(F.when(~gap, h2)), F.lit(0)).alias("_p2")))
     # one time step stands for each mask
     speaker = masks.groupBy(*sig).agg(F.min(F.struct(*time)).alias("_t"))
     speakers = speaker.select(*sig, *[F.col(f"_t.{t}").alias(t) for t in time])
-    mask_cells = cells.join(speakers, time).select(*sig, "lat_ix", "lon_ix", value)
+    mask_cells = join_small(cells, speakers, time).select(*sig, "lat_ix", "lon_ix", value)
     sources = nearest_sources(mask_cells, sig, value)
-    tagged = cells.join(masks, time)
-    wanted = tagged.filter(gap).join(sources, [*sig, "lat_ix", "lon_ix"]).select(*time, "lat_ix", "lon_ix", "_si", "_sj")
+    wanted = join_small(cells.filter(gap), masks, time).join(sources, [*sig, "lat_ix", "lon_ix"]).select(*time, "lat_ix", "lon_ix", "_si", "_sj")
     donors = cells.filter(~gap).select(*time, F.col("lat_ix").alias("_si"), F.col("lon_ix").alias("_sj"), F.col(value).alias("_fill"))
     filled = wanted.join(donors, [*time, "_si", "_sj"]).select(*time, "lat_ix", "lon_ix", "_fill")
     return cells.join(filled, [*time, "lat_ix", "lon_ix"], "left").withColumn(

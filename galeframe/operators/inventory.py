@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galeframe import constants as K
 from galeframe.functions.text import issue_kind
-from galeframe.operators.scale import previous_value
+from galeframe.operators.scale import join_small, previous_value
 
 
 def missing_years(files: DataFrame, keys: Sequence[str], expected: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def fill_flags(files: DataFrame, covered: DataFrame, keys: Sequence[str]) -> Dat
     notes = covered.select(*keys, late.alias("_late"), early.alias("_early"))
     is_first, is_last = span == F.col("_first"), span == F.col("_last")
     first_flag = is_first & F.col("_late")
-    return files.join(edges, keys).join(notes, keys).withColumn(
+    return join_small(files, edges.join(notes, keys), keys).withColumn(
         "fill_required", first_flag | (~first_flag & is_last & F.col("_early"))).drop("_first", "_last", "_late", "_early")
 
 
@@ -267,5 +267,5 @@ def edge_fill(yearly: DataFrame, keys: Sequence[str], first: int = 2015, last: i
     ahead = F.when((y == y1) & (y1 < last) & (y1 >= 2095), F.sequence(y1 + 1, F.lit(last)))
     none = F.array().cast("array<int>")
     years = F.concat(F.array(y), F.coalesce(back, none), F.coalesce(ahead, none))
-    rows = yearly.join(bounds, keys).withColumn("_year", F.explode(years))
+    rows = join_small(yearly, bounds, keys).withColumn("_year", F.explode(years))
     return rows.withColumn("filled", F.col("_year") != y).withColumn("year", F.col("_year")).drop("_year", "_y0", "_y1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from galeframe.operators import counts as C
 from galeframe.operators import tracks as T
 from galeframe.plans import views as V
-from galeframe.plans.registry import R, ora, query, rnd, rounded
+from galeframe.plans.registry import R, ora, query, rounded
 
 _THRESH = """thresholds(threshold, wind) AS (VALUES ('any', 0.0::DOUBLE), ('tropical_storm', 17.0::DOUBLE),
   ('hurricane_minor', 33.0::DOUBLE), ('hurricane_major', 58.0::DOUBLE))"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from galeframe import constants as K
 from galeframe.operators import footprint as FP
 from galeframe.operators import grid as G
 from galeframe.operators import reconcile as RC
@@ -36,14 +35,14 @@ foot AS (SELECT *, SQRT((-spin * v * SIN(th) + COALESCE(ut, 0) * fade) ** 2 + (s
 def storm_points(spark, sf_dir):
     pts = T.translation_speed(V.points(spark, sf_dir), ["storm"], 21600.0)
     pts = T.valid_points(T.add_tc_parameters(pts))
-    return FP.with_severity(pts)
+    return FP.with_severity(pts, T.valid_points(V.points(spark, sf_dir, steps=False)))
+
+
+COLUMNS = ["event_id", "storm", "basin", "ts", "lon", "lat", "vmax_ms", "rmw", "pressure_deficit", "ut", "vt", "severity"]
 
 
 def footprint(spark, sf_dir):
-    pts = storm_points(spark, sf_dir).select(
-        "event_id", "storm", "basin", "ts", "lon", "lat", "vmax_ms", "rmw", "pressure_deficit", "ut", "vt", "severity")
-    cells = G.centroids(V.points(spark, sf_dir, steps=False).select("basin").distinct(), RES)
-    return FP.wind_footprint(pts, cells).withColumn("step_hours", F.lit(6.0))
+    return FP.wind_footprint(storm_points(spark, sf_dir).select(*COLUMNS), RES).withColumn("step_hours", F.lit(6.0))
 
 
 @query("j14_wind_footprint", ora("fx_points", f"SELECT event_id, clat, clon, {R('speed', 'speed')} FROM foot", _WIND))
@@ -51,6 +50,13 @@ def _(spark, sf_dir):
     return footprint(spark, sf_dir).select("event_id", "clat", "clon", rnd("speed").alias("speed"))
 
 
+@query("j14_wind_at_centroids", ora("fx_points", f"SELECT event_id, clat, clon, {R('speed', 'speed')} FROM foot", _WIND))
+def _(spark, sf_dir):
+    cells = G.centroids(V.points(spark, sf_dir, steps=False).select("basin").distinct(), RES)
+    return FP.wind_at_centroids(storm_points(spark, sf_dir).select(*COLUMNS), cells).select(
+        "event_id", "clat", "clon", rnd("speed").alias("speed"))
+
+
 _EXPO = ", ex AS (SELECT severity, CAST(ts AS DATE) AS day, clat, clon, SUM(CASE WHEN speed >= 18 THEN 6.0 ELSE 0.0 END) AS hours FROM foot GROUP BY ALL)"
 
 

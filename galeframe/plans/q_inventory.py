@@ -9,7 +9,7 @@ from galeframe.functions import text
 from galeframe.operators import inventory as I
 from galeframe.operators.scale import saved
 from galeframe.plans import views as V
-from galeframe.plans.registry import R, ora, query, rnd
+from galeframe.plans.registry import ora, query
 from galeframe.sources import manifest as M
 
 _MAN = """man AS (SELECT *, regexp_matches(file_name, '^[A-Za-z0-9]+_[A-Za-z0-9]+_[^_]+_[^_]+_[^_]+_[^_]+_(\\d{6}|\\d{8})-(\\d{6}|\\d{8})\\.nc$') AS ok,

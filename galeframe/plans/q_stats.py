@@ -9,7 +9,7 @@ from galeframe.operators import statistics as S
 from galeframe.operators import tracks as T
 from galeframe.plans import views as V
 from galeframe.plans.q_scalars import EST_CTES
-from galeframe.plans.registry import R, ora, query, rnd, rounded
+from galeframe.plans.registry import R, ora, query, rounded
 
 VARS = ["vmax_kt", "central_pressure", "environmental_pressure", "pressure_deficit", "rmw", "roci"]
 

@@ -19,6 +19,10 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # HotSpot leaves methods above 8000 bytes uncompiled; such stages run better in split functions
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # no call-site lookup for every single column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in conf.items():
         b = b.config(k, v)
