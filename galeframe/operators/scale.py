@@ -150,10 +150,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[st
     def covers(k: Column) -> Column:
         return F.max(F.when((first <= k) & (k < F.col("_upto")), F.col("_v")))
 
+    # a rank outside its bracket would break the sketch's guarantee: an error, never a wrong number
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
     values = ranked.groupBy(*keys_, "_name").agg(
         covers(F.floor("_h")).alias("_a"), covers(F.ceil("_h")).alias("_c"),
         F.first("_h").alias("_h"),
-    ).select(*keys_, "_name", (F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_c") - F.col("_a"))).alias("_q"))
+    ).withColumns({c: F.when(F.col(c).isNull(), missed).otherwise(F.col(c)) for c in ("_a", "_c")}).select(*keys_, "_name", (F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_c") - F.col("_a"))).alias("_q"))
     out = values.groupBy(*keys_).agg(*[
         F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in names
     ])

@@ -41,7 +41,8 @@ def collect_tracks(points: DataFrame, keys: Sequence[str], fields: Sequence[str]
 
 def number_steps(points: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
     """0-based step inside a track by (ts, tie); buckets of one hour keep a hot track spread."""
-    rows = number_rows(points, keys, F.date_trunc("hour", F.col(ts)), [ts, tie], "_rn")
+    hour = F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)
+    rows = number_rows(points, keys, hour, [ts, tie], "_rn")
     return rows.withColumn("step", (F.col("_rn") - 1).cast("int")).drop("_rn")
 
 

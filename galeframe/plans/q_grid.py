@@ -49,13 +49,13 @@ def _stat_sql():
 
 
 @query("a7_monthly_wind_stats", ora("fx_wind_daily", f"""
-SELECT lat_ix, lon_ix, YEAR(day) AS year, MONTH(day) AS month, {_stat_sql()} FROM kt GROUP BY 1, 2, 3, 4""", _DAYS + _KT))
+SELECT lat_ix, lon_ix, CAST(YEAR(day) AS INT) AS year, CAST(MONTH(day) AS INT) AS month, {_stat_sql()} FROM kt GROUP BY 1, 2, 3, 4""", _DAYS + _KT))
 def _(spark, sf_dir):
     return rounded(FD.monthly_wind_stats(_days_kt(spark, sf_dir), ["lat_ix", "lon_ix"]), *FD.statistic_names())
 
 
 @query("a7_covariance_matrix", ora("fx_wind_daily", f"""
-SELECT lat_ix, lon_ix, YEAR(day) AS year, MONTH(day) AS month, {R('COVAR_SAMP(v850, u250)', 'm03')}, {R('COVAR_SAMP(u250, v850)', 'm30')}, {R('VAR_POP(u850)', 'm22')} FROM kt GROUP BY 1, 2, 3, 4""", _DAYS + _KT))
+SELECT lat_ix, lon_ix, CAST(YEAR(day) AS INT) AS year, CAST(MONTH(day) AS INT) AS month, {R('COVAR_SAMP(v850, u250)', 'm03')}, {R('COVAR_SAMP(u250, v850)', 'm30')}, {R('VAR_POP(u850)', 'm22')} FROM kt GROUP BY 1, 2, 3, 4""", _DAYS + _KT))
 def _(spark, sf_dir):
     m = FD.monthly_wind_stats(_days_kt(spark, sf_dir), ["lat_ix", "lon_ix"]).withColumn("m", FD.wind_matrix())
     return m.select("lat_ix", "lon_ix", "year", "month", rnd(_c("m")[0][3]).alias("m03"), rnd(_c("m")[3][0]).alias("m30"), rnd(_c("m")[2][2]).alias("m22"))

@@ -36,7 +36,7 @@ SELECT CONCAT('M', CAST(MOD(user_id, 3) AS STRING)) AS model,
 FROM events""",
     "fx_wind_daily": """
 SELECT CAST(MOD(l_partkey, 6) AS INT) AS lat_ix, CAST(MOD(l_suppkey, 10) AS INT) AS lon_ix,
-       YEAR(l_shipdate) AS year, MONTH(l_shipdate) AS month, l_orderkey, l_linenumber, l_shipdate AS ts,
+       CAST(YEAR(l_shipdate) AS INT) AS year, CAST(MONTH(l_shipdate) AS INT) AS month, l_orderkey, l_linenumber, l_shipdate AS ts,
        l_quantity - 25 AS u250, CAST(MOD(l_orderkey, 41) AS DOUBLE) - 20 AS v250,
        l_discount * 100 - 5 AS u850, CAST(MOD(l_partkey * 7, 31) AS DOUBLE) - 15 AS v850
 FROM lineitem""",
@@ -74,7 +74,7 @@ FROM customer GROUP BY 1, 2, 3, 4, 5, 6""",
     # monthly fields on a 6 x 10 grid, from the daily winds' table: SST, pressure, mid-level state
     "fx_fields": """
 SELECT CAST(MOD(l_partkey, 6) AS INT) AS lat_ix, CAST(MOD(l_suppkey, 10) AS INT) AS lon_ix,
-       YEAR(l_shipdate) AS year, MONTH(l_shipdate) AS month,
+       CAST(YEAR(l_shipdate) AS INT) AS year, CAST(MONTH(l_shipdate) AS INT) AS month,
        AVG(296 + l_quantity * 0.12371931) AS sst, AVG(100000 + l_quantity * 30) AS psl,
        AVG(265 + l_quantity * 0.20131721) AS t_mid, AVG(0.0005 + l_discount * 0.01973177) AS q_mid
 FROM lineitem GROUP BY 1, 2, 3, 4""",
