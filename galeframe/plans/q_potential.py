@@ -34,11 +34,6 @@ def soundings(spark, sf_dir):
     return PT.assemble_soundings(long.select("cell", "plev", "t", "r"), surface, ["cell"])
 
 
-def _tab(p, s):
-    """Bilinear table lookup as joins: quad corner aliases c00..c11 are read in the calling select."""
-    return p, s
-
-
 _EPS = "(287.04::DOUBLE / 461.5::DOUBLE)"
 _N = len(LEVELS)
 
