@@ -3,30 +3,32 @@
 A token sequence is the merge encoding of a text exactly when every two neighbours, put together and
 merged again, come out as the same two tokens. So no merge queue runs over the text: at each position the
 longest piece that an Aho-Corasick automaton finds there is tried, then the shorter ones; a piece is taken
-if it is compatible with the one before. Where nothing fits, the position is marked in a bitfield, as no
+if it is compatible with the one before. Where nothing fits, the position is flagged as failed, as no
 encoding of the text passes through it, and the search steps back. Compatibility is decided by re-merging
 the two tokens, once per pair.
 
-Null and empty texts have no tokens; every other text is encoded whole. Texts are cut before each run of
-U+2581 (which stands for a blank), which no piece of the model crosses; encodings of short units are kept
-in a bounded table per worker. Characters without a piece become byte pieces.
+Texts are cut before each run of U+2581 (which stands for a blank), which no piece of the model crosses;
+the distinct units of a slice of texts are searched side by side in numpy. Null and empty texts have no
+tokens; every other text is encoded whole. Characters without a piece become byte pieces.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANK = "▁"
-UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-KEPT_UNITS = 400_000   # encodings of short units kept per worker; beyond it the table starts anew
-KEPT_PAIRS = 2_000_000
+from galeframe.llm.text import distinct, flat, lists, slices
+
+BLANK = "\u2581"
+SLICE_BYTES = 12 << 20
+KEPT_PAIRS = 4_000_000  # verdicts on token pairs kept per worker; beyond it the table starts anew
 
 ENCODED = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -34,6 +36,12 @@ ENCODED = T.StructType([
 ])
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs flat[start:start + count] put one after another."""
+    begin = np.cumsum(counts) - counts
+    return flat[np.arange(int(counts.sum())) + np.repeat(starts - begin, counts)]
+
+
 class PieceModel:
     """A BPE model file with byte fallback, blanks escaped, one blank put before each text, no other
     normalisation."""
@@ -43,21 +51,41 @@ class PieceModel:
 
         vocab = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [vocab.id_to_piece(i) for i in range(vocab.get_piece_size())]
-        plain = [i for i in range(len(self.pieces))
-                 if not (vocab.is_byte(i) or vocab.is_control(i) or vocab.is_unknown(i) or vocab.is_unused(i))]
-        self.ids = {self.pieces[i]: i for i in plain}
+        self.size = len(self.pieces)
+        is_byte = [vocab.is_byte(i) for i in range(self.size)]
+        plain = [i for i in range(self.size)
+                 if not (is_byte[i] or vocab.is_control(i) or vocab.is_unknown(i) or vocab.is_unused(i))]
         self.scores = {self.pieces[i]: vocab.get_score(i) for i in plain}
-        if any(BLANK in p.lstrip(BLANK) for p in self.ids):
-            raise ValueError("a piece crosses the start of a word")
-        self.bytes = {int(self.pieces[i][1:-1], 16): i for i in range(len(self.pieces)) if vocab.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.scores):
+            raise ValueError("a piece crosses the start of a word or a line")
+        # a piece that its own merges don't lead to never occurs
+        self.ids = {self.pieces[i]: i for i in plain if len(self.merged(self.pieces[i])) == 1}
+        # beyond the vocabulary, the number size + code stands for a character without a piece
+        self.lengths = np.ones(self.size + 0x110000, np.int64)
+        self.lengths[:self.size] = [len(p) for p in self.pieces]
+        self.shorter = np.full(self.size + 0x110000, -1, np.int64)
+        self.single = self.size + np.arange(0x110000)
         self.matcher = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.matcher.add_word(piece, (len(piece), i))
+            if len(piece) == 1:
+                self.single[ord(piece)] = i
+            else:
+                self.matcher.add_word(piece, i)
+                self.shorter[i] = next(
+                    (self.ids[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.ids), -1)
         self.matcher.make_automaton()
-        self.units: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.byte_ids = np.zeros(256, np.int64)
+        self.raw: list[bytes] = []
+        for i, piece in enumerate(self.pieces):
+            if is_byte[i]:
+                self.byte_ids[int(piece[1:-1], 16)] = i
+                self.raw.append(bytes([int(piece[1:-1], 16)]))
+            else:
+                self.raw.append(b"" if vocab.is_control(i) else piece.replace(BLANK, " ").encode())
+        self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_counts = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_starts = np.cumsum(self.raw_counts) - self.raw_counts
+        self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves, for one or two tokens: best score first, then the leftmost."""
@@ -73,105 +101,135 @@ class PieceModel:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands(self, token: int) -> bool:
-        """A token that its own merges don't lead to never occurs."""
-        known = self.whole.get(token)
-        if known is None:
-            known = self.whole[token] = len(self.merged(self.pieces[token])) == 1
-        return known
-
-    def fits(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            a, b = self.pieces[left], self.pieces[right]
-            known = self.merged(a + b) == [a, b]
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
-
-    def stretch(self, text: str, before: int | None = None) -> list[int]:
-        """Tokens of a text of which every character has a piece."""
-        whole = self.ids.get(text)
-        if whole is not None and self.stands(whole):
-            return [whole]
-        found: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, (length, token) in self.matcher.iter(text):  # by end, so the longest of a start comes last
-            found[end + 1 - length].append((end + 1, token))
-        failed = bytearray(len(text) // 8 + 1)
-        tokens: list[int] = []
-        starts = [0]
-        tries = [len(found[0]) - 1]
-        while starts[-1] < len(text):
-            at, k = starts[-1], tries[-1]
-            while k >= 0:
-                end, token = found[at][k]
-                k -= 1
-                if not failed[end >> 3] >> (end & 7) & 1 and self.stands(token) and (
-                        not tokens or self.fits(tokens[-1], token)):
-                    break
-            else:
-                failed[at >> 3] |= 1 << (at & 7)
-                starts.pop()
-                tries.pop()
-                tokens.pop()
-                continue
-            tries[-1] = k
-            tokens.append(token)
-            starts.append(end)
-            tries.append(len(found[end]) - 1 if end < len(text) else -1)
-        return tokens
-
-    def fresh(self, unit: str) -> list[int]:
-        out: list[int] = []
-        begin = 0
-        for k, char in enumerate(unit):
-            if char not in self.ids:
-                if k > begin:
-                    out += self.stretch(unit[begin:k])
-                out += [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
-                begin = k + 1
-        if begin < len(unit):
-            out += self.stretch(unit[begin:])
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each pair of neighbours survives re-merging. Numbers beyond the vocabulary stand for
+        characters without a piece, which merge with nothing."""
+        out = np.ones(len(left), bool)
+        both = np.flatnonzero((left < self.size) & (right < self.size))
+        if not len(both):
+            return out
+        keys = left[both] << 32 | right[both]
+
+        def find() -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(self.pair_keys, keys), max(0, len(self.pair_keys) - 1))
+            return at, self.pair_keys[at] == keys if len(self.pair_keys) else np.zeros(len(keys), bool)
+
+        at, known = find()
+        if not known.all():
+            if len(self.pair_keys) > KEPT_PAIRS:
+                self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+                known[:] = False
+            new = np.unique(keys[~known])
+            verdicts = []
+            for key in new.tolist():
+                a, b = self.pieces[key >> 32], self.pieces[key & 0xFFFFFFFF]
+                verdicts.append(self.merged(a + b) == [a, b])
+            every = np.concatenate([self.pair_keys, new])
+            order = np.argsort(every, kind="stable")
+            self.pair_fits = np.concatenate([self.pair_fits, np.array(verdicts, bool)])[order]
+            self.pair_keys = every[order]
+            at, known = find()
+        out[both] = self.pair_fits[at]
         return out
 
-    def piece_text(self, ids: list[int] | tuple[int, ...]) -> str:
-        """Pieces put together, blanks still leading; runs of byte pieces are read as UTF-8."""
-        out, run = [], bytearray()
-        for i in ids:
-            byte = self.byte_of.get(i)
-            if byte is not None:
-                run.append(byte)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(self.pieces[i].replace(BLANK, " "))
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out)
-
-    def unit(self, unit: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.fresh(unit))
-        value = ids, self.piece_text(ids)
-        if len(unit) <= 48:
-            if len(self.units) >= KEPT_UNITS:
-                self.units.clear()
-            self.units[unit] = value
-        return value
-
-    def encode(self, text: str | None) -> tuple[list[int], str]:
-        """Ids of a text and what decode() makes of them, unit by unit."""
-        if not text:
-            return [], ""
-        get, make = self.units.get, self.unit
-        got = [get(u) or make(u) for u in UNIT.findall(BLANK + text.replace(" ", BLANK))]
-        return list(chain.from_iterable(g[0] for g in got)), "".join([g[1] for g in got])[1:]
-
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: the blank that encoding puts before a text goes again."""
-        text = self.piece_text(ids)
-        return text[1:] if text.startswith(" ") else text
+    def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every unit, one after another, and how many each has."""
+        joined = "\n".join(units) + "\n"
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        end = np.cumsum(size + 1) - 1
+        begin = end - size
+        longest, lengths, shorter = self.single[chars], self.lengths, self.shorter
+        hits = np.fromiter(chain.from_iterable(self.matcher.iter(joined)), np.int64)
+        ends, found = hits[::2], hits[1::2]  # by end: of one start the longest comes last
+        longest[ends + 1 - lengths[found]] = found
+        failed = np.zeros(len(chars) + 1, bool)
+        taken = np.full(len(chars) + 1, -1, np.int64)  # token that ends before a position
+        pos, first, last = begin[size > 0], begin[size > 0], end[size > 0]
+        token = longest[pos]
+        while len(pos):
+            none = token < 0
+            if none.any():
+                at = pos[none]
+                if (at == first[none]).any():
+                    raise ValueError("a text has no encoding")
+                failed[at] = True
+                back = taken[at]
+                pos[none] = at - lengths[back]
+                token[none] = shorter[back]
+            some = np.flatnonzero(token >= 0)
+            at, cand = pos[some], token[some]
+            stop = at + lengths[cand]
+            good = ~failed[stop]
+            pair = np.flatnonzero(good & (at > first[some]))
+            good[pair] = self.fits(taken[at[pair]], cand[pair])
+            token[some[~good]] = shorter[cand[~good]]
+            done = stop[good]
+            taken[done] = cand[good]
+            pos[some[good]] = done
+            token[some[good]] = longest[done]
+            live = pos < last
+            if not live.all():
+                pos, first, last, token = pos[live], first[live], last[live], token[live]
+        ends = np.zeros(len(chars) + 1, bool)
+        at, first = end[size > 0], begin[size > 0]
+        while len(at):
+            ends[at] = True
+            at = at - lengths[taken[at]]
+            live = at > first
+            at, first = at[live], first[live]
+        place = np.flatnonzero(ends)
+        tokens = taken[place]
+        owner = np.searchsorted(end, place)
+        many = np.ones(len(tokens), np.int64)
+        odd = np.flatnonzero(tokens >= self.size)
+        if len(odd):  # byte pieces
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in (tokens[odd] - self.size).tolist()]
+            many[odd] = [len(r) for r in raw]
+            flat = np.repeat(tokens, many)
+            fill = np.repeat(tokens >= self.size, many)
+            flat[fill] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        else:
+            flat = tokens
+        return flat, np.bincount(owner, weights=many, minlength=len(units)).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each text has."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        mark, none = pa.scalar(BLANK, pa.large_string()), pa.scalar("", pa.large_string())
+        data, off = flat(pc.if_else(pc.equal(texts, none), none, pc.binary_join_element_wise(
+            mark, pc.replace_substring(texts, " ", BLANK), none)))
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        mark = np.frombuffer(BLANK.encode(), np.uint8)
+        blank = np.zeros(len(data) + 3, bool)
+        if len(data) >= 3:
+            blank[:len(data) - 2] = (data[:-2] == mark[0]) & (data[1:-1] == mark[1]) & (data[2:] == mark[2])
+        cut = blank[:len(data)].copy()
+        cut[3:] &= ~blank[:len(data) - 3]  # only the first blank of a run starts a unit
+        cut[off[:-1][np.diff(off) > 0]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        units, which = distinct(data, starts, ends)
+        ids, counts = self.units(units)
+        first = np.cumsum(counts) - counts
+        per_unit = counts[which]
+        upto = np.concatenate([[0], np.cumsum(per_unit)])
+        return gather(ids, first[which], per_unit), np.diff(upto[np.searchsorted(starts, off)])
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Texts of id sequences: pieces put together, the blank that encoding puts before a text removed,
+        runs of byte pieces read as UTF-8 (what is not UTF-8 becomes U+FFFD)."""
+        sizes = self.raw_counts[ids]
+        raw = gather(self.raw_flat, self.raw_starts[ids], sizes)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        off = upto[np.concatenate([[0], np.cumsum(counts)])]
+        plain = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(off), pa.py_buffer(raw)])
+        try:
+            texts = plain.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            texts = pa.array([b.as_py().decode("utf-8", "replace") for b in plain], pa.large_string())
+        return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
 
 
 _models: dict[str, PieceModel] = {}
@@ -188,17 +246,12 @@ def encode(text: Column, path: str) -> Column:
     """struct(ids array<int>, decoded string) of a text column."""
     @F.arrow_udf(ENCODED)
     def run(texts: pa.Array) -> pa.Array:
-        m = model(path)
-        ids, offsets, decoded = [], [0], []
-        for t in texts:
-            own, back = m.encode(t.as_py())
-            ids.append(pa.array(own, pa.int32()))
-            offsets.append(offsets[-1] + len(own))
-            decoded.append(back)
-        flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
-        return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array(decoded, pa.string())],
-            names=["ids", "decoded"])
+        m, out = model(path), []
+        for part in slices(pa.record_batch([texts], names=["text"]), size=SLICE_BYTES):
+            ids, counts = m.encode(part.column(0))
+            out.append(pa.StructArray.from_arrays(
+                [lists(ids, counts, pa.int32()), m.decode(ids, counts).cast(pa.string())], names=["ids", "decoded"]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
 
     return run(text)
 
@@ -207,8 +260,8 @@ def decode(ids: Column, path: str) -> Column:
     """Text of a column of ids; null ids give an empty text."""
     @F.arrow_udf(T.StringType())
     def run(rows: pa.Array) -> pa.Array:
-        m = model(path)
-        return pa.array([m.decode(r.as_py() or []) for r in rows], pa.string())
+        counts = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return model(path).decode(rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts).cast(pa.string())
 
     return run(ids)
 

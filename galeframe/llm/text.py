@@ -50,7 +50,8 @@ class Words:
         return self.data[self.starts[i]:self.ends[i]].tobytes()
 
 
-def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts and len(texts) + 1 offsets; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -62,7 +63,8 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span; spans are not empty, ordered and don't overlap."""
     out = np.zeros(len(starts), np.uint64)
     lengths = ends - starts
     i = 0
@@ -86,7 +88,7 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 def words(texts: pa.Array, kept: np.ndarray) -> Words:
     """Lower-cases A-Z and cuts every text into its maximal runs of kept bytes. A null text has no words."""
-    raw, off = _flat(texts)
+    raw, off = flat(texts)
     data = LOWER[raw]
     inside = np.concatenate([kept[data], [False]])
     before = np.concatenate([[False], inside[:-1]])
@@ -96,7 +98,14 @@ def words(texts: pa.Array, kept: np.ndarray) -> Words:
     after[last[last >= 0]] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, off), _hashes(data, starts, ends))
+    return Words(data, starts, ends, np.searchsorted(starts, off), spans_hash(data, starts, ends))
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct texts among byte spans (told apart by their 64-bit hashes), and which one each span is."""
+    _, where, which = np.unique(spans_hash(data, starts, ends), return_index=True, return_inverse=True)
+    whole = data.tobytes()
+    return [whole[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], which
 
 
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -3,7 +3,7 @@
 Pre-tokens of many texts that a worker has not met are laid out as one flat array of symbols with their
 lengths. In each round every sequence looks up the rank of its neighbouring pairs and applies all
 occurrences of its own lowest-ranked pair at once; sequences without a known pair are done. What survives
-is the token count. Counts of short pre-tokens are kept in a bounded table per worker.
+is the token count. Counts are kept in a bounded table per worker.
 
 Null and empty texts have 0 tokens. The file's added tokens count as one token wherever they occur, as the
 library does by default. Nothing is truncated.
@@ -20,12 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galeframe.llm.text import slices
+from galeframe.llm.text import distinct, flat, slices
 
 #: fixed: the pattern of byte-level BPE
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 KEPT = 1_000_000
 FLAT = 1 << 20  # symbols merged at a time
+SLICE_BYTES = 12 << 20
+_BYTES = np.arange(256)
+SPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
+#: bytes that cannot end a white-space character, so that a part may end after them
+ENDS_PART = ~(SPACE | ((_BYTES >= 0x1C) & (_BYTES <= 0x1F)) | ((_BYTES >= 0x80) & (_BYTES <= 0x8A))
+              | np.isin(_BYTES, [0x9F, 0xA0, 0xA8, 0xA9, 0xAF]))
 
 
 def _byte_letters() -> dict[str, int]:
@@ -110,30 +116,44 @@ class MergeTable:
             begin = end
         return fresh
 
-    def count(self, texts: list[str | None]) -> list[int]:
-        split, special = [], []
-        for t in texts:
-            if not t:
-                split.append([])
-                special.append(0)
-            elif self.added is not None and (cuts := self.added.findall(t)):
-                split.append([p for part in self.added.split(t) for p in PRE_TOKENS.findall(part)])
-                special.append(len(cuts))
-            else:
-                split.append(PRE_TOKENS.findall(t))
-                special.append(0)
+    def count_parts(self, parts: list[str]) -> list[int]:
+        """Token counts of texts; each may hold several pre-tokens."""
+        split = [PRE_TOKENS.findall(p) for p in parts]
         unknown = list({p for tokens in split for p in tokens if p not in self.counts})
         fresh = self.learn(unknown)
         if len(self.counts) + len(fresh) > KEPT:
-            fresh |= {p: self.counts[p] for tokens in split for p in tokens if p in self.counts}
+            known = {p: self.counts[p] for tokens in split for p in tokens if p in self.counts} | fresh
             self.counts = {}
-            known = fresh
         else:
-            self.counts.update((p, n) for p, n in fresh.items() if len(p) <= 64)
-            known = self.counts if all(len(p) <= 64 for p in unknown) else self.counts | fresh
-        if known is fresh and len(fresh) <= KEPT:
-            self.counts = {p: n for p, n in fresh.items() if len(p) <= 64}
-        return [sum(map(known.__getitem__, tokens)) + extra for tokens, extra in zip(split, special, strict=True)]
+            self.counts.update(fresh)
+            known = self.counts
+        return [sum([known[p] for p in tokens]) for tokens in split]
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Token counts of whole texts. A text is cut where a run of white space begins, which no
+        pre-token crosses, and the distinct parts are counted once."""
+        raw = texts.to_pylist()
+        special = np.zeros(len(raw), np.int64)
+        owner = np.arange(len(raw))
+        if self.added is not None:
+            found = [k for k, t in enumerate(raw) if t and self.added.search(t)]
+            if found:  # such texts fall into the parts between the added tokens
+                special[found] = [len(self.added.findall(raw[k])) for k in found]
+                pieces = [self.added.split(t) if special[k] else [t] for k, t in enumerate(raw)]
+                owner = np.repeat(owner, [len(p) for p in pieces])
+                texts = pa.array([p for own in pieces for p in own], pa.string())
+        data, off = flat(texts)
+        if not len(data):
+            return special
+        cut = np.zeros(len(data), bool)
+        cut[1:] = SPACE[data[1:]] & ENDS_PART[data[:-1]]
+        cut[off[:-1][np.diff(off) > 0]] = True
+        starts = np.flatnonzero(cut)
+        parts, which = distinct(data, starts, np.append(starts[1:], len(data)))
+        each = np.array(self.count_parts(parts), np.int64)[which]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        per_piece = np.diff(upto[np.searchsorted(starts, off)])
+        return special + np.bincount(owner, weights=per_piece, minlength=len(raw)).astype(np.int64)
 
 
 _tables: dict[str, MergeTable] = {}
@@ -150,9 +170,9 @@ def count_tokens(text: Column, path: str) -> Column:
     @F.arrow_udf(T.LongType())
     def run(texts: pa.Array) -> pa.Array:
         merges, out = table(path), []
-        for part in slices(pa.record_batch([texts], names=["text"])):
-            out += merges.count(part.column(0).to_pylist())
-        return pa.array(out, pa.int64())
+        for part in slices(pa.record_batch([texts], names=["text"]), size=SLICE_BYTES):
+            out.append(pa.array(merges.count(part.column(0)), pa.int64()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.int64())
 
     return run(text)
 
