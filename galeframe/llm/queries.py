@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import sentencepiece_bpe, token_counts
+from galeframe.llm import factorisation, kneser_ney, pii, sentencepiece_bpe, token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
+TEST_KEY = b"galeframe test key"
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +29,25 @@ def joined_ids(ids: Column) -> Column:
     return F.array_join(ids.cast("array<string>"), ",")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of the test queries is public; a real run brings its own."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.fit(docs, table(spark, sf_dir, "labels"))
+    return kneser_ney.scored(docs, model).select(
+        "doc_id", (factorisation.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = factorisation.fit(docs, table(spark, sf_dir, "labels"))
+    return factorisation.scored(docs, model).select(
+        "doc_id", (factorisation.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sentencepiece_bpe.encode_documents(
         table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(PIECE_MODEL))
@@ -42,8 +62,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {}

@@ -14,6 +14,7 @@ tokens; every other text is encoded whole. Characters without a piece become byt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from galeframe.llm.text import distinct, flat, lists, slices
 
 BLANK = "\u2581"
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 5 << 20
 KEPT_PAIRS = 4_000_000  # verdicts on token pairs kept per worker; beyond it the table starts anew
 
 ENCODED = T.StructType([
@@ -242,20 +243,6 @@ def model(path: str) -> PieceModel:
     return _models[path]
 
 
-def encode(text: Column, path: str) -> Column:
-    """struct(ids array<int>, decoded string) of a text column."""
-    @F.arrow_udf(ENCODED)
-    def run(texts: pa.Array) -> pa.Array:
-        m, out = model(path), []
-        for part in slices(pa.record_batch([texts], names=["text"]), size=SLICE_BYTES):
-            ids, counts = m.encode(part.column(0))
-            out.append(pa.StructArray.from_arrays(
-                [lists(ids, counts, pa.int32()), m.decode(ids, counts).cast(pa.string())], names=["ids", "decoded"]))
-        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
-
-    return run(text)
-
-
 def decode(ids: Column, path: str) -> Column:
     """Text of a column of ids; null ids give an empty text."""
     @F.arrow_udf(T.StringType())
@@ -267,7 +254,18 @@ def decode(ids: Column, path: str) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """docs with the columns ids and decoded (columns of these names are replaced)."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    return docs.select(*rest, encode(F.col("text"), path).alias("_e")).select(
-        *rest, F.col("_e.ids").alias("ids"), F.col("_e.decoded").alias("decoded"))
+    """docs with the columns ids and decoded (columns of these names are replaced). Results leave the worker
+    slice by slice, so its memory follows the slice, not the batch."""
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for batch in batches:
+            for part in slices(batch, size=SLICE_BYTES):
+                ids, counts = m.encode(part.column("text"))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, lists(ids, counts, pa.int32()), m.decode(ids, counts).cast(pa.string())],
+                    names=[*part.schema.names, "ids", "decoded"])
+
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, *ENCODED.fields]))

@@ -26,7 +26,7 @@ from galeframe.llm.text import distinct, flat, slices
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 KEPT = 1_000_000
 FLAT = 1 << 20  # symbols merged at a time
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 _BYTES = np.arange(256)
 SPACE = (_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D))
 #: bytes that cannot end a white-space character, so that a part may end after them
