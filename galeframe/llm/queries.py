@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import factorisation, kneser_ney, pii, sentencepiece_bpe, token_counts
+from galeframe.llm import factorisation, kneser_ney, ngram_join, pii, sentencepiece_bpe, token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = kneser_ney.fit(docs, table(spark, sf_dir, "labels"))
@@ -63,6 +67,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_ngram_join": op2_ngram_join,
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
