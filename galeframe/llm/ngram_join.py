@@ -156,14 +156,12 @@ def block_pairs(postings: DataFrame, percent: int) -> DataFrame:
     a = placed.select("token", F.col("_block").alias("_block_a"), *[F.col(c).alias(f"{c}_a") for c in cols])
     b = placed.select("token", F.col("_block").alias("_block_b"), *[F.col(c).alias(f"{c}_b") for c in cols])
     first = a.join(able, ["token", "_block_a"])
-    same = F.col("_block_a") == F.col("_block_b")
     # the filters stand in the join's condition, so that no pair leaves it that is not to be verified
     joined = first.alias("x").join(b.alias("y"), (
         (F.col("x.token") == F.col("y.token")) & (F.col("x._block_b") == F.col("y._block_b"))
         & (F.col("class_a") != F.col("class_b"))
         & (~(F.col("x._block_a") == F.col("x._block_b")) | (F.col("id_a") < F.col("id_b")))
         & _reachable(percent, "n_a", "pos_a", "n_b", "pos_b")))
-    del same
     return joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
