@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import factorisation, kneser_ney, ngram_join, pii, positional_index, sentencepiece_bpe, token_counts
+from galeframe.llm import factorisation, kneser_ney, ngram_join, pii, positional_index, projection_forest, sentencepiece_bpe, token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
@@ -55,6 +55,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (factorisation.fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = factorisation.fit(docs, table(spark, sf_dir, "labels"))
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op7_near_vectors": op7_near_vectors,
     "op9_quality": op9_quality,
 }
 
