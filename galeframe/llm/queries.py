@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import factorisation, kneser_ney, ngram_join, pii, positional_index, projection_forest, sentencepiece_bpe, token_counts
+from galeframe.llm import factorisation, hidden_markov, kneser_ney, ngram_join, pii, positional_index, projection_forest, sentencepiece_bpe, token_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
@@ -59,6 +59,10 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_forest.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = factorisation.fit(docs, table(spark, sf_dir, "labels"))
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op7_near_vectors": op7_near_vectors,
+    "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
 }
 
