@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from galeframe.llm.factorisation import fold
 from galeframe.llm.text import ALNUM, Words, slices, words
 
-SAMPLE_ROWS = 5_000
-SAMPLE_BYTES = 16 << 20
+SAMPLE_ROWS = 2_500
+SAMPLE_BYTES = 12 << 20
 ORDER = 7       # symbols of a gram, the predicted one included; at most 7
 OWN_ORDER = 3   # grams of fewer symbols are shared by the classes
 DISCOUNT = 2.0
@@ -94,13 +94,13 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class SpellingCounts:
     """Kneser-Ney counts of one class, or of both together, order by order."""
 
-    def __init__(self, symbols: np.ndarray, place: np.ndarray):
+    def __init__(self, symbols: np.ndarray, place: np.ndarray, weight: np.ndarray):
+        """weight: in how many texts the word of each symbol occurs."""
         inside = place > 0
-        top = grams(symbols, place, ORDER)[inside]
         self.keys: dict[int, np.ndarray] = {}
         self.counts: dict[int, np.ndarray] = {}
-        keys, counts = np.unique(top, return_counts=True)
-        lower_keys, lower_counts = keys, counts
+        lower_keys, which = np.unique(grams(symbols, place, ORDER)[inside], return_inverse=True)
+        lower_counts = np.bincount(which, weights=weight[inside], minlength=len(lower_keys))
         for n in range(ORDER, 0, -1):
             own = sizes(lower_keys) == np.uint64(n)
             self.keys[n], self.counts[n] = lower_keys[own], lower_counts[own].astype(np.float64)
@@ -193,10 +193,10 @@ class Contrast:
         self.slope, self.shift = a / spread, b
 
 
-def contrast(toxic: tuple[np.ndarray, np.ndarray], ordinary: tuple[np.ndarray, np.ndarray]) -> Contrast:
-    """The tables of two classes, each given as the symbols and places of its words."""
+def contrast(toxic: tuple[np.ndarray, ...], ordinary: tuple[np.ndarray, ...]) -> Contrast:
+    """The tables of two classes, each given as symbols, places and weights of its words."""
     own = [SpellingCounts(*toxic), SpellingCounts(*ordinary)]
-    both = SpellingCounts(np.concatenate([toxic[0], ordinary[0]]), np.concatenate([toxic[1], ordinary[1]]))
+    both = SpellingCounts(*[np.concatenate(x) for x in zip(toxic, ordinary, strict=True)])
     keys = {n: np.unique(np.concatenate([c.keys[n] for c in own])) for n in range(OWN_ORDER, ORDER + 1)}
     # shared probabilities of all grams of the highest shared order, from the lowest order up
     top = both.keys[OWN_ORDER - 1]
@@ -231,14 +231,15 @@ def contrast(toxic: tuple[np.ndarray, np.ndarray], ordinary: tuple[np.ndarray, n
     return Contrast(g[by_g], np.concatenate(gram_values)[by_g], c[by_c], np.concatenate(context_values)[by_c])
 
 
-def once_each(texts: pa.Array) -> tuple[Words, np.ndarray]:
-    """The words of texts, and a place of each distinct word of each text."""
+def counted_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols and places of the distinct words of all texts, and in how many texts each word occurs."""
     w = words(texts, ALNUM)
+    _, which, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
     owner = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    order = np.lexsort((w.hashes, owner))
-    new = np.ones(len(order), bool)
-    new[1:] = (owner[order][1:] != owner[order][:-1]) | (w.hashes[order][1:] != w.hashes[order][:-1])
-    return w, order[new]
+    own = np.unique(owner << 32 | inverse) & 0xFFFFFFFF
+    symbols, place = spelt(w, which)
+    many = np.bincount(own, minlength=len(which))
+    return symbols, place, np.repeat(many, (w.ends - w.starts)[which] + 2)
 
 
 def train(texts: pa.Array, label: np.ndarray, prior: float = 0.5) -> Contrast:
@@ -247,7 +248,7 @@ def train(texts: pa.Array, label: np.ndarray, prior: float = 0.5) -> Contrast:
     empty = np.zeros(0, np.uint64)
     kept = np.arange(len(label)) % 3 == 2
     counted, held = np.flatnonzero(~kept), np.flatnonzero(kept)
-    sides = [spelt(*once_each(texts.take(pa.array(counted[label[counted] == value])))) for value in (1, 0)]
+    sides = [counted_words(texts.take(pa.array(counted[label[counted] == value]))) for value in (1, 0)]
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     if not len(sides[0][0]) or not len(sides[1][0]):
         return Contrast(empty, np.zeros(0), empty, np.zeros(0), 1.0, float(np.log(prior / (1 - prior))))
