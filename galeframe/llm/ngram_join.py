@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.llm.graph import components
+from galeframe.llm.scratch import Scratch
 from galeframe.llm.text import NOT_SPACE, lists, mix, runs, slices, words
-from galeframe.operators.scale import saved
-from galeframe.session import scratch_path
 
 SKETCH_BITS = 19
-PAIRS_A_POSTING = 8  # lists are worked off block by block when that many pairs a posting are left at most
+ID_BITS = 23
+PAIRS_A_POSTING = 8  # left at most, of all postings of shared shingles: then block by block
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -75,7 +75,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> DataFrame:
-    """doc_id, n, two fingerprints of the set and the prefix shingles in the global order."""
+    """doc_id, n, two fingerprints of the set, the prefix shingles in the global order, and the histogram."""
     # only what stands out of the sketch's noise tells a shingle's rank; the rest go by their hash
     rank = np.maximum(order - 2 * int(order.mean()) - 16, 0)
     shared = docs.sparkSession.sparkContext.broadcast(rank)
@@ -84,7 +84,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> Dat
         ranks = shared.value
         for batch in batches:
             for part in slices(batch):
-                n, a, b, kept, lengths = [], [], [], [], []
+                n, a, b, kept, lengths, parts = [], [], [], [], [], []
                 for own in shingle_sets(part.column("text"), size):
                     n.append(len(own))
                     a.append(int(own.sum(dtype=np.uint64)))
@@ -93,40 +93,98 @@ def prefixes(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> Dat
                     r = ranks[_bucket(own)]
                     kept.append(own[np.argsort(r, kind="stable")[:k]] if r.any() else own[:k])
                     lengths.append(k)
+                    parts.append(_histogram(own))
                 flat = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
                 yield pa.record_batch([
                     part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)),
                     pa.array(np.array(b, np.uint64).view(np.int64)),
-                    lists(flat.view(np.int64), np.array(lengths, np.int64), pa.int64())],
-                    names=["doc_id", "n", "fa", "fb", "prefix"])
+                    lists(flat.view(np.int64), np.array(lengths, np.int64), pa.int64()),
+                    pa.array(parts, pa.binary())],
+                    names=["doc_id", "n", "fa", "fb", "prefix", "parts"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, fa long, fb long, prefix array<long>")
+        run, "doc_id long, n long, fa long, fb long, prefix array<long>, parts binary")
 
 
-def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """rows (a, b, text) with text replaced by its shingle set."""
+def _histogram(own: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of equal parts of the hash space, two to four on average."""
+    bits = max(0, len(own).bit_length() - 2)
+    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64),
+                                  minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(a: bytes, b: bytes, percent: int) -> bool:
+    """The parts' smaller counts bound the intersection from above, so what they rule out can't link."""
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    if x.max() == 255 or y.max() == 255:
+        return True
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(1)
+    elif len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(1)
+    common = int(np.minimum(x, y).sum())
+    return 100 * common >= percent * (int(x.sum()) + int(y.sum()) - common)
+
+
+def filtered(base: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the histograms of their sets don't rule out."""
+    told = base.filter("n > 0").select("doc_id", "parts")
+    both = pairs.join(told.select(F.col("doc_id").alias("a"), F.col("parts").alias("x")), "a").join(
+        told.select(F.col("doc_id").alias("b"), F.col("parts").alias("y")), "b")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                sets = list(shingle_sets(part.column("text"), size))
-                flat = np.concatenate(sets).view(np.int64)
-                yield pa.record_batch([
-                    part.column("a"), part.column("b"), lists(flat, np.array([len(s) for s in sets]), pa.int64())],
-                    names=["a", "b", "own"])
+            good = [_may_link(x.as_py(), y.as_py(), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
-    return rows.select("a", "b", "text").mapInArrow(run, "a long, b long, own array<long>")
 
+def id_filter(pairs: DataFrame) -> np.ndarray:
+    """Bits of the hashes of the ids in pairs: a table of fixed size, joined tree-wise."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << ID_BITS, bool)
+        for batch in batches:
+            for c in ("a", "b"):
+                bits[_id_place(batch.column(c))] = True
+        yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    def join(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+        return b if a is None else a if b is None else a | b
+
+    packed = pairs.select("a", "b").mapInArrow(mark, "bits binary").rdd.map(
+        lambda r: np.frombuffer(r["bits"], np.uint8)).treeAggregate(None, join, join)
+    return np.zeros(1 << ID_BITS, bool) if packed is None else np.unpackbits(packed).astype(bool)
+
+
+def _id_place(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+
+def verified(docs: DataFrame, base: DataFrame, pairs: DataFrame, size: int, percent: int, tables: Scratch) -> DataFrame:
+    """The pairs (a, b) whose whole sets link: first by their histograms, then by their texts. Texts that no
+    pair names stay where they are (a bit table of fixed size keeps most of them from the join)."""
+    pairs = tables.written(filtered(base, pairs, percent))
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(pairs))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bits.value[_id_place(batch.column("doc_id"))]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "x"):
+                x, y = (shingle_sets(part.column(c), size) for c in ("x", "y"))
+                good = []
+                for one, other in zip(x, y, strict=True):
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    good.append(100 * common >= percent * (len(one) + len(other) - common))
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    left = _sets(docs.join(pairs.withColumn("doc_id", F.col("a")), "doc_id"), size)
-    right = _sets(docs.join(pairs.select(F.col("b").alias("doc_id")).distinct(), "doc_id").select(
-        F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), "text"), size).select("b", F.col("own").alias("other"))
-    common = F.size(F.array_intersect("own", "other")).cast("long")
-    return (left.join(right, "b")
-            .select("a", "b", common.alias("i"), (F.size("own") + F.size("other")).cast("long").alias("s"))
-            .filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"))
+    some = docs.filter("doc_id is not null").mapInArrow(asked, "doc_id long, text string")
+    both = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(
+        some.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def _reachable(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
@@ -165,57 +223,53 @@ def block_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (u, v) of verified links, enough to span every class, and of equal sets."""
-    some = base.filter("n > 0 and doc_id is not null")
+def links(docs: DataFrame, base: DataFrame, size: int, percent: int, tables: Scratch) -> DataFrame:
+    """id and component of every set that links or is equal to another one."""
+    some = base.filter("n > 0 and doc_id is not null").select("doc_id", "n", "fa", "fb", "prefix")
     first = some.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("head"))
     named = some.join(first, ["fa", "fb", "n"])
-    edges = named.filter("doc_id <> head").select(F.col("doc_id").alias("u"), F.col("head").alias("v")).distinct()
+    found = tables.written(named.filter("doc_id <> head").select(
+        F.col("doc_id").alias("u"), F.col("head").alias("v")).distinct())
     postings = named.filter("doc_id = head").select(
-        F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
+        F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     heads = postings.groupBy("token").agg(
         F.count("*").alias("m"), F.min(F.struct("pos", "id", "n")).alias("lead")).filter("m > 1")
-    lists_ = saved(postings.join(heads.drop("m"), "token"))
-    found: DataFrame | None = None
+    lists_ = tables.written(postings.join(heads.drop("m"), "token"))
+    every = lists_.count()
     left_over = None
     while True:
         near = lists_.select("*", F.col("lead.n").alias("n_lead"), F.col("lead.pos").alias("pos_lead")).filter(
             (F.col("id") != F.col("lead.id")) & _reachable(percent, "n", "pos", "n_lead", "pos_lead"))
         if left_over is not None:
             near = near.filter(F.col("class") != F.col("lead.class"))
-        pairs = saved(near.select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct())
-        new = verified(docs, pairs, size, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        found = saved(new if found is None else found.unionAll(new))
+        pairs = near.select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
+        new = verified(docs, base, pairs, size, percent, tables)
+        found = tables.written(found.unionAll(new.select(F.col("a").alias("u"), F.col("b").alias("v"))))
         classes = components(found)
         placed = lists_.filter(F.col("id") != F.col("lead.id")).select("token", "id", "n", "pos").join(
-            classes.select("id", "component"), "id", "left").withColumn("class", F.coalesce("component", "id"))
-        mixed = placed.groupBy("token").agg(
+            classes, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("class"))
+        mixed = tables.written(placed.groupBy("token").agg(
             F.count("*").alias("m"), F.min("class").alias("c0"), F.max("class").alias("c1"),
-            F.min(F.struct("pos", "id", "n", "class")).alias("lead")).filter("c0 <> c1")
-        mixed = saved(mixed)
+            F.min(F.struct("pos", "id", "n", "class")).alias("lead")).filter("c0 <> c1"))
         size_of = mixed.agg(F.sum("m").alias("rows"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs")).first()
         if not size_of["rows"]:
-            break
-        placed = placed.drop("component").join(mixed.select("token", "lead"), "token")
-        if size_of["pairs"] <= PAIRS_A_POSTING * size_of["rows"] or (
+            return classes
+        placed = tables.written(placed.join(mixed.select("token", "lead"), "token"))
+        if size_of["pairs"] <= PAIRS_A_POSTING * every or (
                 left_over is not None and size_of["pairs"] > 0.8 * left_over):
-            rest = saved(block_pairs(placed.drop("lead"), percent))
-            found = saved(found.unionAll(verified(docs, rest, size, percent).select(
-                F.col("a").alias("u"), F.col("b").alias("v"))))
-            break
+            rest = block_pairs(placed.drop("lead"), percent)
+            new = verified(docs, base, rest, size, percent, tables)
+            return components(tables.written(found.unionAll(new.select(F.col("a").alias("u"), F.col("b").alias("v")))))
         left_over = size_of["pairs"]
-        lists_ = saved(placed)
-    return edges.unionAll(found)
+        lists_ = placed
 
 
 def link_classes(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles (long) and component_id, the smallest id reachable by links, for every row."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    path = scratch_path(spark, "shingles")
-    prefixes(docs, size, percent, sketch(docs, size)).write.parquet(path)
-    base = spark.read.parquet(path)
-    classes = components(links(docs, base, size, percent))
+    with Scratch(docs.sparkSession) as tables:
+        base = tables.written(prefixes(docs, size, percent, sketch(docs, size)), stays=True)
+        classes = links(docs, base, size, percent, tables)
     return base.select("doc_id", F.col("n").alias("n_shingles")).join(
         classes.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
