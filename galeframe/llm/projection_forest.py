@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.llm.graph import components
+from galeframe.llm.scratch import Scratch
 from galeframe.llm.text import lists
-from galeframe.operators.scale import saved
 
 TREES = 5
 LEVELS = 40     # of splits at most
 LEAF = 512      # vectors of a leaf that is not split further
 SPILL = 0.1     # share of ranks on each side of the median that goes to both halves
-BLOCK = 1024    # vectors compared with another block at a time
+BLOCK = 256     # vectors compared with another block at a time
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -77,10 +77,10 @@ def projections(vectors: DataFrame, trees: int, seed: int) -> DataFrame:
         run, "key long, label long, dim int, tree int, p array<float>")
 
 
-def leaves(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> DataFrame:
+def leaves(vectors: DataFrame, tables: Scratch, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> DataFrame:
     """key and its leaves: label, dim, tree, node."""
     node = ["label", "dim", "tree", "node"]
-    now = saved(projections(vectors, trees, seed).withColumn("node", F.lit(1).cast("long")))
+    now = tables.written(projections(vectors, trees, seed).withColumn("node", F.lit(1).cast("long")))
     done: DataFrame | None = None
     for level in range(LEVELS):
         p = F.element_at("p", level + 1)
@@ -88,7 +88,7 @@ def leaves(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, seed: int =
             F.count("*").alias("n"), F.min(p).alias("least"), F.max(p).alias("most"),
             F.percentile_approx(p, [0.5 - SPILL, 0.5 + SPILL], 2000).alias("q"))
         large = (F.col("n") > leaf) & (F.col("least") < F.col("most"))
-        placed = saved(now.join(cuts, node).withColumn("large", large))
+        placed = tables.written(now.join(cuts, node).withColumn("large", large))
         ended = placed.filter("not large").select("key", *node)
         done = ended if done is None else done.unionAll(ended)
         # the most frequent projection may fill both marks; then the cut lies beside it
@@ -166,23 +166,25 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, trees: int = TREES, leaf
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     # a vector is known by the 64-bit hash of label and numbers
     keyed = rows.withColumn("key", F.when(usable(), F.xxhash64("label", "embedding")))
-    vectors = saved(keyed.filter("key is not null").groupBy("key").agg(
-        F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"),
-        F.first("embedding").alias("embedding")))
-    in_leaves = leaves(vectors, trees, leaf).join(vectors.select("key", "embedding"), "key")
-    group = ["label", "dim", "tree", "node"]
-    edges = _blocks(in_leaves, group, max(leaf, BLOCK)).groupBy(*group, "i", "j").applyInArrow(
-        _leaf_edges(cosine), "u long, v long")
-    classes = saved(components(edges).withColumnRenamed("id", "key"))
-    members = vectors.join(classes, "key")
-    counted = _blocks(members.select("key", "component", "copies", "embedding"), ["component"], BLOCK).groupBy(
-        "component", "i", "j").applyInArrow(_counts(cosine), "key long, links long").groupBy("key").agg(
-        F.sum("links").alias("links"))
-    first = members.groupBy("component").agg(F.min("least").alias("first"))
-    told = (vectors.select("key", "copies", "least").join(classes, "key", "left").join(first, "component", "left")
-            .join(counted, "key", "left")
-            .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                    F.coalesce("first", "least").alias("component_id")))
+    with Scratch(rows.sparkSession) as tables:
+        vectors = tables.written(keyed.filter("key is not null").groupBy("key").agg(
+            F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("label").alias("label"),
+            F.first("embedding").alias("embedding")))
+        in_leaves = leaves(vectors, tables, trees, leaf).join(vectors.select("key", "embedding"), "key")
+        group = ["label", "dim", "tree", "node"]
+        edges = _blocks(in_leaves, group, max(leaf, BLOCK)).groupBy(*group, "i", "j").applyInArrow(
+            _leaf_edges(cosine), "u long, v long")
+        classes = components(edges).withColumnRenamed("id", "key")
+        members = vectors.join(classes, "key")
+        counted = _blocks(members.select("key", "component", "copies", "embedding"), ["component"], BLOCK).groupBy(
+            "component", "i", "j").applyInArrow(_counts(cosine), "key long, links long").groupBy("key").agg(
+            F.sum("links").alias("links"))
+        first = members.groupBy("component").agg(F.min("least").alias("first"))
+        told = vectors.select("key", "copies", "least").join(classes, "key", "left").join(
+            first, "component", "left").join(counted, "key", "left").select(
+            "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.coalesce("first", "least").alias("component_id"))
+        told = tables.written(told, stays=True)
     return keyed.select("vec_id", "key").join(told, "key", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),

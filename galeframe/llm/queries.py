@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import factorisation, hidden_markov, kneser_ney, ngram_join, pii, positional_index, projection_forest, sentencepiece_bpe, token_counts
+from galeframe.llm import (
+    block_labeller,
+    factorisation,
+    hidden_markov,
+    kneser_ney,
+    ngram_join,
+    pii,
+    positional_index,
+    projection_forest,
+    sentencepiece_bpe,
+    token_counts,
+)
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
@@ -83,6 +94,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(docs, tokenizer_path(BYTE_MODEL)).drop("text")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return block_labeller.extract(pages, block_labeller.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -93,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_vectors": op7_near_vectors,
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {}
