@@ -29,6 +29,7 @@ WORD_SPACE = 1 << 16
 FACTORS = 8
 BINS = 12
 EPOCHS = 8
+STEPS = 400        # of training at least, however few rows there are
 _B = np.arange(256)
 _UPPER = (_B >= 0x41) & (_B <= 0x5A)
 _DIGIT = (_B >= 0x30) & (_B <= 0x39)
@@ -134,15 +135,16 @@ def train(index: np.ndarray, values: np.ndarray, counts: np.ndarray, label: np.n
           rate: float = 0.05, decay: float = 1e-5) -> Machine:
     """Adagrad on the logistic loss, in batches of a fixed order."""
     rng = np.random.default_rng(9)
-    m = Machine(0.0, np.zeros(FEATURES), rng.normal(0, 0.01, (FEATURES, FACTORS)))
     if not len(label):
-        return m
+        return Machine(0.0, np.zeros(FEATURES), np.zeros((FEATURES, FACTORS)))
+    m = Machine(0.0, np.zeros(FEATURES), rng.normal(0, 0.01, (FEATURES, FACTORS)))
     mean = np.clip(label.mean(), 0.01, 0.99)
     m.bias = float(np.log(mean / (1 - mean)))
     grown_w, grown_v, grown_b = np.full(FEATURES, 1e-4), np.full((FEATURES, FACTORS), 1e-4), 1e-4
     start = np.cumsum(counts) - counts
-    for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(label)), max(1, len(label) // 128)):
+    parts = max(1, len(label) // 128)
+    for _ in range(max(epochs, -(-STEPS // parts))):
+        for rows in np.array_split(rng.permutation(len(label)), parts):
             n = counts[rows]
             begin = np.cumsum(n) - n
             at = np.arange(int(n.sum())) + np.repeat(start[rows] - begin, n)
