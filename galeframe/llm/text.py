@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20   # text worked on at a time
-PIECE_BYTES = 1 << 20   # text hashed at a time
+SLICE_BYTES = 2 << 20   # text worked on at a time
+PIECE_BYTES = 1 << 18   # text hashed at a time
 LONG_WORD = 1 << 16     # longer words are hashed on their own
 
 _BYTES = np.arange(256)
@@ -126,6 +126,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         end = max(at + 1, int(np.searchsorted(upto, base + size, "right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # what the slices needed goes back before the next batch comes
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
