@@ -8,51 +8,81 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galeframe import constants as K
-from galeframe.operators.scale import number_rows, previous_value
+from galeframe.operators.scale import join_same, number_rows, previous_value
 
 
-def missing_draws(draws: DataFrame, keys: Sequence[str], n: int = K.NUM_DRAWS) -> DataFrame:
-    """Draw numbers 0..n-1 absent per key. The present ones fold into one set of at most n numbers."""
+def _all_keys(draws: DataFrame, keys: Sequence[str], expected: DataFrame | None) -> DataFrame:
+    """Keys that are expected or have a draw, NULL included."""
+    have = draws.select(*keys)
+    return (have if expected is None else have.unionByName(expected.select(*keys))).distinct()
+
+
+def missing_draws(draws: DataFrame, keys: Sequence[str], n: int = K.NUM_DRAWS, expected: DataFrame | None = None) -> DataFrame:
+    """Draw numbers 0..n-1 absent per key. expected names the keys that should be there, so that a key without
+    any draw is missing all. The present draws fold into one set of at most n numbers."""
     keys = list(keys)
     inside = draws.filter((F.col("draw") >= 0) & (F.col("draw") < n))
-    present = draws.select(*keys).distinct().join(
-        inside.groupBy(*keys).agg(F.collect_set("draw").alias("_have")), keys, "left")
+    present = join_same(_all_keys(draws, keys, expected), inside.groupBy(*keys).agg(F.collect_set("draw").alias("_have")), keys, "left")
     wanted = F.sequence(F.lit(0), F.lit(n - 1))
     return present.select(*keys, F.explode(F.array_except(wanted, F.coalesce("_have", F.array().cast("array<int>")))).alias("draw"))
 
 
-def batch_ranges(draws: DataFrame, keys: Sequence[str], size: int, n: int = K.NUM_DRAWS) -> DataFrame:
+def outside_draws(draws: DataFrame, keys: Sequence[str], n: int = K.NUM_DRAWS) -> DataFrame:
+    """Draws without a number or with one outside 0..n-1, which no batch counts."""
+    return draws.filter(F.col("draw").isNull() | (F.col("draw") < 0) | (F.col("draw") >= n)).groupBy(*keys, "draw").agg(
+        F.count("*").alias("n"))
+
+
+def batch_ranges(draws: DataFrame, keys: Sequence[str], size: int, n: int = K.NUM_DRAWS,
+                 expected: DataFrame | None = None) -> DataFrame:
     """Missing draws in order, cut into batches of size; first, last and the draws themselves, since
     present draws may lie between first and last."""
     keys = list(keys)
-    gaps = number_rows(missing_draws(draws, keys, n), keys, F.floor(F.col("draw") / 64), ["draw"], "_rn")
+    gaps = number_rows(missing_draws(draws, keys, n, expected), keys, F.floor(F.col("draw") / 64), ["draw"], "_rn")
     return gaps.groupBy(*keys, F.floor((F.col("_rn") - 1) / size).cast("int").alias("batch")).agg(
         F.min("draw").alias("first_draw"), F.max("draw").alias("last_draw"), F.count("*").alias("n_draws"),
         F.array_sort(F.collect_list("draw")).alias("draws"))
 
 
-def progress(draws: DataFrame, keys: Sequence[str], size: int = 10, n: int = K.NUM_DRAWS) -> DataFrame:
-    """Per key and batch of draws: present, expected, missing, duplicates and percent of the key."""
+def progress(draws: DataFrame, keys: Sequence[str], size: int = 10, n: int = K.NUM_DRAWS,
+             expected: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Per key and batch of draws: present, expected, missing, duplicates, draws that are present but not among
+    the stored ones (0 if stored is not given), and of the key: percent of n present, draws outside 0..n-1, and
+    whether it is complete."""
     keys = list(keys)
-    once = draws.filter((F.col("draw") >= 0) & (F.col("draw") < n)).groupBy(*keys, "draw").agg(F.sum("copies").alias("_c"))
+    inside = (F.col("draw") >= 0) & (F.col("draw") < n)
+    once = draws.filter(inside).groupBy(*keys, "draw").agg(F.sum("copies").alias("_c"))
+    if stored is not None:
+        kept = stored.select(*keys, "draw").distinct().withColumn("_kept", F.lit(True))
+        once = join_same(once, kept, [*keys, "draw"], "left")
+    unstored = F.count_if(F.col("_kept").isNull()) if stored is not None else F.lit(0).cast("long")
     batch = F.floor(F.col("draw") / size).cast("int")
     have = once.groupBy(*keys, batch.alias("batch")).agg(
-        F.count("*").alias("_present"), F.count_if(F.col("_c") > 1).alias("_dup"), F.collect_set("draw").alias("_have"))
+        F.count("*").alias("_present"), F.count_if(F.col("_c") > 1).alias("_dup"), F.collect_set("draw").alias("_have"),
+        unstored.alias("_unstored"))
+    whole = join_same(_all_keys(draws, keys, expected), draws.groupBy(*keys).agg(
+        F.count_distinct(F.when(inside, F.col("draw"))).alias("_all"), F.count_if(~inside | F.col("draw").isNull()).alias("_out")), keys, "left")
     last = (n + size - 1) // size - 1
-    plan = draws.select(*keys).distinct().withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    plan = whole.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(last))))
     low = F.col("batch") * size
     high = F.least(low + size - 1, F.lit(n - 1))
-    full = plan.join(have, [*keys, "batch"], "left")
+    full = join_same(plan, have, [*keys, "batch"], "left")
     missing = F.array_except(F.sequence(low, high), F.coalesce("_have", F.array().cast("array<int>")))
+    whole_n = F.coalesce("_all", F.lit(0))
     return full.select(
         *keys, "batch", F.coalesce("_present", F.lit(0)).alias("present"), (high - low + 1).alias("expected"),
         missing.alias("missing"), F.coalesce("_dup", F.lit(0)).alias("duplicates"),
-        (F.coalesce("_present", F.lit(0)) == high - low + 1).alias("complete"))
+        (F.coalesce("_present", F.lit(0)) == high - low + 1).alias("complete"),
+        F.coalesce("_unstored", F.lit(0)).alias("not_stored"), (100.0 * whole_n / n).alias("percent"),
+        F.coalesce("_out", F.lit(0)).alias("outside"), (whole_n == n).alias("key_complete"))
 
 
-def basin_check(draws: DataFrame, n: int = K.NUM_DRAWS, keys: Sequence[str] = ()) -> DataFrame:
-    """A basin needs at least n draw files; the global folder must hold none."""
-    counts = draws.groupBy(*keys, "basin").agg(F.count("*").alias("found"))
+def basin_check(draws: DataFrame, n: int = K.NUM_DRAWS, keys: Sequence[str] = (), expected: DataFrame | None = None) -> DataFrame:
+    """A basin needs at least n draw files; the global folder must hold none. expected names the basins that
+    should be there."""
+    both = [*keys, "basin"]
+    counts = join_same(_all_keys(draws, both, expected), draws.groupBy(*both).agg(F.count("*").alias("_n")), both, "left").select(
+        *both, F.coalesce("_n", F.lit(0)).alias("found"))
     issue = F.when(
         (F.col("basin") == K.GLOBAL_BASIN) & (F.col("found") != 0), F.format_string("Expected 0 draw files, found %d.", "found")
     ).when(

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe import constants as K
 from galeframe.functions import geo, intensity
 from galeframe.operators.grid import basin_bounds
+from galeframe.operators.scale import join_same
 
 TILE = 2.0  # degrees
 
@@ -120,16 +121,24 @@ def daily_exposure(wind: DataFrame, threshold: float = K.EXPOSURE_WIND, hours: C
     day, only the storm with the greatest id."""
     hours = F.col("step_hours") if hours is None else hours
     rows = wind.withColumn("day", F.to_date("ts")).withColumn("_h", F.when(F.col("speed") >= threshold, hours).otherwise(0.0))
-    if combine == "last":
-        latest = rows.groupBy("severity", "day").agg(F.max("storm").alias("storm"))
-        rows = rows.join(latest, ["severity", "day", "storm"], "left_semi")
-    elif combine != "sum":
+    if combine == "sum":
+        return rows.groupBy("severity", "day", "clat", "clon").agg(F.sum("_h").alias("hours"))
+    if combine != "last":
         raise ValueError("combine must be 'sum' or 'last'")
-    return rows.groupBy("severity", "day", "clat", "clon").agg(F.sum("_h").alias("hours"))
+    cells = rows.groupBy("severity", "day", "storm", "clat", "clon").agg(F.sum("_h").alias("hours"))
+    # both sides use the same columns and null-safe keys, so they come from one exchange of the sums and the
+    # footprint is made once; the bound by the greatest sum always holds
+    latest = cells.groupBy("severity", "day").agg(F.max("storm").alias("storm"), F.max("hours").alias("_most"))
+    kept = join_same(cells, latest, ["severity", "day", "storm"])
+    return kept.filter(F.coalesce(F.col("hours") <= F.col("_most"), F.lit(True))).select("severity", "day", "clat", "clon", "hours")
 
 
 def storm_intensity(wind: DataFrame) -> DataFrame:
     """Maximum wind per storm and cell, with the storm's severity, basin, first and last day."""
-    cells = wind.groupBy("storm", "severity", "basin", "clat", "clon").agg(F.max("speed").alias("intensity"))
-    days = wind.groupBy("storm").agg(F.min(F.to_date("ts")).alias("start_date"), F.max(F.to_date("ts")).alias("end_date"))
-    return cells.join(days, "storm")
+    day = F.to_date("ts")
+    cells = wind.groupBy("storm", "severity", "basin", "clat", "clon").agg(
+        F.max("speed").alias("intensity"), F.min(day).alias("_first"), F.max(day).alias("_last"))
+    # a storm has at most as many cells as the lattice, so the window is bounded, and the footprint is made once
+    storm = Window.partitionBy("storm")
+    return cells.withColumns({
+        "start_date": F.min("_first").over(storm), "end_date": F.max("_last").over(storm)}).drop("_first", "_last")

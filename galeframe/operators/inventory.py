@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galeframe import constants as K
 from galeframe.functions.text import issue_kind
-from galeframe.operators.scale import join_small, previous_value
+from galeframe.operators.scale import join_same, join_small, previous_value
 
 
 def missing_years(files: DataFrame, keys: Sequence[str], expected: DataFrame) -> DataFrame:
@@ -124,10 +124,15 @@ def grid_kind(meta: DataFrame, dims: str = "dims", coord_rank: str = "coord_rank
 
 
 def check_children(children: DataFrame, parent: Sequence[str], child: str, required: Sequence[str] = (),
-                   exact_count: int | None = None, at_least_one: Sequence[str] = ()) -> DataFrame:
-    """Rule breaks of each parent, one row per issue. The names under a parent fold into one set."""
+                   exact_count: int | None = None, at_least_one: Sequence[str] = (),
+                   expected: DataFrame | None = None) -> DataFrame:
+    """Rule breaks of each parent, one row per issue. The names under a parent fold into one set. expected names
+    the parents that should be there, so that one without children breaks its rules too."""
     parent = list(parent)
     have = children.groupBy(*parent).agg(F.array_sort(F.collect_set(child)).alias("_have"))
+    if expected is not None:
+        every = children.select(*parent).unionByName(expected.select(*parent)).distinct()
+        have = join_same(every, have, parent, "left").withColumn("_have", F.coalesce("_have", F.array().cast("array<string>")))
     issues = []
 
     def listed(a: Column) -> Column:

@@ -14,30 +14,35 @@ from pyspark.sql import functions as F
 
 from galeframe.session import shared_dir
 
-# rows of a per-key table that may be sent to every executor (narrow rows: a few numbers or a short array)
-SMALL_ROWS = 100_000
-
-
 def saved(df: DataFrame) -> DataFrame:
     """df written once to the shared checkpoint folder; its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys; the keys of the left side are kept."""
+    names = {k: f"_right_{k}" for k in keys}
+    other = right.withColumnsRenamed(names)
+    same = None
+    for k, r in names.items():
+        one = left[k].eqNullSafe(other[r])
+        same = one if same is None else same & one
+    return left.join(other, same, how).drop(*names.values())
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Joins a table of one narrow row per key to a large one. The small side is written and counted; up to
-    SMALL_ROWS it is broadcast, so the large side is not shuffled by what may be very few keys. Beyond
-    that it is an ordinary join."""
-    kept = saved(small)
-    if kept.count() <= SMALL_ROWS:
-        kept = F.broadcast(kept)
-    return big.join(kept, list(keys), how)
+    """Joins a table of one row per key to a large one; NULL keys are keys. Adaptive execution measures the small
+    side's bytes and broadcasts it below spark.sql.autoBroadcastJoinThreshold; beyond, a key with very many rows
+    is split by the skew join."""
+    return join_same(big, small, keys, how)
 
 
 def running_total(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence, value: Column,
                   out: str) -> DataFrame:
     """Inclusive running sum of value over (keys, order). bucket must not decrease along the order
-    and must be a function of it; keys must not be NULL."""
+    and must be a function of it. NULL keys form a group of their own; rows without an order value come first, in a
+    bucket of their own."""
     keys = list(keys)
     cut = df.withColumn("_bucket", bucket).withColumn("_value", value)
     sums = cut.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
@@ -46,7 +51,7 @@ def running_total(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumn("_local", F.sum("_value").over(inside))
     return (
-        local.join(offsets, [*keys, "_bucket"])
+        join_same(local, offsets, [*keys, "_bucket"])
         .withColumn(out, F.col("_local") + F.col("_offset"))
         .drop("_bucket", "_value", "_local", "_offset")
     )
@@ -181,7 +186,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], bucket: Column, order: Se
                    out: str) -> DataFrame:
     """value of the row before, along a unique order inside keys; NULL for the first row. bucket must
     not decrease along the order. Inside a bucket this is a lag; the first row of a bucket takes the
-    last row of the bucket before."""
+    last row of the bucket before. NULL keys form a group; rows without an order value come first."""
     keys = list(keys)
     cut = df.withColumn("_bucket", bucket)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
@@ -191,8 +196,8 @@ def previous_value(df: DataFrame, keys: Sequence[str], bucket: Column, order: Se
         .select(*keys, "_bucket", F.lag("_t._last").over(across).alias("_carry"))
     )
     return (
-        cut.withColumns({"_lag": F.lag(value).over(inside), "_rn": F.row_number().over(inside)})
-        .join(tails, [*keys, "_bucket"])
+        join_same(cut.withColumns({"_lag": F.lag(value).over(inside), "_rn": F.row_number().over(inside)}),
+                  tails, [*keys, "_bucket"])
         .withColumn(out, F.when(F.col("_rn") > 1, F.col("_lag")).otherwise(F.col("_carry")))
         .drop("_bucket", "_lag", "_rn", "_carry")
     )

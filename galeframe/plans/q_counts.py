@@ -12,13 +12,11 @@ from galeframe.plans.registry import R, ora, query, rounded
 _THRESH = """thresholds(threshold, wind) AS (VALUES ('any', 0.0::DOUBLE), ('tropical_storm', 17.0::DOUBLE),
   ('hurricane_minor', 33.0::DOUBLE), ('hurricane_major', 58.0::DOUBLE))"""
 
-_VALID = """valid AS (SELECT * FROM fx_points WHERE lon IS NOT NULL AND lat IS NOT NULL)"""
-
 _TRACKS = """tracks AS (SELECT model, scenario, year, basin, draw, storm, MAX(vmax_ms) AS peak
-  FROM valid GROUP BY ALL)"""
+  FROM fx_points GROUP BY ALL)"""
 
 _COUNTS = _THRESH + """,
-steps AS (SELECT v.storm, t.threshold, COUNT(*) AS n FROM valid v JOIN thresholds t ON v.vmax_ms >= t.wind
+steps AS (SELECT v.storm, t.threshold, COUNT(*) AS n FROM fx_points v JOIN thresholds t ON v.vmax_ms >= t.wind
           GROUP BY ALL),
 base AS (SELECT k.model, k.scenario, k.year, k.basin, k.draw, t.threshold,
            COUNT(*) FILTER (WHERE k.peak >= t.wind) AS cnt,
@@ -29,11 +27,11 @@ withgl AS (SELECT model, scenario, year, basin, draw, threshold, cnt, days FROM
          UNION ALL
          SELECT model, scenario, year, 'GL', draw, threshold, SUM(cnt), SUM(days) FROM base GROUP BY ALL)"""
 
-COUNT_CTES = ",\n".join([_VALID, _TRACKS, _COUNTS])
+COUNT_CTES = ",\n".join([_TRACKS, _COUNTS])
 
 
 def storm_counts(spark, sf_dir):
-    return C.with_global(C.annual_counts(T.valid_points(V.points(spark, sf_dir, steps=False))))
+    return C.with_global(C.annual_counts(V.points(spark, sf_dir, steps=False)))
 
 
 @query("a3_global_storm_counts", ora("fx_points", f"""
@@ -45,7 +43,7 @@ def _(spark, sf_dir):
 @query("a2_annual_threshold_counts", ora("fx_points", f"""
 SELECT model, scenario, year, basin, draw, threshold, CAST(cnt AS BIGINT) AS count, {R('days', 'days')} FROM base""", COUNT_CTES))
 def _(spark, sf_dir):
-    return rounded(C.annual_counts(T.valid_points(V.points(spark, sf_dir, steps=False))), "days")
+    return rounded(C.annual_counts(V.points(spark, sf_dir, steps=False)), "days")
 
 
 @query("a1_track_peak", ora("fx_points", """
@@ -56,9 +54,9 @@ def _(spark, sf_dir):
 
 @query("p32_label_threshold", ora("fx_points", """
 SELECT storm, peak, threshold, wind AS threshold_wind FROM tracks CROSS JOIN thresholds""",
-                                  ",\n".join([_VALID, _TRACKS, _THRESH])))
+                                  ",\n".join([_TRACKS, _THRESH])))
 def _(spark, sf_dir):
-    peaks = C.track_peak(T.valid_points(V.points(spark, sf_dir, steps=False)))
+    peaks = C.track_peak(V.points(spark, sf_dir, steps=False))
     return C.with_thresholds(peaks.select("storm", F.col("peak_ms").alias("peak")))
 
 
@@ -103,19 +101,33 @@ def _(spark, sf_dir):
     return rounded(stats, "mean_length", "median_length", "mean_hours", "filled_share")
 
 
-EDGES = [0, 5, 10, 15, 20, 30, 50, 100, 200, 300]
+EDGES = [0, 50, 100, 150, 200, 250, 300]
 LABELS = [f"{a}-{b}" for a, b in zip(EDGES, EDGES[1:])] + ["300+"]
 
 
-@query("a15_length_histogram", ora("fx_points", f"""
+def _histogram_sql(edges, labels):
+    return ora("fx_points", f"""
 SELECT bin, COUNT(*) AS n, {R('100.0 * COUNT(*) / SUM(COUNT(*)) OVER ()', 'percent')} FROM (
-  SELECT CASE {' '.join(f"WHEN length >= {e} THEN '{l}'" for e, l in reversed(list(zip(EDGES, LABELS))))} END AS bin
+  SELECT CASE {' '.join(f"WHEN length >= {e} THEN '{l}'" for e, l in reversed(list(zip(edges, labels))))} END AS bin
   FROM lens) GROUP BY bin""", """lens AS (SELECT storm,
-  COUNT(*) FILTER (WHERE lon IS NOT NULL AND lat IS NOT NULL) AS length FROM fx_points GROUP BY ALL)"""))
+  COUNT(*) FILTER (WHERE lon IS NOT NULL AND lat IS NOT NULL) AS length FROM fx_points GROUP BY ALL)""")
+
+
+@query("a15_length_histogram", _histogram_sql(EDGES, LABELS))
 def _(spark, sf_dir):
     return rounded(C.histogram(C.track_lengths(V.points(spark, sf_dir, steps=False)), "length", EDGES, LABELS), "percent")
 
 
+# finer bins, over which the tracks of the test tables spread
+FINE = [0, 5, 10, 15, 20, 30, 50]
+FINE_LABELS = [f"{a}-{b}" for a, b in zip(FINE, FINE[1:])] + ["50+"]
+
+
+@query("a15_length_histogram_fine", _histogram_sql(FINE, FINE_LABELS))
+def _(spark, sf_dir):
+    return rounded(C.histogram(C.track_lengths(V.points(spark, sf_dir, steps=False)), "length", FINE, FINE_LABELS), "percent")
+
+
 @query("a16_seed_counts", ora("fx_points", """
 SELECT year, basin, """ + ", ".join(f"COUNT(*) FILTER (WHERE month = {m}) AS m{m:02d}" for m in range(1, 13)) + """
 FROM (SELECT DISTINCT year, month, basin, storm FROM fx_points) GROUP BY ALL"""))

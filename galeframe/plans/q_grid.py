@@ -27,12 +27,8 @@ def _pts(spark, sf_dir):
 _DAYS = """days AS (SELECT lat_ix, lon_ix, CAST(ts AS DATE) AS day, AVG(u250) AS u250, AVG(v250) AS v250, AVG(u850) AS u850, AVG(v850) AS v850 FROM fx_wind_daily GROUP BY ALL)"""
 
 
-_KT = ", kt AS (SELECT lat_ix, lon_ix, day, " + ", ".join(f"{w} * 1.94384449 AS {w}" for w in FD.WINDS) + " FROM days)"
-
-
-def _days_kt(spark, sf_dir):
-    days = FD.daily_mean(V.wind_daily(spark, sf_dir), ["lat_ix", "lon_ix"])
-    return days.withColumns({w: _c(w) * 1.94384449 for w in FD.WINDS})
+def _days(spark, sf_dir):
+    return FD.daily_mean(V.wind_daily(spark, sf_dir), ["lat_ix", "lon_ix"])
 
 
 @query("a6_daily_mean", ora("fx_wind_daily", f"SELECT lat_ix, lon_ix, CAST(day AS STRING) AS day, {', '.join(R(w, w) for w in FD.WINDS)} FROM days", _DAYS))
@@ -42,23 +38,23 @@ def _(spark, sf_dir):
 
 def _stat_sql():
     items = list(FD.WIND_NAMES.items())
-    out = [R(f"AVG({w})", f"{n}_Mean") for w, n in items]
+    out = [R(f"AVG({w})", f"{n}_Mean", 8) for w, n in items]
     for i, (a, an) in enumerate(items):
-        out += [R(f"COVAR_SAMP({a}, {b})", f"{an}_{bn}_cov") for b, bn in items[:i]] + [R(f"VAR_POP({a})", f"{an}_Var")]
+        out += [R(f"COVAR_SAMP({a}, {b})", f"{an}_{bn}_cov", 8) for b, bn in items[:i]] + [R(f"VAR_POP({a})", f"{an}_Var", 8)]
     return ", ".join(out)
 
 
 @query("a7_monthly_wind_stats", ora("fx_wind_daily", f"""
-SELECT lat_ix, lon_ix, CAST(YEAR(day) AS INT) AS year, CAST(MONTH(day) AS INT) AS month, {_stat_sql()} FROM kt GROUP BY 1, 2, 3, 4""", _DAYS + _KT))
+SELECT lat_ix, lon_ix, CAST(YEAR(day) AS INT) AS year, CAST(MONTH(day) AS INT) AS month, {_stat_sql()} FROM days GROUP BY 1, 2, 3, 4""", _DAYS))
 def _(spark, sf_dir):
-    return rounded(FD.monthly_wind_stats(_days_kt(spark, sf_dir), ["lat_ix", "lon_ix"]), *FD.statistic_names())
+    return rounded(FD.monthly_wind_stats(_days(spark, sf_dir), ["lat_ix", "lon_ix"]), *FD.statistic_names(), digits=8)
 
 
 @query("a7_covariance_matrix", ora("fx_wind_daily", f"""
-SELECT lat_ix, lon_ix, CAST(YEAR(day) AS INT) AS year, CAST(MONTH(day) AS INT) AS month, {R('COVAR_SAMP(v850, u250)', 'm03')}, {R('COVAR_SAMP(u250, v850)', 'm30')}, {R('VAR_POP(u850)', 'm22')} FROM kt GROUP BY 1, 2, 3, 4""", _DAYS + _KT))
+SELECT lat_ix, lon_ix, CAST(YEAR(day) AS INT) AS year, CAST(MONTH(day) AS INT) AS month, {R('COVAR_SAMP(v850, u250)', 'm03', 8)}, {R('COVAR_SAMP(u250, v850)', 'm30', 8)}, {R('VAR_POP(u850)', 'm22', 8)} FROM days GROUP BY 1, 2, 3, 4""", _DAYS))
 def _(spark, sf_dir):
-    m = FD.monthly_wind_stats(_days_kt(spark, sf_dir), ["lat_ix", "lon_ix"]).withColumn("m", FD.wind_matrix())
-    return m.select("lat_ix", "lon_ix", "year", "month", rnd(_c("m")[0][3]).alias("m03"), rnd(_c("m")[3][0]).alias("m30"), rnd(_c("m")[2][2]).alias("m22"))
+    m = FD.monthly_wind_stats(_days(spark, sf_dir), ["lat_ix", "lon_ix"]).withColumn("m", FD.wind_matrix())
+    return m.select("lat_ix", "lon_ix", "year", "month", rnd(_c("m")[0][3], 8).alias("m03"), rnd(_c("m")[3][0], 8).alias("m30"), rnd(_c("m")[2][2], 8).alias("m22"))
 
 
 @query("g9_monthly_midpoint", ora("fx_fields", f"""

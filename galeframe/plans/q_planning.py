@@ -139,20 +139,31 @@ def _(spark, sf_dir):
 
 # --- draws ------------------------------------------------------------------------------------
 
-_MISS = """miss AS (SELECT b.basin, CAST(d.draw AS INT) AS draw FROM (SELECT DISTINCT basin FROM fx_draws) b CROSS JOIN range(250) AS d(draw)
-  WHERE NOT EXISTS (SELECT 1 FROM fx_draws f WHERE f.basin = b.basin AND f.draw = d.draw))"""
+# two expected basins without any draw: the global one, and one that should have draws
+_EXPECTED = """expected AS (SELECT DISTINCT basin FROM fx_draws
+  UNION SELECT CASE r_regionkey WHEN 0 THEN 'GL' ELSE 'XX' END FROM region WHERE r_regionkey < 2)"""
+
+
+def _expected(spark, sf_dir):
+    empty = V.table(spark, sf_dir, "region").filter("r_regionkey < 2")
+    return empty.select(F.when(F.col("r_regionkey") == 0, "GL").otherwise("XX").alias("basin"))
+
+
+_MISS = _EXPECTED + """,
+miss AS (SELECT b.basin, CAST(d.draw AS INT) AS draw FROM expected b CROSS JOIN range(250) AS d(draw)
+  WHERE b.basin <> 'GL' AND NOT EXISTS (SELECT 1 FROM fx_draws f WHERE f.basin = b.basin AND f.draw = d.draw))"""
 
 
 @query("j5_missing_draws", ora("fx_draws", "SELECT basin, draw FROM miss", _MISS))
 def _(spark, sf_dir):
-    return D.missing_draws(V.draws(spark, sf_dir), ["basin"])
+    return D.missing_draws(V.draws(spark, sf_dir), ["basin"], expected=_expected(spark, sf_dir).filter("basin <> 'GL'"))
 
 
 @query("w9_batch_ranges", ora("fx_draws", """
 SELECT basin, CAST((rn - 1) // 10 AS INT) AS batch, MIN(draw) AS first_draw, MAX(draw) AS last_draw, COUNT(*) AS n_draws, STRING_AGG(CAST(draw AS STRING), ',' ORDER BY draw) AS draws
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY basin ORDER BY draw) AS rn FROM miss) GROUP BY ALL""", _MISS))
 def _(spark, sf_dir):
-    out = D.batch_ranges(V.draws(spark, sf_dir), ["basin"], 10)
+    out = D.batch_ranges(V.draws(spark, sf_dir), ["basin"], 10, expected=_expected(spark, sf_dir).filter("basin <> 'GL'"))
     return out.withColumn("draws", F.array_join(F.transform("draws", lambda d: d.cast("string")), ","))
 
 
@@ -167,19 +178,27 @@ def _(spark, sf_dir):
 
 
 @query("a19_basin_draw_check", ora("fx_draws", """
-SELECT basin, n AS found, CASE WHEN n < 250 THEN CONCAT('Expected at least 250 draw files, found ', n, '.') END AS issue, n >= 250 AS complete
-FROM (SELECT basin, COUNT(*) AS n FROM fx_draws GROUP BY basin)"""))
+SELECT basin, n AS found, CASE WHEN basin = 'GL' AND n <> 0 THEN CONCAT('Expected 0 draw files, found ', n, '.')
+  WHEN basin <> 'GL' AND n < 250 THEN CONCAT('Expected at least 250 draw files, found ', n, '.') END AS issue,
+  CASE WHEN basin = 'GL' THEN n = 0 ELSE n >= 250 END AS complete
+FROM (SELECT e.basin, COUNT(f.draw) AS n FROM expected e LEFT JOIN fx_draws f ON f.basin = e.basin GROUP BY e.basin)""", _EXPECTED))
 def _(spark, sf_dir):
-    return D.basin_check(V.draws(spark, sf_dir))
+    return D.basin_check(V.draws(spark, sf_dir), expected=_expected(spark, sf_dir))
 
 
-@query("a21_batch_progress", ora("fx_draws", """
+# stored: the storms of all but every seventh draw; draws from 240 on count as outside of 0..239
+@query("a21_batch_progress", ora("fx_draws", f"""
 SELECT basin, CAST(draw // 10 AS INT) AS batch, COUNT(copies) AS present, CAST(COUNT(*) AS INT) AS expected, COUNT(*) FILTER (WHERE copies > 1) AS duplicates,
-  COALESCE(STRING_AGG(CASE WHEN copies IS NULL THEN CAST(draw AS STRING) END, ',' ORDER BY draw), '') AS missing, COUNT(copies) = COUNT(*) AS complete
-FROM (SELECT b.basin, d.draw, f.copies FROM (SELECT DISTINCT basin FROM fx_draws) b CROSS JOIN range(250) AS d(draw) LEFT JOIN fx_draws f ON f.basin = b.basin AND f.draw = d.draw) GROUP BY ALL"""))
-def _(spark, sf_dir):
-    out = D.progress(V.draws(spark, sf_dir), ["basin"])
-    return out.withColumn("missing", F.array_join(F.transform(F.array_sort("missing"), lambda d: d.cast("string")), ","))
+  COALESCE(STRING_AGG(CASE WHEN copies IS NULL THEN CAST(draw AS STRING) END, ',' ORDER BY draw), '') AS missing, COUNT(copies) = COUNT(*) AS complete,
+  COUNT(*) FILTER (WHERE copies IS NOT NULL AND draw % 7 = 0) AS not_stored, {R('MAX(pct)', 'percent')}, MAX(outside) AS outside, MAX(pct) = 100 AS key_complete
+FROM (SELECT b.basin, d.draw, f.copies, 100.0 * COUNT(f.copies) OVER (PARTITION BY b.basin) / 240 AS pct,
+        (SELECT COUNT(*) FROM fx_draws o WHERE o.basin = b.basin AND o.draw >= 240) AS outside
+      FROM expected b CROSS JOIN range(240) AS d(draw) LEFT JOIN fx_draws f ON f.basin = b.basin AND f.draw = d.draw) GROUP BY basin, CAST(draw // 10 AS INT)""", _EXPECTED))
+def _(spark, sf_dir):
+    draws = V.draws(spark, sf_dir)
+    out = D.progress(draws, ["basin"], n=240, expected=_expected(spark, sf_dir), stored=draws.filter("draw % 7 <> 0"))
+    out = out.withColumn("missing", F.array_join(F.transform(F.array_sort("missing"), lambda d: d.cast("string")), ","))
+    return rounded(out, "percent")
 
 
 _TRK = "tp AS (SELECT *, (storm - draw) // 5 AS track FROM fx_points)"

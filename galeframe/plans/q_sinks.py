@@ -174,5 +174,5 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path, check = scratch_path(spark, "t3"), scratch_path(spark, "t3-state")
     finished = _event_stream(spark, sf_dir).withColumn("draw", (_c("event_id") % 250).cast("int"))
-    ST.run_available(ST.stream_progress(finished), path, check, "update")
+    ST.run_available(ST.stream_progress(finished, ["basin"]), path, check, "update")
     return ST.latest_updates(spark, path, "basin")

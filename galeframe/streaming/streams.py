@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +35,12 @@ def stream_exposure(points: DataFrame, delay: str = "1 day", hours: float = 6.0,
         F.to_date("window.start").alias("day"), "basin", "hours", "n_points")
 
 
-def stream_progress(finished: DataFrame, delay: str = "40 days") -> DataFrame:
-    """Finished draws per basin, each draw counted once inside the delay. Update mode."""
-    once = finished.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["basin", "draw"])
-    return once.groupBy("basin").agg(F.count("*").alias("n_draws"))
+def stream_progress(finished: DataFrame, keys: Sequence[str] = ("basin",)) -> DataFrame:
+    """Finished draws per key (such as model, variant, scenario, period and basin), each draw counted once however
+    late or often it is reported. The state holds one entry per key and draw, so it is bounded by the ensemble
+    and needs no watermark. Update mode."""
+    once = finished.select(*keys, "draw").dropDuplicates([*keys, "draw"])
+    return once.groupBy(*keys).agg(F.count("*").alias("n_draws"))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -58,8 +60,8 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
-def latest_updates(spark: SparkSession, path: str, key: str) -> DataFrame:
+def latest_updates(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     """Final state of an update stream: the last batch that spoke about each key."""
     rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    rest = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_r")).select(key, "_r.*")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_r")).select(*keys, "_r.*")
