@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeframe.llm.folding import fold
 from galeframe.llm.graph import components
 from galeframe.llm.scratch import Scratch
 from galeframe.llm.text import NOT_SPACE, lists, mix, runs, slices, words
@@ -66,11 +67,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
                 total += np.bincount(_bucket(np.concatenate(sets)), minlength=len(total))
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-    def add(left: np.ndarray | None, right: np.ndarray | None) -> np.ndarray | None:
-        return right if left is None else left if right is None else left + right
-
-    tables = docs.select("text").mapInArrow(count, "counts binary").rdd
-    total = tables.map(lambda r: np.frombuffer(r["counts"], np.int64)).treeAggregate(None, add, add)
+    total = fold(docs.select("text").mapInArrow(count, "counts binary"), np.int64, np.add)
     return np.zeros(1 << SKETCH_BITS, np.int64) if total is None else total
 
 
@@ -149,11 +146,7 @@ def id_filter(pairs: DataFrame) -> np.ndarray:
                 bits[_id_place(batch.column(c))] = True
         yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    def join(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
-        return b if a is None else a if b is None else a | b
-
-    packed = pairs.select("a", "b").mapInArrow(mark, "bits binary").rdd.map(
-        lambda r: np.frombuffer(r["bits"], np.uint8)).treeAggregate(None, join, join)
+    packed = fold(pairs.select("a", "b").mapInArrow(mark, "bits binary"), np.uint8, np.bitwise_or)
     return np.zeros(1 << ID_BITS, bool) if packed is None else np.unpackbits(packed).astype(bool)
 
 

@@ -26,6 +26,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galeframe.llm.folding import fold
 from galeframe.llm.text import ALNUM, lists, slices, words
 from galeframe.session import scratch_path
 
@@ -65,11 +66,7 @@ def term_filter(wanted: DataFrame) -> np.ndarray:
             bits[(terms >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
-    def join(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
-        return b if a is None else a if b is None else a | b
-
-    packed = wanted.select("terms").mapInArrow(mark, "bits binary").rdd.map(
-        lambda r: np.frombuffer(r["bits"], np.uint8)).treeAggregate(None, join, join)
+    packed = fold(wanted.select("terms").mapInArrow(mark, "bits binary"), np.uint8, np.bitwise_or)
     return np.zeros(1 << FILTER_BITS, bool) if packed is None else np.unpackbits(packed).astype(bool)
 
 
