@@ -44,8 +44,17 @@ def _without_keys(base: Column, other: Column) -> Column:
 
 def with_config(df: DataFrame, text: str, out: str = "config") -> DataFrame:
     """Adds the full configuration of a row: the fields its JSON gives, else the defaults. Maps are merged
-    key by key."""
-    parsed = df.withColumn("_given", F.from_json(text, SCHEMA))
+    key by key. Keys without a default are kept as JSON text in the map other. A NULL text means the defaults; a
+    text that is not a JSON object is an error."""
+    wrong = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring(text, 1, 80))).cast("variant")
+    tree = F.try_parse_json(text)
+    keys = F.json_object_keys(text)
+    checked = F.when(F.col(text).isNotNull() & (tree.isNull() | keys.isNull()), wrong).otherwise(tree)
+    parsed = df.withColumn("_tree", checked).withColumn("_given", F.from_json(F.to_json("_tree"), SCHEMA))
+    extra = F.filter(F.coalesce(F.json_object_keys(F.to_json("_tree")), F.array().cast("array<string>")),
+                     lambda k: ~F.array_contains(F.array(*[F.lit(n) for n in DEFAULTS]), k))
+    whole = F.from_json(F.to_json("_tree"), "map<string,string>")
+    other = F.map_from_entries(F.transform(extra, lambda k: F.struct(k.alias("key"), F.element_at(whole, k).alias("value"))))
     fields = []
     for name, value in DEFAULTS.items():
         given, base = F.col(f"_given.{name}"), _literal(value)
@@ -54,4 +63,4 @@ def with_config(df: DataFrame, text: str, out: str = "config") -> DataFrame:
         else:
             merged = F.coalesce(given, base)
         fields.append(merged.alias(name))
-    return parsed.withColumn(out, F.struct(*fields)).drop("_given")
+    return parsed.withColumn(out, F.struct(*fields, other.alias("other"))).drop("_given", "_tree")

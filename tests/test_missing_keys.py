@@ -134,3 +134,15 @@ def test_shared_folder_is_required_on_a_cluster():
 
     with pytest.raises(ValueError):
         session.shared_dir(Session())
+
+
+def test_configuration_keeps_unknown_keys_and_refuses_malformed_text(spark):
+    from galeframe.sources.config import with_config
+
+    df = spark.createDataFrame([(1, '{"start_year": 1990, "exp_name": "t", "n_procs": 4}'), (2, None)], "id int, j string")
+    got = {r["id"]: r["config"] for r in with_config(df, "j").collect()}
+    assert got[1]["start_year"] == 1990 and got[1]["other"] == {"exp_name": "t", "n_procs": "4"}
+    assert got[2]["start_year"] == 2016 and got[2]["other"] == {}
+    for text in ("{bad", "[1]"):
+        with pytest.raises(Exception, match="not a JSON object"):
+            with_config(spark.createDataFrame([(1, text)], "id int, j string"), "j").collect()
