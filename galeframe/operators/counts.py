@@ -129,3 +129,13 @@ def histogram(df: DataFrame, col: str, edges: Sequence[float], labels: Sequence[
     counts = df.withColumn("bin", bin_).filter("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
     # one row per bin reaches the window
     return counts.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+
+
+def seed_counts(seeds: DataFrame, keys: Sequence[str] = ("year", "basin"), month: str = "month") -> DataFrame:
+    """Seeds per key, one column m01..m12 a month. seeds: one row a seed."""
+    return seeds.groupBy(*keys).agg(*[F.count_if(F.col(month) == m).alias(f"m{m:02d}") for m in range(1, 13)])
+
+
+def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The distinct combinations of columns, NULL included."""
+    return df.select(*cols).distinct()

@@ -57,12 +57,23 @@ def seed_points(keys: DataFrame, key: str, basin: str = "basin") -> DataFrame:
     }).drop("_b")
 
 
-def eligible_seeds(seeds: DataFrame, mask: str, u: str, pi: str) -> DataFrame:
-    """Adds counted (inside the mask and past the low-latitude draw) and passed (and PI above 35)."""
+def eligible_seeds(seeds: DataFrame, masks: dict[str, Column], u: str, pi: str) -> DataFrame:
+    """Adds genesis_basin (the basin with the greatest mask, the first code on a tie; NULL without a mask above
+    1e-3), counted (past that basin's low-latitude draw) and passed (and PI above 35)."""
+    codes = sorted(masks)
+    ranked = F.array(*[F.struct(F.coalesce(masks[b].cast("double"), F.lit(0.0)).alias("m"), F.lit(-k).alias("o"), F.lit(b).alias("b"))
+                       for k, b in enumerate(codes)])
+    out = seeds.withColumn("_best", F.array_max(ranked)).withColumn(
+        "genesis_basin", F.when(F.col("_best.m") > 1e-3, F.col("_best.b"))).drop("_best")
     power = F.lit(None).cast("double")
     for basin, p in K.LAT_VORT_POWER.items():
-        power = F.when(F.col("basin") == basin, p).otherwise(power)
+        power = F.when(F.col("genesis_basin") == basin, p).otherwise(power)
     chance = F.pow(geo.clip((F.abs("lat") - K.LAT_VORT_FAC) / 12.0, 0, 1), power)
-    counted = (F.col(mask) > 1e-3) & (F.col(u) < chance)
-    return seeds.withColumn("counted", F.coalesce(counted, F.lit(False))).withColumn(
+    return out.withColumn("counted", F.coalesce(F.col(u) < chance, F.lit(False))).withColumn(
         "passed", F.col("counted") & F.coalesce(F.col(pi) > K.SEED_PI, F.lit(False)))
+
+
+def inside_mask(candidates: DataFrame, mask: Column, least: float = 1e-2) -> DataFrame:
+    """Candidate points whose basin mask is at least so great; the others are rejected. More candidates than are
+    needed go in, as a rejected one is not drawn again."""
+    return candidates.filter(F.coalesce(mask.cast("double"), F.lit(0.0)) >= least)

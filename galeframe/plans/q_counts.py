@@ -133,14 +133,13 @@ SELECT year, basin, """ + ", ".join(f"COUNT(*) FILTER (WHERE month = {m}) AS m{m
 FROM (SELECT DISTINCT year, month, basin, storm FROM fx_points) GROUP BY ALL"""))
 def _(spark, sf_dir):
     seeds = V.points(spark, sf_dir, steps=False).select("year", "month", "basin", "storm").distinct()
-    return seeds.groupBy("year", "basin").agg(
-        *[F.count_if(F.col("month") == m).alias(f"m{m:02d}") for m in range(1, 13)])
+    return C.seed_counts(seeds)
 
 
 @query("a29_distinct_storm_years", ora("fx_points", """
 SELECT DISTINCT model, scenario, basin, year FROM fx_points"""))
 def _(spark, sf_dir):
-    return V.points(spark, sf_dir, steps=False).select("model", "scenario", "basin", "year").distinct()
+    return C.distinct_rows(V.points(spark, sf_dir, steps=False), ["model", "scenario", "basin", "year"])
 
 
 @query("w11_step_hours", ora("fx_points", f"""

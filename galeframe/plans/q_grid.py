@@ -207,6 +207,28 @@ def _(spark, sf_dir):
     return select_level(rows, ["cell"], "plev", 61000.0).select("cell", "plev", rnd("t").alias("t"))
 
 
+@query("f6_equal_level", f"""
+SELECT cell, plev FROM (SELECT p_partkey AS cell, plev FROM part CROSS JOIN (VALUES {', '.join(f'({p}.0::DOUBLE)' for p in _LEVELS)}) AS l(plev)) WHERE plev = {_LEVELS[1]}""")
+def _(spark, sf_dir):
+    from galeframe.sources.tables import select_level
+
+    rows = V.table(spark, sf_dir, "part").select(
+        _c("p_partkey").alias("cell"), F.explode(F.array(*[F.lit(p + 0.3) for p in _LEVELS])).alias("plev"))
+    return select_level(rows, ["cell"], "plev", float(_LEVELS[1]), nearest=False).withColumn("plev", F.round("plev"))
+
+
+@query("f6_months", """
+SELECT 'one month' AS kind, o_orderkey FROM orders WHERE YEAR(o_orderdate) = 1996 AND MONTH(o_orderdate) = 2
+UNION ALL SELECT 'range', o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-11-15' AND DATE '1997-01-20'""")
+def _(spark, sf_dir):
+    from galeframe.sources.tables import clip_days, select_month
+
+    orders = V.table(spark, sf_dir, "orders")
+    one = select_month(orders, "o_orderdate", 1996, 2).select(F.lit("one month").alias("kind"), "o_orderkey")
+    span = clip_days(orders, "o_orderdate", "1996-11-15", "1997-01-20").select(F.lit("range").alias("kind"), "o_orderkey")
+    return one.unionAll(span)
+
+
 @query("j10_assign_basin", ora("fx_points fx_grid", f"""
 SELECT event_id, {assign_sql('p.lon', 'p.lat', 'COALESCE(g.land, false)')} AS basin_of FROM fx_points p LEFT JOIN cl g
 ON g.lat_ix = FLOOR((p.lat + 90) / 10) AND g.lon_ix = FLOOR(p.lon / 10)""", _CELLS))
@@ -364,23 +386,44 @@ def _(spark, sf_dir):
     return rounded(seeds, "lon", "lat")
 
 
+def _first_mask():
+    masks = mask_sql("sd.lon", "sd.lat", "COALESCE(g.land, false)")
+    return "CASE " + " ".join(f"WHEN {masks[b]} THEN '{b}'" for b in sorted(masks)) + " END"
+
+
 def _own_mask():
     return "CASE sd.basin " + " ".join(f"WHEN '{b}' THEN {c}" for b, c in mask_sql("sd.lon", "sd.lat", "COALESCE(g.land, false)").items()) + " ELSE false END"
 
 
-@query("f9_seed_eligibility", ora("fx_points fx_grid", f"""
-SELECT basin, seed_month, COUNT(*) AS candidates, COUNT(*) FILTER (WHERE counted) AS n_seeds, COUNT(*) FILTER (WHERE counted AND pi > 35) AS n_passed FROM (
-  SELECT *, inside AND u < GREATEST(0.0, LEAST(1.0, (ABS(lat) - 2) / 12)) ** CASE basin WHEN 'WP' THEN 3.5 WHEN 'SI' THEN 3 WHEN 'SP' THEN 7 WHEN 'NI' THEN 2.5 ELSE 6 END AS counted FROM (
-    SELECT sd.*, {_own_mask()} AS inside, COALESCE(g.value - 900, 0) AS pi FROM sd LEFT JOIN cl g ON g.lat_ix = FLOOR((sd.lat + 90) / 10) AND g.lon_ix = FLOOR(sd.lon / 10)))
-GROUP BY ALL""", _SEEDS + "," + _CELLS))
-def _(spark, sf_dir):
+def _masks():
+    return {b: geo.basin_mask(_c("lon"), _c("lat"), F.coalesce("land", F.lit(False)), b) for b in K.MASK_BOUNDS}
+
+
+def _seed_env(spark, sf_dir):
     seeds = SM.seed_points(_pts(spark, sf_dir).select("event_id", "basin"), "event_id").withColumn("u", SM.uniform(_c("event_id"), "low"))
     seeds = seeds.withColumns({"lat_ix": F.floor((_c("lat") + 90) / 10).cast("int"), "lon_ix": F.floor(_c("lon") / 10).cast("int")})
     env = _cells(spark, sf_dir).select("lat_ix", "lon_ix", "land", (_c("value") - 900).alias("pi"))
-    joined = seeds.join(env, ["lat_ix", "lon_ix"], "left")
-    inside = F.lit(False)
-    for b in K.MASK_BOUNDS:
-        inside = F.when(_c("basin") == b, geo.basin_mask(_c("lon"), _c("lat"), F.coalesce("land", F.lit(False)), b)).otherwise(inside)
-    out = SM.eligible_seeds(joined.withColumn("mask", inside.cast("double")), "mask", "u", "pi")
-    return out.groupBy("basin", "seed_month").agg(
+    return seeds.join(env, ["lat_ix", "lon_ix"], "left")
+
+
+_SEED_ENV = "sd LEFT JOIN cl g ON g.lat_ix = FLOOR((sd.lat + 90) / 10) AND g.lon_ix = FLOOR(sd.lon / 10)"
+
+
+@query("f9_seed_eligibility", ora("fx_points fx_grid", f"""
+SELECT genesis_basin, seed_month, COUNT(*) AS candidates, COUNT(*) FILTER (WHERE counted) AS n_seeds, COUNT(*) FILTER (WHERE counted AND pi > 35) AS n_passed FROM (
+  SELECT *, genesis_basin IS NOT NULL AND u < GREATEST(0.0, LEAST(1.0, (ABS(lat) - 2) / 12)) ** CASE genesis_basin WHEN 'WP' THEN 3.5 WHEN 'SI' THEN 3 WHEN 'SP' THEN 7 WHEN 'NI' THEN 2.5 ELSE 6 END AS counted FROM (
+    SELECT sd.*, {_first_mask()} AS genesis_basin, COALESCE(g.value - 900, 0) AS pi FROM {_SEED_ENV}))
+GROUP BY ALL""", _SEEDS + "," + _CELLS))
+def _(spark, sf_dir):
+    out = SM.eligible_seeds(_seed_env(spark, sf_dir), _masks(), "u", "pi")
+    return out.groupBy("genesis_basin", "seed_month").agg(
         F.count("*").alias("candidates"), F.count_if("counted").alias("n_seeds"), F.count_if("passed").alias("n_passed"))
+
+
+@query("m3_inside_mask", ora("fx_points fx_grid", f"""
+SELECT basin, COUNT(*) AS n FROM (SELECT sd.basin FROM {_SEED_ENV} WHERE {_own_mask()}) GROUP BY basin""", _SEEDS + "," + _CELLS))
+def _(spark, sf_dir):
+    own = F.lit(False)
+    for b, mask in _masks().items():
+        own = F.when(_c("basin") == b, mask).otherwise(own)
+    return SM.inside_mask(_seed_env(spark, sf_dir), own).groupBy("basin").agg(F.count("*").alias("n"))

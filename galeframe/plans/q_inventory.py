@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from galeframe import constants as K
 from galeframe.functions import text
 from galeframe.operators import inventory as I
+from galeframe.operators import reshape as R_
 from galeframe.operators.scale import saved
 from galeframe.plans import views as V
 from galeframe.plans.registry import ora, query
@@ -155,7 +156,8 @@ UNION ALL SELECT model, variable, 'files only' FROM (SELECT model, variable FROM
 def _(spark, sf_dir):
     a = V.files(spark, sf_dir).select(*_KEYS)
     b = V.tree(spark, sf_dir).filter("complete").select(*_KEYS)
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("files only")))
+    return R_.rows_in_both(a, b).withColumn("side", F.lit("both")).unionByName(
+        R_.rows_only_in(a, b).withColumn("side", F.lit("files only")))
 
 
 # --- folder tree ------------------------------------------------------------------------------
@@ -297,10 +299,10 @@ def _(spark, sf_dir):
 
 @query("o1_stable_sort", ora("fx_files", "SELECT model, variable, file_name, y0 FROM fx_files ORDER BY model, variable, y0, file_name"))
 def _(spark, sf_dir):
-    return V.files(spark, sf_dir).select("model", "variable", "file_name", "y0").orderBy("model", "variable", "y0", "file_name")
+    return R_.stable_sort(V.files(spark, sf_dir).select("model", "variable", "file_name", "y0"), ["model", "variable", "y0"])
 
 
 @query("o2_head_n", ora("fx_files", "SELECT model, variable, file_name, y0 FROM fx_files ORDER BY y0, model, variable, file_name LIMIT 20"))
 def _(spark, sf_dir):
     # the limit is the operator: first twenty in a full order
-    return V.files(spark, sf_dir).select("model", "variable", "file_name", "y0").orderBy("y0", "model", "variable", "file_name").limit(20)
+    return R_.head(V.files(spark, sf_dir).select("model", "variable", "file_name", "y0"), ["y0", "model", "variable"], 20)

@@ -38,6 +38,19 @@ def clip_years(df: DataFrame, time: str, first: int, last: int) -> DataFrame:
         & (F.col(time) < F.lit(f"{last + 1:04d}-01-01 00:00:00").cast("timestamp_ntz")))
 
 
+def select_month(df: DataFrame, time: str, year: int, month: int) -> DataFrame:
+    """Rows of one month, as a plain range on the time column."""
+    nxt = (year + 1, 1) if month == 12 else (year, month + 1)
+    low, high = (F.lit(f"{y:04d}-{m:02d}-01 00:00:00").cast("timestamp_ntz") for y, m in ((year, month), nxt))
+    return df.filter((F.col(time) >= low) & (F.col(time) < high))
+
+
+def clip_days(df: DataFrame, time: str, first: str, last: str) -> DataFrame:
+    """Rows of the calendar days first..last (yyyy-mm-dd), as a plain range on the time column."""
+    return df.filter((F.col(time) >= F.lit(f"{first} 00:00:00").cast("timestamp_ntz"))
+                     & (F.col(time) < F.lit(last).cast("date") + F.expr("INTERVAL 1 DAY")))
+
+
 def select_level(df: DataFrame, cell: Sequence[str], level: str, wanted: float, nearest: bool = True) -> DataFrame:
     """One pressure level per cell: the equal one, or the nearest (the smaller on a tie). Levels are compared
     as whole numbers."""
