@@ -14,6 +14,7 @@ from galeframe.plans.q_scalars import _CAT, _SPEED, EST_CTES, hav
 from galeframe.plans.registry import R, ora, query, rnd, rounded
 from galeframe.session import scratch_path
 from galeframe.sources import sinks
+from galeframe.streaming import streams as ST
 
 _c = F.col
 RES = 2.0
@@ -72,6 +73,17 @@ def _(spark, sf_dir):
     return FP.daily_exposure(footprint(spark, sf_dir), combine="last").withColumn("day", _c("day").cast("string"))
 
 
+@query("t2_stream_cell_exposure", ora("fx_points", """
+SELECT severity, CAST(day AS STRING) AS day, clat, clon, CAST(hours AS DOUBLE) AS hours FROM ex
+WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 1 DAY FROM fx_points WHERE lat IS NOT NULL)""", _WIND + _EXPO))
+def _(spark, sf_dir):
+    arrived, path, check = (scratch_path(spark, t) for t in ("t2c-in", "t2c", "t2c-state"))
+    storm_points(spark, sf_dir).select(*COLUMNS).withColumn("step_hours", F.lit(6.0)).write.parquet(arrived)
+    points = ST.file_stream(spark, arrived, "*.parquet", spark.read.parquet(arrived).schema)
+    ST.run_available(ST.stream_cell_exposure(points, RES), path, check)
+    return spark.read.parquet(path).withColumn("day", _c("day").cast("string"))
+
+
 _INT = """, si AS (SELECT storm, severity, basin, clat, clon, MAX(speed) AS intensity FROM foot GROUP BY ALL),
 sd AS (SELECT storm, CAST(MIN(CAST(ts AS DATE)) AS STRING) AS d0, CAST(MAX(CAST(ts AS DATE)) AS STRING) AS d1 FROM foot GROUP BY storm)"""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from galeframe import constants as K
+from galeframe.operators.footprint import wind_footprint
 from galeframe.operators.tracks import add_tc_parameters, valid_points
 
 
@@ -35,6 +36,17 @@ def stream_exposure(points: DataFrame, delay: str = "1 day", hours: float = 6.0,
         F.to_date("window.start").alias("day"), "basin", "hours", "n_points")
 
 
+def stream_cell_exposure(points: DataFrame, res: float, delay: str = "1 day", threshold: float = K.EXPOSURE_WIND,
+                         radius_km: float = 300.0) -> DataFrame:
+    """Hours at or above the threshold per severity, day and centroid, as daily_exposure gives them, in one-day
+    windows. points arrive with severity, step_hours and what wind_footprint needs; the footprint is made in the
+    row, so only the sums are state. Points later than the delay are left out. Append mode gives closed days."""
+    stamped = valid_points(points).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    hit = F.when(F.col("speed") >= threshold, F.col("step_hours")).otherwise(0.0)
+    return wind_footprint(stamped, res, radius_km).groupBy(F.window("ts", "1 day"), "severity", "clat", "clon").agg(
+        F.sum(hit).alias("hours")).select("severity", F.to_date("window.start").alias("day"), "clat", "clon", "hours")
+
+
 def stream_progress(finished: DataFrame, keys: Sequence[str] = ("basin",)) -> DataFrame:
     """Finished draws per key (such as model, variant, scenario, period and basin), each draw counted once however
     late or often it is reported. The state holds one entry per key and draw, so it is bounded by the ensemble
