@@ -91,11 +91,12 @@ def basin_masks(cells: DataFrame) -> DataFrame:
 
 def locate(df: DataFrame, grid: Lattice, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Adds the lower-left cell (_qi, _qj) and the shares (_fx, _fy). Latitudes beyond the grid are held at
-    its edge. Points without a position get scattered keys that match no cell."""
+    its edge. Points without a position get keys that match no cell, scattered by all that the row holds."""
     x = F.pmod(F.col(lon) - grid.lon0, F.lit(360.0)) / grid.dlon
     y = F.greatest(F.lit(0.0), F.least(F.lit(grid.nlat - 1.0), (F.col(lat) - grid.lat0) / grid.dlat))
     missing = F.col(lon).isNull() | F.col(lat).isNull()
-    nowhere = -2 - F.pmod(F.xxhash64(*[c for c in df.columns if c in ("event_id", lon, lat)]), F.lit(4096))
+    whole = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    nowhere = -2 - F.pmod(F.xxhash64(*whole), F.lit(1 << 20))
     staged = df.withColumns({"_x": F.when(~missing, x), "_y": F.when(~missing, y)})
     return staged.withColumns({
         "_qi": F.coalesce(F.least(F.floor("_y"), F.lit(grid.nlat - 2)), nowhere).cast("int"),
