@@ -218,13 +218,17 @@ def test_exact_quantiles(hot, monkeypatch, small):
     assert total["m"] == pytest.approx(pdf["v"].quantile(0.5))
 
 
-def test_join_small_beyond_its_limit(hot, monkeypatch):
+def test_join_small_broadcast_and_shuffled(spark, hot):
     pdf, df = hot
     sizes = df.groupBy("key").agg(F.count("*").alias("n"))
-    a = SC.join_small(df, sizes, ["key"]).agg(F.sum("n")).first()[0]
-    monkeypatch.setattr(SC, "SMALL_ROWS", 1)
-    big = SC.join_small(df, sizes, ["key"])
-    assert big.agg(F.sum("n")).first()[0] == a == (pdf.groupby("key").size() ** 2).sum()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for bytes_ in (limit, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bytes_)
+            got = SC.join_small(df, sizes, ["key"]).agg(F.sum("n")).first()[0]
+            assert got == (pdf.groupby("key").size() ** 2).sum()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_halo_chunks_give_true_neighbours(spark):
