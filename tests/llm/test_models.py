@@ -11,8 +11,7 @@ import pytest
 import corpus_pipeline
 from galeframe.llm import block_labeller, factorisation, hidden_markov, kneser_ney, pii
 from galeframe.llm.queries import QUERIES, TEST_KEY
-from conftest import LABELS
-from helpers import lower
+from helpers import LABELS, lower
 
 
 def held(i, fold):
