@@ -219,7 +219,8 @@ def block_pairs(postings: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, base: DataFrame, size: int, percent: int, tables: Scratch) -> DataFrame:
     """id and component of every set that links or is equal to another one."""
     some = base.filter("n > 0 and doc_id is not null").select("doc_id", "n", "fa", "fb", "prefix")
-    first = some.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("head"))
+    # written, so that the join below deals both sides anew and can split a set with very many members
+    first = tables.written(some.groupBy("fa", "fb", "n").agg(F.min("doc_id").alias("head")))
     named = some.join(first, ["fa", "fb", "n"])
     found = tables.written(named.filter("doc_id <> head").select(
         F.col("doc_id").alias("u"), F.col("head").alias("v")).distinct())
