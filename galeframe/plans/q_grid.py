@@ -251,14 +251,14 @@ def _(spark, sf_dir):
 @query("g1_make_grid", ora("fx_points", """
 SELECT c.basin, c.clat, CASE WHEN c.lon360 >= 180 THEN c.lon360 - 360 ELSE c.lon360 END AS clon, COUNT(p.event_id) AS n_points FROM
  (SELECT basin, s + 5.0 * i AS clat, w + 5.0 * j AS lon360 FROM (SELECT DISTINCT basin FROM fx_points) JOIN bb USING (basin), range(0, 40) AS a(i), range(0, 80) AS b(j) WHERE s + 5.0 * i <= n AND w + 5.0 * j <= e) c
- LEFT JOIN fx_points p ON p.basin = c.basin AND FLOOR(p.lat / 5 + 0.5) * 5 = c.clat AND FLOOR(p.lon / 5 + 0.5) * 5 = c.lon360 GROUP BY ALL""", _box_values()))
+ LEFT JOIN fx_points p ON p.basin = c.basin AND FLOOR(p.lat / 5 + 0.5) * 5 = c.clat AND (FLOOR(p.lon / 5 + 0.5) * 5) % 360 = c.lon360 % 360 GROUP BY ALL""", _box_values()))
 def _(spark, sf_dir):
     pts = _pts(spark, sf_dir)
     lattice = G.centroids(pts.select("basin").distinct(), 5.0)
     near = pts.filter("lat IS NOT NULL").select(
-        "basin", (F.floor(_c("lat") / 5 + 0.5) * 5.0).alias("clat"), geo.normalize_lon(F.floor(_c("lon") / 5 + 0.5) * 5.0).alias("clon"), F.floor(_c("lon") / 5 + 0.5).alias("k"))
-    # 360 and 0 fall on one meridian after normalising; each box keeps the end that is its own
-    counts = near.filter(~((_c("k") == 0) & (_c("basin") == "NA"))).groupBy("basin", "clat", "clon").agg(F.count("*").alias("n_points"))
+        "basin", (F.floor(_c("lat") / 5 + 0.5) * 5.0).alias("clat"), geo.normalize_lon(F.floor(_c("lon") / 5 + 0.5) * 5.0).alias("clon"))
+    # 360 and 0 are one meridian after normalising
+    counts = near.groupBy("basin", "clat", "clon").agg(F.count("*").alias("n_points"))
     return lattice.join(counts, ["basin", "clat", "clon"], "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
 
 

@@ -44,7 +44,7 @@ def _(spark, sf_dir):
         path = scratch_path(spark, f"cells-{source}")
         long = cells.select("lat_ix", "lon_ix", "year", "time", F.inline(F.array(
             F.struct(F.lit(sst).alias("variable"), (_c("sst") + shift).alias("value")), F.struct(F.lit("psl").alias("variable"), _c("psl").alias("value")))))
-        long.repartition("variable", "year").write.partitionBy("variable", "year").parquet(path)
+        long.hint("rebalance", "variable", "year").write.partitionBy("variable", "year").parquet(path)
         sources[source] = spark.read.parquet(path)
     out = M.scan_periods(sources, "sst", "1996-03-01", "1998-09-30")
     return out.select("source", "lat_ix", "lon_ix", F.to_date("time").cast("string").alias("day"), rnd("value").alias("value"))
