@@ -86,16 +86,30 @@ def _(spark, sf_dir):
     return rounded(S.taylor(pts, ["model"], "vmax_ms", "env_speed", F.col("vmax_ms")), *TAYLOR_NAMES)
 
 
-@query("a13_taylor_by_basin", ora("fx_points fx_best", f"SELECT model, basin, n, {TAYLOR_COLS} FROM ts", """
+def _by_basin_ctes(years=""):
+    return f"""
 rf AS (SELECT basin, vmax_ms AS r, ROW_NUMBER() OVER (PARTITION BY basin ORDER BY md5(CONCAT(CAST(point_id AS STRING), ':7'))) AS rk
-       FROM fx_best WHERE vmax_ms IS NOT NULL AND basin <> 'AU' AND year BETWEEN 2015 AND 2017),
+       FROM fx_best WHERE vmax_ms IS NOT NULL AND basin <> 'AU'{years}),
 md AS (SELECT model, basin, vmax_ms AS m, ROW_NUMBER() OVER (PARTITION BY model, basin ORDER BY md5(CONCAT(CAST(event_id AS STRING), ':8'))) AS rk
-       FROM fx_points WHERE vmax_ms IS NOT NULL AND basin <> 'AU' AND year BETWEEN 2015 AND 2017),
-pr AS (SELECT model, basin, r, m, 1.0::DOUBLE AS w FROM md JOIN rf USING (basin, rk)),""" + taylor_sql("pr", "model, basin")))
-def _(spark, sf_dir):
+       FROM fx_points WHERE vmax_ms IS NOT NULL AND basin <> 'AU'{years}),
+pr AS (SELECT model, basin, r, m, 1.0::DOUBLE AS w FROM md JOIN rf USING (basin, rk)),""" + taylor_sql("pr", "model, basin")
+
+
+def _by_basin(spark, sf_dir, years=None):
     models = V.points(spark, sf_dir, steps=False).withColumnRenamed("vmax_ms", "max_sustained_wind")
     best = V.best_track(spark, sf_dir).withColumnRenamed("vmax_ms", "max_sustained_wind")
-    return rounded(S.taylor_by_basin(models, best, "max_sustained_wind", "event_id", "point_id", (2015, 2017)), *TAYLOR_NAMES)
+    return rounded(S.taylor_by_basin(models, best, "max_sustained_wind", "event_id", "point_id", years), *TAYLOR_NAMES)
+
+
+@query("a13_taylor_by_basin", ora("fx_points fx_best", f"SELECT model, basin, n, {TAYLOR_COLS} FROM ts",
+                                  _by_basin_ctes(" AND year BETWEEN 2015 AND 2017")))
+def _(spark, sf_dir):
+    return _by_basin(spark, sf_dir, (2015, 2017))
+
+
+@query("a13_taylor_all_years", ora("fx_points fx_best", f"SELECT model, basin, n, {TAYLOR_COLS} FROM ts", _by_basin_ctes()))
+def _(spark, sf_dir):
+    return _by_basin(spark, sf_dir)
 
 
 @query("m1_equal_size_pairs", ora("fx_points fx_best", """
