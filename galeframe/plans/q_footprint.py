@@ -165,6 +165,24 @@ def _(spark, sf_dir):
     return RC.reconcile_content(pts, stored, ["storm"], ["lat", "vmax_ms"])
 
 
+_CP = "CASE WHEN lat IS NOT NULL THEN cp END"
+_LON_OK = "COALESCE(ABS(a.lon - b.l) <= 1e-8 + 1e-5 * ABS(b.l), false) OR (a.lon IS NULL AND b.l IS NULL)"
+_CP_OK = "COALESCE(ABS(a.p - b.q) <= 1e-8 + 1e-5 * ABS(b.q), false) OR (a.p IS NULL AND b.q IS NULL)"
+
+
+@query("j16_lon_and_pressure", ora("fx_points", f"""
+SELECT COALESCE(a.storm, b.storm) AS storm, COUNT(a.event_id) AS n_source, COUNT(b.event_id) AS n_stored, BOOL_AND({_LON_OK}) AS lon_ok,
+  BOOL_AND({_CP_OK}) AS central_pressure_ok, COUNT(a.event_id) = COUNT(b.event_id) AND BOOL_AND({_LON_OK}) AND BOOL_AND({_CP_OK}) AS ok
+FROM (SELECT *, {_CP} AS p FROM est) a FULL JOIN (SELECT *, CASE WHEN month = 5 THEN {_CP} + 0.5 ELSE {_CP} END AS q,
+  CASE WHEN month = 3 THEN lon + 0.1 ELSE lon END AS l FROM est) b ON a.storm = b.storm AND a.step = b.step GROUP BY 1""", EST_CTES))
+def _(spark, sf_dir):
+    pts = T.add_tc_parameters(V.points(spark, sf_dir))
+    stored = pts.withColumns({
+        "central_pressure": F.when(_c("month") == 5, _c("central_pressure") + 0.5).otherwise(_c("central_pressure")),
+        "lon": F.when(_c("month") == 3, _c("lon") + 0.1).otherwise(_c("lon"))})
+    return RC.reconcile_content(pts, stored, ["storm"], ["lon", "central_pressure"])
+
+
 @query("j18_schema_diff", ora("fx_points", " UNION ALL ".join(
     f"SELECT '{n}' AS \"column\", 'double' AS type, COUNT({e}) AS n_present, COUNT(*) - COUNT({e}) AS n_missing FROM est" for n, e in {
         "central_pressure": "CASE WHEN lat IS NOT NULL THEN cp END", "central_pressure_std": "CASE WHEN lat IS NOT NULL THEN cp_std END",
