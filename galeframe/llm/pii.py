@@ -14,6 +14,7 @@ empty text stays empty. Overlapping candidates: the leftmost, then the longer ki
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable
 from datetime import date
@@ -27,7 +28,13 @@ from pyspark.sql import types as T
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+#: two-digit years are of these days
+FIRST_SHORT, LAST_SHORT = date(1969, 1, 1).toordinal(), date(2068, 12, 31).toordinal()
 MONTHS = ("january february march april may june july august september october november december").split()
+SHORT = [m[:3] for m in MONTHS]
+PIECE = 128     # letters and digits of a mail's local part that are permuted together
+
+_MONTH = r"(?:" + "|".join([*MONTHS, "sept", *SHORT]) + ")"
 
 SPAN = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
@@ -35,15 +42,18 @@ SPAN = T.StructType([
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))])
 
 PATTERNS = {
-    "email": r"(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\w.+%-])[.+%-]*\w[\w.+%-]*@(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)+)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d)"
              r"|(?<!\w)\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?!\w|[./-]\d)"
-            r"|\b(?:" + "|".join(MONTHS) + r") \d{1,2}, \d{4}\b|\b\d{1,2}\.? (?:" + "|".join(MONTHS) + r") \d{4}\b",
+    "date": r"(?<![\w./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?=T\d)|(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
+            r"|\d{1,2}/\d{1,2}/\d{2})(?!\w|[./-]\d))"
+            r"|\b" + _MONTH + r"\.? \d{1,2}(?:st|nd|rd|th)?,? (?:\d{4}|'\d{2})\b"
+            r"|\b\d{1,2}(?:\.|st|nd|rd|th)?(?: of)? " + _MONTH + r"\.?,? (?:\d{4}|'\d{2})\b"
+            r"|\b\d{1,2}-" + _MONTH + r"-(?:\d{4}|\d{2})\b",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in KINDS), re.IGNORECASE)
 #: a text without these has no candidate
@@ -60,22 +70,26 @@ class Pseudonyms:
         a * b >= size, walked until it is inside."""
         if size < 2:
             return value
-        a = max(2, int(size ** 0.5))
+        a = max(2, math.isqrt(size))
         b = -(-size // a)
         head = f"{tweak}:{size}:".encode()
         while True:
             left, right = divmod(value, b)
             for k in reversed(range(ROUNDS)) if back else range(ROUNDS):
                 if k % 2:
-                    right = (right + (-1 if back else 1) * self._round(head, k, left)) % b
+                    right = (right + (-1 if back else 1) * self._round(head, k, left, b)) % b
                 else:
-                    left = (left + (-1 if back else 1) * self._round(head, k, right)) % a
+                    left = (left + (-1 if back else 1) * self._round(head, k, right, a)) % a
             value = left * b + right
             if value < size:
                 return value
 
-    def _round(self, head: bytes, k: int, other: int) -> int:
-        return int.from_bytes(hashlib.blake2b(b"%b%d:%d" % (head, k, other), key=self.key, digest_size=16).digest(), "big")
+    def _round(self, head: bytes, k: int, other: int, size: int) -> int:
+        """A number that reaches all of range(size)."""
+        many, text = (size.bit_length() + 7) // 8 + 8, b"%b%d:%d" % (head, k, other)
+        if many <= 16:
+            return int.from_bytes(hashlib.blake2b(text, key=self.key, digest_size=16).digest(), "big")
+        return int.from_bytes(hashlib.shake_256(self.key + text).digest(many), "big")
 
     def walk(self, tweak: str, value: int, size: int, valid: Callable[[int], bool], back: bool) -> int:
         """The permutation again and again, until the value is valid."""
@@ -88,21 +102,31 @@ class Pseudonyms:
         """Pseudonym of a candidate, or None if it doesn't validate."""
         return getattr(self, f"_{kind}")(text, back)
 
-    def _email(self, text: str, back: bool) -> str:
-        """Letters and digits of the local part, each place in its own class."""
+    def _email(self, text: str, back: bool) -> str | None:
+        """Letters and digits of the local part, each place in its own class. A local part of more than PIECE
+        of them is permuted piece by piece, each under the pseudonyms before it."""
         local, at, domain = text.rpartition("@")
         places = [c for c in local if c.isalnum()]
-        bases = [10 if c.isdigit() else 26 for c in places]
-        value, size = 0, 1
-        for c, base in zip(places, bases, strict=True):
-            value, size = value * base + (int(c) if base == 10 else ord(c.lower()) - 97), size * base
-        shape = "".join("9" if b == 10 else "a" for b in bases)
-        value = self.permute(f"email:{shape}:{domain.lower()}", value, size, back)
-        new = []
-        for c, base in zip(reversed(places), reversed(bases), strict=True):
-            value, digit = divmod(value, base)
-            new.append(str(digit) if base == 10 else chr(digit + (65 if c.isupper() else 97)))
-        return _fill(local, new[::-1]) + at + domain
+        if not places:
+            return None
+        new: list[str] = []
+        before = b""
+        for k in range(0, len(places), PIECE):
+            piece = places[k:k + PIECE]
+            classes = [_class(c) for c in piece]
+            value, size = 0, 1
+            for c, (_, chars) in zip(piece, classes, strict=True):
+                value, size = value * len(chars) + chars.index(c.lower() if c.isascii() else c), size * len(chars)
+            tweak = f"email:{''.join(name for name, _ in classes)}:{domain.lower()}"
+            value = self.permute(f"{tweak}:{k}:{before.hex()}" if k else tweak, value, size, back)
+            done = []
+            for c, (_, chars) in zip(reversed(piece), reversed(classes), strict=True):
+                value, digit = divmod(value, len(chars))
+                done.append(chars[digit].upper() if c.isascii() and c.isupper() else chars[digit])
+            new += done[::-1]
+            told = "".join(piece if back else done[::-1])
+            before = hashlib.blake2b(before + "".join(c.lower() if c.isascii() else c for c in told).encode()).digest()
+        return _fill(local, new) + at + domain
 
     def _card(self, text: str, back: bool) -> str | None:
         digits = [c for c in text if c.isdigit()]
@@ -164,10 +188,12 @@ class Pseudonyms:
         return ".".join(str(new >> 8 * (3 - k) & 255) for k in range(4))
 
     def _date(self, text: str, back: bool) -> str | None:
-        names = [m for m in re.findall(r"[A-Za-z]+", text)]
-        numbers = [int(n) for n in re.findall(r"\d+", text)]
+        names = re.findall(r"[A-Za-z]{3,}", text)
+        digits = re.findall(r"\d+", text)
+        numbers = [int(n) for n in digits]
+        written = names[0].lower() if names else ""
         if names:
-            month = MONTHS.index(names[0].lower()) + 1
+            month = (MONTHS.index(written) if written in MONTHS else SHORT.index(written[:3])) + 1
             day, year = numbers
             order = "named"
         elif re.match(r"\d{4}", text):
@@ -178,26 +204,39 @@ class Pseudonyms:
             order = "dmy" if month <= 12 else "mdy"
             if order == "mdy":
                 day, month = month, day
+        two = order != "ymd" and len(digits[-1]) == 2
+        if two:
+            year += 1900 if year >= 69 else 2000
         try:
             at = date(year, month, day).toordinal()
         except ValueError:
             return None
         if not FIRST_DAY <= at <= LAST_DAY:
             return None
-        # a day and month that could be read either way stay so, and the other way round never becomes so
-        kinds = {"dmy": lambda v: True, "mdy": lambda v: date.fromordinal(v + FIRST_DAY).day > 12}
+
+        def stays(value: int) -> bool:
+            """Whether a day can be written in this way so that it is read back in the same way: a day and month
+            that could be read either way stay so, and the other way round never becomes so; May has no short
+            form, and only September has one of four letters."""
+            day = date.fromordinal(value + FIRST_DAY)
+            return ((order != "mdy" or day.day > 12) and (not two or FIRST_SHORT <= value + FIRST_DAY <= LAST_SHORT)
+                    and (not written or written in MONTHS or (day.month == 9 if written == "sept" else day.month != 5)))
+
         new = date.fromordinal(FIRST_DAY + self.walk(
-            "date" if order != "mdy" else "date:mdy", at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1,
-            kinds.get(order, lambda v: True), back))
+            "date" if order != "mdy" else "date:mdy", at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, stays, back))
+        year = f"{new.year % 100:02d}" if two else str(new.year)
         if order == "named":
             name = MONTHS[new.month - 1]
+            name = name if written in MONTHS else name[:len(written)]
             name = name.title() if names[0][0].isupper() and not names[0].isupper() else name.upper() if names[0].isupper() else name
             out = text.replace(names[0], "\0")
-            values = iter([new.day, new.year])
-            return re.sub(r"\d+", lambda m: str(next(values)), out).replace("\0", name)
-        values = iter({"ymd": (new.year, new.month, new.day), "dmy": (new.day, new.month, new.year),
-                       "mdy": (new.month, new.day, new.year)}[order])
-        padded = all(len(n) != 1 for n in re.findall(r"\d+", text))
+            values = iter([str(new.day), year])
+            out = re.sub(r"(\d+)(st|nd|rd|th)?", lambda m: next(values) + (
+                "" if not m[2] else _ordinal(new.day).upper() if m[2].isupper() else _ordinal(new.day)), out, flags=re.IGNORECASE)
+            return out.replace("\0", name)
+        values = iter({"ymd": (year, new.month, new.day), "dmy": (new.day, new.month, year),
+                       "mdy": (new.month, new.day, year)}[order])
+        padded = all(len(n) != 1 for n in digits)
         return re.sub(r"\d+", lambda m: str(next(values)).zfill(2 if padded else 1), text)
 
     def apply(self, text: str | None, back: bool = False) -> tuple[str | None, list[tuple[str, int, int, str]]]:
@@ -231,6 +270,19 @@ def _next_place(text: str, at: int) -> int:
     return _TOKEN.match(text, at).end()
 
 
+@lru_cache(20_000)
+def _class(c: str) -> tuple[str, str]:
+    """Name and members of the class of a letter or digit: 0-9, a-z, or those of its 128 code points."""
+    if c.isascii():
+        return ("9", "0123456789") if c.isdigit() else ("a", "abcdefghijklmnopqrstuvwxyz")
+    block = ord(c) >> 7
+    return f"[{block}]", "".join(x for x in map(chr, range(block << 7, block + 1 << 7)) if x.isalnum())
+
+
+def _ordinal(day: int) -> str:
+    return "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+
+
 def _fill(form: str, chars: list[str]) -> str:
     """The form with its letters and digits replaced in order."""
     new = iter(chars)

@@ -71,6 +71,35 @@ def test_op1_against_row_by_row(spark, sf_dir):
         assert r["text"] == p.apply(texts[r["doc_id"]])[0]
 
 
+@pytest.mark.parametrize("local", ["a" * 218, "7" * 309, "a1._" * 50_000, "_foo", "+foo", "jörg.müller9", "имя", "日本"])
+def test_long_and_wide_mail_addresses(local):
+    p = pii.Pseudonyms(b"one")
+    for domain in ("host.tld", "müller.de"):
+        text = f"to {local}@{domain}, thanks"
+        new, spans = p.apply(text)
+        assert [s[0] for s in spans] == ["email"] and new != text and p.apply(new, True)[0] == text
+        assert text[spans[0][1]:spans[0][2]] == f"{local}@{domain}"
+
+
+def test_every_letter_of_a_long_address_changes_with_the_key():
+    new = pii.Pseudonyms(b"one").apply("a" * 300 + "@host.tld")[0]
+    for piece in range(0, 290, 10):
+        assert new[piece:piece + 10] != "a" * 10
+
+
+@pytest.mark.parametrize("text", [
+    "at 2024-01-05T10:00:00Z", "5 Jan 2024", "Jan. 5, 2024", "5 SEPT 2024", "March 5th, 2024", "the 22nd of march 2021",
+    "31/12/99", "12/31/68", "05-Feb-24", "March 3 2020", "3 feb '07"])
+def test_dates_in_plain_use(text):
+    new, spans = pii.Pseudonyms(b"one").apply(text)
+    assert [s[0] for s in spans] == ["date"] and new != text
+    for key in range(40):
+        p = pii.Pseudonyms(b"%d" % key)
+        there, back = p.apply(text)[0], p.apply(p.apply(text)[0], True)[0]
+        # a day's leading zero is not kept beside a month's name
+        assert re.sub(r"\b0(\d-)", r"\1", back) == re.sub(r"\b0(\d-)", r"\1", text), there
+
+
 # ---- classifiers ----
 
 @pytest.mark.parametrize("query,label,threshold,least", [("op4_toxicity", "toxic", 0.5, 0.85), ("op9_quality", "quality", 0.3, 0.95)])
