@@ -5,9 +5,10 @@ Each stage takes the documents its predecessor kept, all of them, and returns th
 
 * quality: texts that the factorisation machine rejects (score below 0.3) go;
 * near_duplicates: of each class of 5-word shingle sets linked at a Jaccard similarity of 0.8 or more the
-  document with the smallest id stays. Of rows with one id, the one with the smallest text stays. Rows without
-  an id are not compared and stay;
-* decontamination: documents that hold ten words in a row of a benchmark item (or a shorter item whole) go;
+  document with the smallest id stays, one without an id only if none has one. Rows are compared by their texts:
+  rows that repeat an id or have none are rows of their own;
+* decontamination: documents that hold ten words in a row of a benchmark item, or two or more shorter items
+  whole, go. Each row is judged by its text, whatever its id;
 * pii: validated personal numbers, dates and mail addresses become keyed pseudonyms, n_chars follows;
 * sentencepiece: the token ids of each text.
 
@@ -31,24 +32,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = saved(ngram_join.link_classes(docs, size=5, percent=80))
-    gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = saved(classes.filter("doc_id is not null and doc_id = component_id").groupBy("doc_id").count().filter("count > 1"))
-    if repeated.isEmpty():
-        return kept.select(docs.columns)
-    rest = [c for c in docs.columns if c != "doc_id"]
-    first = sorted(rest, key=lambda c: c != "text")
-    many = kept.join(repeated.select("doc_id"), "doc_id", "left_semi")
-    one = many.groupBy("doc_id").agg(F.min(F.struct(*first)).alias("_row")).select("doc_id", "_row.*")
-    return kept.join(repeated.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionAll(
-        one.select(docs.columns))
+    path = scratch_path(spark, "numbered")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.parquet(path)
+    classes = ngram_join.link_classes(numbered.select(F.col("_row").alias("doc_id"), "text"), size=5, percent=80)
+    linked = saved(classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"), "component_id").distinct())
+    members = linked.unionAll(linked.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    named = saved(members.join(numbered.select("_row", "doc_id"), "_row"))
+    first = named.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row")
+    gone = named.select("_row").join(first, "_row", "left_anti")
+    return numbered.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = positional_index.contamination(docs, table(spark, sf_dir, "benchmark"), size=10)
-    hit = saved(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti").select(docs.columns)
+    # a match depends on the text alone, so the text's hash stands for the row; an id may be missing or repeated
+    own = F.xxhash64("text")
+    found = positional_index.contamination(
+        docs.select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), size=10)
+    enough = F.exists("spans", lambda s: s["end"] - s["first"] >= 10) | (F.size("items") > 1)
+    hit = saved(found.filter(enough).select(F.col("doc_id").alias("_hit")).distinct())
+    return docs.join(hit, own == F.col("_hit"), "left_anti").select(docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

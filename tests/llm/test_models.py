@@ -303,3 +303,22 @@ def test_benchmark_texts_go(spark, documents, sf_dir):
     got = corpus_pipeline.decontamination(spark, docs, sf_dir).collect()
     assert {r["doc_id"] for r in got} == {1}  # rows without an id are judged together
     assert all(item not in (r["text"] or "") for r in got)
+
+
+def test_near_duplicates_are_judged_row_by_row(spark, documents, sf_dir):
+    text, other = "some words that make a text of more than five words", "another text that shares nothing with the first one"
+    third = "and once more a text of its own without an id"
+    docs = documents([(1, None), (1, text), (1, other), (2, text), (None, text), (None, third), (None, third), (7, third), (5, ""), (5, "")])
+    rows = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in rows) == [
+        (1, ""), (1, other), (1, text), (5, ""), (5, ""), (7, third)]
+
+
+def test_contamination_is_judged_row_by_row(spark, documents, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(1, item), (2, "word"), (3, "short item")], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    clean, bad = "a clean word among others", f"so {item} ends"
+    docs = documents([(1, clean), (1, bad), (None, clean), (None, bad), (None, None), (2, "a word and a short item"), (3, "word by word")])
+    rows = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in rows) == [(-1, ""), (-1, clean), (1, clean), (3, "word by word")]
