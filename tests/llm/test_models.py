@@ -247,6 +247,22 @@ def test_reading_broken_pages():
     assert len(read("<div>" * 3000 + "deep")) == 1
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>t</title><body><p>a<p>b", ["a", "b"]),
+    ("<head><meta charset=x><script>var a</script><div>a</div><p>b", ["a", "b"]),
+    ("<head><noscript><img src=x><p>no</p></noscript><title>t</title></head><body>a", ["a"]),
+    ("<head><title>t</title>a<p>b", ["a", "b"]),
+    *[(f"<body><p>a</p><{tag}><p>b</p><p>c", ["a", "b", "c"])
+      for tag in ("object", "svg", "iframe", "noscript", "select", "textarea", "audio", "video", "canvas", "template", "math")],
+    *[(f"<body><p>a <{tag}>no<p>no</p><div>no<b>no</{tag}> b</p><p>c", ["a b", "c"])
+      for tag in ("object", "svg", "iframe", "noscript", "select", "textarea", "audio", "video", "canvas", "template", "math")],
+    ("<div><object>no<object>no</object></div><p>a", ["a"]),
+    ("<p hidden>no<p>a<ul><li hidden>no<li>b</ul>", ["a", "b"]),
+])
+def test_open_heads_and_unseen_elements(page, want):
+    assert [b.text for b in block_labeller.read(page)] == want
+
+
 def test_op10_against_the_template(spark, net):
     sf = "/root/testdata/sf0.01"
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
