@@ -17,6 +17,7 @@ from galeframe.llm import (
     positional_index,
     projection_forest,
     sentencepiece_bpe,
+    stratified_index,
     token_counts,
 )
 
@@ -99,6 +100,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_labeller.extract(pages, block_labeller.fit(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stratified_index.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -110,6 +115,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
+    "op11_ranked_search": op11_ranked_search,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_ranked_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        k AS (SELECT doc_id, w, len(w) AS n FROM d WHERE len(w) > 0),
+        total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM k),
+        p AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf
+              FROM (SELECT doc_id, n, unnest(w) AS term FROM k) GROUP BY doc_id, term),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        q AS (SELECT item_id, term, count(*) AS times FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+        s AS (SELECT item_id, doc_id, sum(times * floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+                * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+              FROM q JOIN p USING (term) JOIN f USING (term), total GROUP BY item_id, doc_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
+}

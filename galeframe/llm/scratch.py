@@ -26,9 +26,12 @@ class Scratch:
         for path in self.paths:
             remove(self.spark, path)
 
+    def place(self) -> str:
+        """A new path that is removed with the others."""
+        self.paths.append(scratch_path(self.spark, "table"))
+        return self.paths[-1]
+
     def written(self, df: DataFrame, stays: bool = False) -> DataFrame:
-        path = scratch_path(self.spark, "table")
+        path = scratch_path(self.spark, "table") if stays else self.place()
         df.write.parquet(path)
-        if not stays:
-            self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
