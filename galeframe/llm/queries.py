@@ -11,6 +11,8 @@ from galeframe.llm import (
     block_labeller,
     factorisation,
     hidden_markov,
+    id_files,
+    jacobi_davidson,
     kneser_ney,
     ngram_join,
     pii,
@@ -20,10 +22,12 @@ from galeframe.llm import (
     stratified_index,
     token_counts,
 )
+from galeframe.session import scratch_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
 TEST_KEY = b"galeframe test key"
+END_ID = 2
 
 
 def tokenizer_path(name: str) -> str:
@@ -104,6 +108,16 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_index.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jacobi_davidson.whitened(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = id_files.write_ids(
+        table(spark, sf_dir, "documents"), scratch_path(spark, "ids"), tokenizer_path(BYTE_MODEL), END_ID)
+    return id_files.checksums(files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_ngram_join": op2_ngram_join,
@@ -116,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_html_text": op10_html_text,
     "op11_ranked_search": op11_ranked_search,
+    "op12_whitening": op12_whitening,
+    "op13_id_files": op13_id_files,
 }
 
 ORACLES: dict[str, str] = {

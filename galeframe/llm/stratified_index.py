@@ -256,7 +256,8 @@ def _visitor(shared: Broadcast) -> Callable[[pa.Table], pa.Table]:
 
 def _visit(rows: DataFrame, terms: DataFrame, strata: DataFrame, asked: Queries) -> DataFrame:
     """q, doc_id, score of the k best of every visited block, then of every query."""
-    near = rows.join(strata, "m", "left_semi").join(
+    # strata are fewer than the root of 50 times the documents; a shuffled join would deal whole strata to single tasks
+    near = rows.join(F.broadcast(strata), "m", "left_semi").join(
         F.broadcast(terms.withColumn("asked", F.lit(True))), "term", "left").filter("term is null or asked")
     told = near.drop("asked").groupBy("m", "block").applyInArrow(
         _visitor(rows.sparkSession.sparkContext.broadcast(asked)), "q long, doc_id long, score long")
