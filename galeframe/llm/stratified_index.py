@@ -143,7 +143,7 @@ def build_index(docs: DataFrame, path: str) -> Index:
         strata = tables.written(lengths.groupBy(m.alias("m")).agg(
             F.sum("many").alias("docs"), F.sum(F.col("n") * F.col("many")).alias("words")).select("m", F.greatest(
                 F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("words") / BLOCK_WORDS)).alias("blocks")))
-        placed = counted.withColumn("m", m).withColumn("nth", F.monotonically_increasing_id()).join(strata, "m").select(
+        placed = counted.withColumn("m", m).withColumn("nth", F.monotonically_increasing_id()).join(F.broadcast(strata), "m").select(
             "m", F.pmod(F.xxhash64("doc_id", "nth"), F.col("blocks")).cast("int").alias("block"), "doc_id", "text")
         placed.groupBy("m", "block").applyInArrow(invert, INDEX).write.parquet(path)
     return open_index(spark, path)
