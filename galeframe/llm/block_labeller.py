@@ -12,7 +12,9 @@ SAMPLE_PAGES pages of at most SAMPLE_CHARS characters (least hash of the id) rea
 such page the containers' names alone decide.
 
 Text: scripts, styles, comments and other unseen content are left out, character references decoded, white
-space inside a block becomes one space, empty blocks vanish, main blocks are joined by two line feeds. Null
+space inside a block becomes one space, empty blocks vanish, main blocks are joined by two line feeds. A tag that
+never ends is text. A tag whose quotes would take in the rest of the page ends at its first >, and so do all tags
+behind it. What is nested deeper than DEPTH elements is text of the deepest of these. Null
 and empty html give an empty text; a null id or url stays null; repeated rows are worked on row by row; html
 of any length is read whole.
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
@@ -59,8 +62,12 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPES = frozenset("ul ol dl table body html div section article main aside nav header footer form td th".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?P<void>/?)>"
-    r"|(?P<text>[^<]+|<)", re.DOTALL)
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>"
+    r"|(?P<text>[^<]+|<(?!/?[a-zA-Z]))", re.DOTALL)
+#: a tag whose quotes mean nothing; text and cdata are never there
+PLAIN_TAG = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>(?P<text>(?!))?(?P<cdata>(?!))?")
+TAG_BEGIN = re.compile("</?[a-zA-Z]")
+DEPTH = 500     # open elements at most; deeper ones count as text of the last
 ATTRIBUTE = re.compile(r"""([a-zA-Z:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAMES = re.compile(r"[a-z]+")
 
@@ -114,7 +121,7 @@ def _attributes(raw: str) -> tuple[str, bool]:
     return ".".join(names), unseen
 
 
-_attributes = lru_cache(20_000)(_attributes)
+_known_attributes = lru_cache(20_000)(_attributes)
 
 
 def read(page: str | None) -> list[Block]:
@@ -124,6 +131,9 @@ def read(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked, links, hide = 0, 0, 0
     ends: dict[str, int] = {}
+    count: Counter[str] = Counter()     # open elements by tag
+    deeper: Counter[str] = Counter()    # elements beyond DEPTH by tag
+    inside, quotes = 0, True            # open elements of UNSEEN; whether quotes in tags count
 
     def ended(tag: str, at: int) -> bool:
         """Whether an end tag stands anywhere behind a place."""
@@ -132,7 +142,7 @@ def read(page: str | None) -> list[Block]:
         return ends[tag] >= at
 
     def end_head() -> None:
-        while any(s[0] == "head" for s in stack):
+        while count["head"]:
             pop()
 
     def end_block() -> None:
@@ -144,21 +154,25 @@ def read(page: str | None) -> list[Block]:
         parts, linked = [], 0
 
     def pop() -> None:
-        nonlocal links, hide
+        nonlocal links, hide, inside
         tag, place, unseen = stack[-1]
         if place:
             end_block()
         stack.pop()
+        deeper.clear()
+        count[tag] -= 1
+        inside -= tag in UNSEEN
         links -= tag == "a"
         hide -= unseen
 
     at, page = 0, page or ""
+    last = page.rfind(">")
     while at < len(page):
-        m = TOKEN.match(page, at)
-        if m is None:  # a tag that never ends
-            break
-        at = m.end()
-        text = m["text"] or m["cdata"]
+        m = None if not quotes and TAG_BEGIN.match(page, at) else TOKEN.match(page, at)
+        if m is None:  # quotes that take in the rest of the page: from here on they mean nothing
+            quotes, m = False, PLAIN_TAG.match(page, at) if at < last else None
+        at = m.end() if m else at + 1
+        text = m["text"] or m["cdata"] if m else "<"  # a tag that never ends
         if text:
             if stack and stack[-1][0] == "head" and text.strip():
                 end_head()
@@ -170,10 +184,18 @@ def read(page: str | None) -> list[Block]:
         if not m["tag"]:
             continue
         tag = m["tag"].lower()
-        inner = hide and any(s[0] in UNSEEN for s in stack)  # what stands there ends nothing outside
+        void = m["attrs"].endswith("/")
+        inner = inside > 0  # what stands there ends nothing outside
         if m["close"]:
-            if tag == "p" and not inner and not any(s[0] == "p" for s in stack):
+            if deeper[tag]:
+                deeper[tag] -= 1
+                if tag not in INLINE:
+                    end_block()
+                continue
+            if tag == "p" and not inner and not count["p"]:
                 end_block()
+            if not count[tag]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     while len(stack) > k:
@@ -193,35 +215,46 @@ def read(page: str | None) -> list[Block]:
                 end_block()
             continue
         if tag in RAW:
-            if m["void"] != "/" and (ended(tag, at) or tag in ("script", "style")):
-                end = re.compile(rf"</{tag}(?:\s[^>]*)?/?>", re.IGNORECASE).search(page, at) if ended(tag, at) else None
-                at = end.end() if end else len(page)
+            if not void and (ended(tag, at) or tag in ("script", "style")):
+                end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
+                last = page.find(">", end.end()) if end else -1
+                at = last + 1 if last >= 0 else len(page)
             continue
         if tag in UNSEEN:
-            if m["void"] != "/" and ended(tag, at):
+            if not void and ended(tag, at):
                 stack.append((tag, "", True))
+                count[tag] += 1
+                inside += 1
                 hide += 1
             continue
-        if tag == "head" and any(s[0] == "body" for s in stack):
+        if tag == "head" and count["body"]:
             continue
         if tag not in INLINE and not inner:
             end_block()
-            if any(s[0] == "p" for s in stack):  # a block ends an open paragraph
-                k = max(i for i, s in enumerate(stack) if s[0] == "p")
-                if not any(s[0] in SCOPES for s in stack[k + 1:]):
+            for k in range(len(stack) - 1 if count["p"] else -1, -1, -1):  # a block ends an open paragraph
+                if stack[k][0] == "p":
                     while len(stack) > k:
                         pop()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES.get(tag, ()):
+                    break
+                if stack[k][0] in SCOPES:
+                    break
+            closed = CLOSES.get(tag, ())
+            for k in range(len(stack) - 1 if any(count[t] for t in closed) else -1, -1, -1):
+                if stack[k][0] in closed:
                     while len(stack) > k:
                         pop()
                     break
                 if stack[k][0] in SCOPES:
                     break
-        if m["void"] == "/" and tag not in INLINE:
+        if void and tag not in INLINE:
+            continue
+        if len(stack) >= DEPTH:
+            deeper[tag] += 1
             continue
-        names, unseen = _attributes(m["attrs"]) if m["attrs"].strip() else ("", False)
+        names, unseen = ("", False) if not m["attrs"].strip() else (
+            _known_attributes if len(m["attrs"]) < 1000 else _attributes)(m["attrs"])
         unseen = unseen or tag == "head"
+        count[tag] += 1
         stack.append((tag, "" if tag in INLINE or inner else f"{tag}.{names}" if names else tag, unseen))
         links += tag == "a"
         hide += unseen

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from galeframe.llm.text import distinct, flat, slices
+from galeframe.llm.text import flat, slices, spans_hash
 from galeframe.llm.token_counts import ENDS_PART, SPACE
 
 SEGMENT = 1 << 18       # ids of a segment that is not one long document
@@ -108,8 +108,8 @@ class Boundaries:
 
 class Encoder:
     """Ids of whole texts as the library gives them. Texts are cut where a run of white space begins, which no pre-token
-    crosses; distinct parts are encoded once, and a bounded number of ids is kept for the next slices. A text that
-    holds an added token is encoded whole."""
+    crosses; distinct parts, known by their 64-bit hashes, are encoded once, and a bounded number of ids is kept for the
+    next slices. A text that holds an added token is encoded whole."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -121,31 +121,46 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        # every letter of a byte-level token stands for one byte
+        self.bytes = np.zeros(self.library.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in spec["model"]["vocab"].items():
+            self.bytes[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.first = [], [0]
-        self.pool, self.upto = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def _learn(self, parts: list[str]) -> None:
-        for part, got in zip(parts, self.library.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self.known[part] = len(self.first) - 1
-            self.ids.append(np.array(got.ids, np.int32))
-            self.first.append(self.first[-1] + len(self.ids[-1]))
-        self.pool = np.concatenate([self.pool, *self.ids])
-        self.ids, self.upto = [], np.array(self.first)
-
-    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each part begin in the pool, and how many they are."""
-        new = [p for p in parts if p not in self.known]
-        if new:
-            if len(self.pool) > KEPT_IDS:
-                self._forget()
-                new = parts
-            self._learn(new)
-        which = np.array([self.known[p] for p in parts], np.int64)
-        return self.upto[which], self.upto[which + 1] - self.upto[which]
+        self.hashes = np.zeros(0, np.uint64)                                        # of known parts, ascending
+        self.first, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)        # where their ids stand in the pool
+        self.pool = np.zeros(0, np.int32)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, alone: np.ndarray) -> None:
+        """Encodes new parts. Those that begin with white space and end without it are put together to one text, in which the
+        cuts between them are again such that no pre-token crosses; the lengths of the tokens in bytes tell them apart."""
+        together = ~alone & SPACE[data[starts]] & ENDS_PART[data[ends - 1]]
+        order = np.concatenate([np.flatnonzero(together), np.flatnonzero(~together)])
+        size = (ends - starts)[together]
+        upto = np.cumsum(size)
+        text = data[np.repeat(starts[together] - (upto - size), size) + np.arange(int(size.sum()))].tobytes().decode()
+        ids = np.array(self.library.encode(text, add_special_tokens=False).ids if text else [], np.int32)
+        reach = np.cumsum(self.bytes[ids])
+        many = np.diff(np.concatenate([[0], np.searchsorted(reach, upto, "right")]))
+        if len(ids) and (reach[-1] != upto[-1] or not np.isin(upto, reach).all()):
+            raise ValueError("a token crosses a run of white space")
+        raw = data.tobytes()
+        others = [raw[a:b].decode() for a, b in zip(starts[~together].tolist(), ends[~together].tolist(), strict=True)]
+        rest = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(others, add_special_tokens=False)]
+        many = np.concatenate([many, [len(r) for r in rest]]).astype(np.int64)
+        first = len(self.pool) + np.cumsum(many) - many
+        self.pool = np.concatenate([self.pool, ids, *rest])
+        ascending = np.argsort(hashes[order])
+        new = order[ascending]
+        place = np.searchsorted(self.hashes, hashes[new])
+        self.hashes = np.insert(self.hashes, place, hashes[new])
+        self.first = np.insert(self.first, place, first[ascending])
+        self.many = np.insert(self.many, place, many[ascending])
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
@@ -166,9 +181,18 @@ class Encoder:
             cut[off[k]:off[k + 1]] = False
         cut[off[:-1][np.diff(off) > 0]] = True
         starts = np.flatnonzero(cut)
-        parts, which = distinct(data, starts, np.append(starts[1:], len(data)))
-        begin, many = self._parts(parts)
-        begin, many = begin[which], many[which]
+        ends = np.append(starts[1:], len(data))
+        hashes, where, which = np.unique(spans_hash(data, starts, ends), return_index=True, return_inverse=True)
+        at, known = self._find(hashes)
+        if not known.all():
+            if len(self.pool) > KEPT_IDS:
+                self._forget()
+                known[:] = False
+            new = where[~known]
+            text = np.searchsorted(off, starts[new], "right") - 1
+            self._learn(data, starts[new], ends[new], hashes[~known], whole[text])
+            at, _ = self._find(hashes)
+        begin, many = self.first[at][which], self.many[at][which]
         upto = np.concatenate([[0], np.cumsum(many)])
         ids = self.pool[np.repeat(begin - upto[:-1], many) + np.arange(int(upto[-1]))]
         return ids, np.diff(upto[np.searchsorted(starts, off)])

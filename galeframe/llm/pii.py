@@ -5,7 +5,11 @@ dates are found in whole texts, validated (check digits, number plans, real date
 valid value of the same format. The replacement is a keyed permutation of the format's value space: an
 alternating Feistel network over two parts whose round function is keyed BLAKE2, walked on until it lands on
 a valid value. So equal values are equal pseudonyms in every document and every way of writing them, and
-without the key they cannot be told back. With the key, restore() turns them back.
+without the key they cannot be told back. With the key, restore() turns them back, exactly.
+
+Days are permuted among those that can be written in the same ways (_day_group): a pseudonym keeps the width of day and month,
+a day beyond 12 stays beyond 12, May stays May and September September, and years of 1969 to 2068 stay there. Numbers
+abroad keep their country code, whatever separates its digits.
 
 What does not validate stays as it is, so clean texts are unchanged. A null text stays null with no spans, an
 empty text stays empty. Overlapping candidates: the leftmost, then the longer kind in the order of KINDS.
@@ -16,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from datetime import date
 from functools import lru_cache
@@ -32,6 +37,11 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal
 FIRST_SHORT, LAST_SHORT = date(1969, 1, 1).toordinal(), date(2068, 12, 31).toordinal()
 MONTHS = ("january february march april may june july august september october november december").split()
 SHORT = [m[:3] for m in MONTHS]
+#: fixed: country calling codes of two digits; 1 and 7 stand alone, all others have three
+TWO_DIGIT_COUNTRIES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+    "81 82 84 86 90 91 92 93 94 95 98".split())
+KEPT_VALUES = 1 << 15   # pseudonyms a worker keeps
 PIECE = 128     # letters and digits of a mail's local part that are permuted together
 
 _MONTH = r"(?:" + "|".join([*MONTHS, "sept", *SHORT]) + ")"
@@ -63,7 +73,7 @@ HINT = re.compile(r"@|\d[\d(). /,:-]*\d|\d [a-z]", re.IGNORECASE)
 class Pseudonyms:
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
-        self.replace = lru_cache(200_000)(self._replace)
+        self.replace = lru_cache(KEPT_VALUES)(self._replace)
 
     def permute(self, tweak: str, value: int, size: int, back: bool = False) -> int:
         """Keyed permutation of range(size): an alternating Feistel network over the two factors of a grid
@@ -140,7 +150,7 @@ class Pseudonyms:
 
     def _iban(self, text: str, back: bool) -> str | None:
         plain = text.replace(" ", "").upper()
-        if text.replace(" ", "") != plain or not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
+        if not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
             return None
         shape = "".join("9" if c.isdigit() else "A" for c in plain[4:])
         value, size = 0, 1
@@ -154,7 +164,9 @@ class Pseudonyms:
             body.append(str(digit) if s == "9" else chr(digit + 65))
         body = "".join(reversed(body))
         check = 98 - _mod97(body + plain[:2] + "00")
-        return _fill(text, [*plain[:2], *f"{check:02d}", *body])
+        new = [*plain[:2], *f"{check:02d}", *body]
+        old = text.replace(" ", "")
+        return _fill(text, [c.lower() if o.islower() else c for c, o in zip(new, old, strict=True)])
 
     def _phone(self, text: str, back: bool) -> str | None:
         digits = "".join(c for c in text if c.isdigit())
@@ -162,7 +174,7 @@ class Pseudonyms:
         if text.startswith("+") and not text.startswith("+1"):
             if not 8 <= len(digits) <= 15:
                 return None
-            cc = len(re.match(r"\+(\d{1,3}?)(?:\D|$)", text + " ")[1]) if re.match(r"\+\d{1,3}\D", text) else 2
+            cc = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_COUNTRIES else 3
             rest = digits[cc:]
             new = self.permute(f"phone:{digits[:cc]}", int(rest), 10 ** len(rest), back)
             return _fill(text, [*digits[:cc], *str(new).zfill(len(rest))])
@@ -213,31 +225,21 @@ class Pseudonyms:
             return None
         if not FIRST_DAY <= at <= LAST_DAY:
             return None
-
-        def stays(value: int) -> bool:
-            """Whether a day can be written in this way so that it is read back in the same way: a day and month
-            that could be read either way stay so, and the other way round never becomes so; May has no short
-            form, and only September has one of four letters."""
-            day = date.fromordinal(value + FIRST_DAY)
-            return ((order != "mdy" or day.day > 12) and (not two or FIRST_SHORT <= value + FIRST_DAY <= LAST_SHORT)
-                    and (not written or written in MONTHS or (day.month == 9 if written == "sept" else day.month != 5)))
-
-        new = date.fromordinal(FIRST_DAY + self.walk(
-            "date" if order != "mdy" else "date:mdy", at - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, stays, back))
-        year = f"{new.year % 100:02d}" if two else str(new.year)
+        group = _day_group(at)
+        days = _days()[group]
+        new = date.fromordinal(days[self.permute(f"date:{group}", bisect_left(days, at), len(days), back)])
         if order == "named":
             name = MONTHS[new.month - 1]
             name = name if written in MONTHS else name[:len(written)]
             name = name.title() if names[0][0].isupper() and not names[0].isupper() else name.upper() if names[0].isupper() else name
             out = text.replace(names[0], "\0")
-            values = iter([str(new.day), year])
-            out = re.sub(r"(\d+)(st|nd|rd|th)?", lambda m: next(values) + (
+            values = iter([new.day, new.year])
+            out = re.sub(r"(\d+)(st|nd|rd|th)?", lambda m: _wide(next(values), m[1]) + (
                 "" if not m[2] else _ordinal(new.day).upper() if m[2].isupper() else _ordinal(new.day)), out, flags=re.IGNORECASE)
             return out.replace("\0", name)
-        values = iter({"ymd": (year, new.month, new.day), "dmy": (new.day, new.month, year),
-                       "mdy": (new.month, new.day, year)}[order])
-        padded = all(len(n) != 1 for n in digits)
-        return re.sub(r"\d+", lambda m: str(next(values)).zfill(2 if padded else 1), text)
+        values = iter({"ymd": (new.year, new.month, new.day), "dmy": (new.day, new.month, new.year),
+                       "mdy": (new.month, new.day, new.year)}[order])
+        return re.sub(r"\d+", lambda m: _wide(next(values), m[0]), text)
 
     def apply(self, text: str | None, back: bool = False) -> tuple[str | None, list[tuple[str, int, int, str]]]:
         """The text with pseudonyms, and its spans (kind, start, end in the input's code points, pseudonym)."""
@@ -313,6 +315,28 @@ def _host(value: int) -> bool:
     return value >> 24 not in (0, 127) and value >> 24 < 224
 
 
+def _day_group(day: int) -> str:
+    """Days that can be written in the same ways: the month's day of one digit, up to 12 or beyond (it cannot be taken for a
+    month), a month of one digit or two, May (which has no short form), September (which has one of four letters), and a year
+    that two digits can tell or not."""
+    d = date.fromordinal(day)
+    month = {5: "may", 9: "sept"}.get(d.month, "short" if d.month < 10 else "long")
+    return f"{(d.day > 9) + (d.day > 12)}:{month}:{FIRST_SHORT <= day <= LAST_SHORT}"
+
+
+@lru_cache(1)
+def _days() -> dict[str, list[int]]:
+    groups: dict[str, list[int]] = {}
+    for day in range(FIRST_DAY, LAST_DAY + 1):
+        groups.setdefault(_day_group(day), []).append(day)
+    return groups
+
+
+def _wide(value: int, old: str) -> str:
+    """A number as wide as the one it stands for; of a year the last two digits where there were two."""
+    return str(value % 100 if len(old) == 2 else value).zfill(len(old))
+
+
 _keyed: dict[bytes, Pseudonyms] = {}
 
 

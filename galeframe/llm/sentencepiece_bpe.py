@@ -28,8 +28,7 @@ from pyspark.sql import types as T
 from galeframe.llm.text import distinct, flat, lists, slices
 
 BLANK = "\u2581"
-SLICE_BYTES = 5 << 20
-KEPT_PAIRS = 4_000_000  # verdicts on token pairs kept per worker; beyond it the table starts anew
+KEPT_PAIRS = 1 << 20    # verdicts on token pairs kept per worker (9 MB); beyond it the table starts anew
 
 ENCODED = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -125,10 +124,9 @@ class PieceModel:
             for key in new.tolist():
                 a, b = self.pieces[key >> 32], self.pieces[key & 0xFFFFFFFF]
                 verdicts.append(self.merged(a + b) == [a, b])
-            every = np.concatenate([self.pair_keys, new])
-            order = np.argsort(every, kind="stable")
-            self.pair_fits = np.concatenate([self.pair_fits, np.array(verdicts, bool)])[order]
-            self.pair_keys = every[order]
+            place = np.searchsorted(self.pair_keys, new)
+            self.pair_keys = np.insert(self.pair_keys, place, new)
+            self.pair_fits = np.insert(self.pair_fits, place, verdicts)
             at, known = find()
         out[both] = self.pair_fits[at]
         return out
@@ -262,7 +260,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for part in slices(batch, size=SLICE_BYTES):
+            for part in slices(batch):
                 ids, counts = m.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, lists(ids, counts, pa.int32()), m.decode(ids, counts).cast(pa.string())],
