@@ -79,92 +79,113 @@ def with_halo(df: DataFrame, keys: Sequence[str], position: str, size: int = 409
     )
 
 
-def edge_buckets(df: DataFrame, keys: Sequence[str], col: str, parts: int = 64) -> DataFrame:
-    """Adds _bucket, a non-decreasing function of col with about equal row counts, from a bounded
-    quantile sketch per key (parts values). At least one key; NULLs in col must be gone."""
-    keys = list(keys)
-    probs = [i / parts for i in range(1, parts)]
-    sketch = df.groupBy(*keys).agg(
-        F.percentile_approx(col, probs, 10000).alias("_edges")
-    )
-    return join_small(df, sketch, keys).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(col)))
-    ).drop("_edges")
-
-
-def average_ranks(df: DataFrame, keys: Sequence[str], col: str, copies: str, out: str) -> DataFrame:
+#: values of an interval that is looked into whole
+LEAF = 4096
+#: edges of a histogram, one less than a power of two
+EDGES = 255
+#: of the sketch that the edges come from: ranks are right to one in so many
+ACCURACY = 10000
+
+
+def _placed(rows: DataFrame, edges: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
+    """Adds _bin: 2 p for values between edge p - 1 and edge p, 2 p + 1 for those equal to edge p. The place is
+    found by halving, one step a projection, in generated code."""
+    out = join_small(rows, edges, keys).withColumn("_p", F.lit(0))
+    step = (parts + 1) // 2
+    while step:
+        out = out.withColumn("_p", F.col("_p") + F.when(F.get("_edges", F.col("_p") + (step - 1)) < F.col("_v"), step).otherwise(0))
+        step //= 2
+    on = F.coalesce(F.get("_edges", "_p") == F.col("_v"), F.lit(False))
+    return out.withColumn("_bin", 2 * F.col("_p") + on.cast("int")).drop("_p", "_edges")
+
+
+def _leaves(rows: DataFrame, keys: Sequence[str], ranks: Column | None, leaf: int, parts: int) -> DataFrame:
+    """Cuts every group into intervals of at most leaf rows, or of equal values, in the order of _v.
+
+    rows: keys, _v, _n (copies a row stands for). In every round the intervals that are still too large get a histogram: edges
+    from a sketch of their rows, exact counts between the edges, values equal to an edge in bins of their own. So the
+    rows of an interval shrink about by the number of edges, whatever the distribution, and a group of any size ends after a
+    few rounds. A bin's place follows from the bins before it in its own interval, never from the whole group.
+
+    With ranks (an array of 0-based ranks, from the number of _copies of a group) only intervals that hold one of them are
+    kept; _ranks and the group's _total come with their rows. Returns keys, _id (an interval's number), _before (copies before
+    the interval), _v, _n.
+    """
+    keys, ids = list(keys), [*keys, "_id"]
+    # an interval's number begins with that of the interval it was cut from, so it stays unique over all rounds
+    rows = saved(rows.select(*keys, "_v", "_n", F.lit(1).cast("long").alias("_id")))
+    every = [F.count("*").alias("_rows"), F.sum("_n").alias("_copies"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    intervals = rows.groupBy(*ids).agg(*every).withColumns({
+        "_before": F.lit(0).cast("long"), **({} if ranks is None else {"_ranks": ranks, "_total": F.col("_copies")})})
+    told = ["_before"] if ranks is None else ["_before", "_ranks", "_total"]
+    done: DataFrame | None = None
+    while True:
+        intervals = saved(intervals)
+        small = (F.col("_rows") <= leaf) | (F.col("_lo") == F.col("_hi"))
+        ended = join_small(rows, intervals.filter(small).select(*ids, *told), ids).select(*ids, *told, "_v", "_n")
+        done = ended if done is None else done.unionAll(ended)
+        open_ = intervals.filter(~small).select(*ids, *told)
+        if open_.isEmpty():
+            return done
+        rows = join_small(rows, open_.select(*ids), ids)
+        edges = saved(rows.groupBy(*ids).agg(F.percentile_approx(
+            "_v", [(i + 1) / (parts + 1) for i in range(parts)], ACCURACY).alias("_edges")))
+        placed = _placed(rows, edges, ids, parts)
+        # a window over the bins of one interval, at most 2 parts + 1
+        upto = Window.partitionBy(*ids).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = placed.groupBy(*ids, "_bin").agg(*every).withColumn("_below", F.coalesce(F.sum("_copies").over(upto), F.lit(0)))
+        bins = join_small(bins, open_, ids).withColumn("_before", F.col("_before") + F.col("_below")).drop("_below")
+        number = F.col("_id") * (2 * parts + 2) + F.col("_bin")
+        if ranks is not None:
+            bins = bins.withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_before")) & (
+                r < F.col("_before") + F.col("_copies")))).filter(F.size("_ranks") > 0)
+        intervals = saved(bins.withColumn("_id", number).drop("_bin"))
+        rows = saved(join_small(placed.withColumn("_id", number).drop("_bin"), intervals.select(*ids), ids))
+
+
+def _running(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds _upto, the copies up to a value in its group; the window meets one leaf."""
+    inside = Window.partitionBy(*keys, "_id").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return leaves.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], col: str, copies: str, out: str, leaf: int = LEAF,
+                  parts: int = EDGES) -> DataFrame:
     """Distinct values of col with their average 1-based rank inside keys, where each row of df stands
     for a number of equal rows given by the column copies. At least one key."""
     keys = list(keys)
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.sum(copies).alias("_n"))
-    cut = edge_buckets(counts, keys, col)
-    total = running_total(cut, keys, F.col("_bucket"), [col], F.col("_n"), "_upto")
-    return total.select(*keys, col, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
-
-
-# A group of at most this many rows is ranked whole; larger ones only between sketch brackets.
-SMALL_GROUP = 40000
-SKETCH = 10000
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, one column per name in probs.
-
-    A bounded sketch brackets each quantile (its rank error is proven, 1/SKETCH); one more pass counts
-    what lies below and ranks only the distinct values inside the bracket. No group is held whole.
-    """
-    keys = list(keys)
-    names = list(probs)
-    x = df.select(*keys, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    if not keys:
-        x, keys_, one = x.withColumn("_all", F.lit(0)), ["_all"], True
-    else:
-        keys_, one = keys, False
-    lows = [max(0.0, p - 2 / SKETCH) for p in probs.values()]
-    highs = [min(1.0, p + 2 / SKETCH) for p in probs.values()]
-    sketch = x.groupBy(*keys_).agg(
-        F.count("*").alias("_count"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-        F.percentile_approx("_x", lows + highs, SKETCH).alias("_edge"),
-    )
-    small = F.col("_count") <= SMALL_GROUP
-    brackets = sketch.select(
-        *keys_, "_count",
-        F.array(*[
-            F.struct(
-                F.lit(name).alias("name"), F.lit(p).alias("p"),
-                F.when(small, F.col("_min")).otherwise(F.col("_edge")[i]).alias("lo"),
-                F.when(small, F.col("_max")).otherwise(F.col("_edge")[i + len(names)]).alias("hi"),
-            )
-            for i, (name, p) in enumerate(probs.items())
-        ]).alias("_b"),
-    )
-    banded = (
-        join_small(x, brackets, keys_)
-        .select(*keys_, "_count", "_x", F.explode("_b").alias("_b"))
-        .filter(F.col("_x") <= F.col("_b.hi"))
-        .groupBy(*keys_, "_count", F.col("_b.name").alias("_name"), F.col("_b.p").alias("_p"),
-                 F.when(F.col("_x") >= F.col("_b.lo"), F.col("_x")).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    w = (Window.partitionBy(*keys_, "_name").orderBy(F.col("_v").asc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    h = F.col("_p") * (F.col("_count") - 1)
-    ranked = banded.withColumn("_upto", F.sum("_n").over(w)).withColumn("_h", h)
-    first = F.col("_upto") - F.col("_n")  # 0-based rank of the first copy
-
-    def covers(k: Column) -> Column:
-        return F.max(F.when((first <= k) & (k < F.col("_upto")), F.col("_v")))
-
-    # a rank outside its bracket would break the sketch's guarantee: an error, never a wrong number
-    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
-    values = ranked.groupBy(*keys_, "_name").agg(
-        covers(F.floor("_h")).alias("_a"), covers(F.ceil("_h")).alias("_c"),
-        F.first("_h").alias("_h"),
-    ).withColumns({c: F.when(F.col(c).isNull(), missed).otherwise(F.col(c)) for c in ("_a", "_c")}).select(*keys_, "_name", (F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_c") - F.col("_a"))).alias("_q"))
-    out = values.groupBy(*keys_).agg(*[
-        F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in names
-    ])
-    return out.drop("_all") if one else out
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.sum(copies).cast("long").alias("_n"))
+    ranked = _running(_leaves(counts, keys, None, leaf, parts), keys)
+    return ranked.select(*keys, F.col("_v").alias(col), (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float], leaf: int = LEAF,
+                    parts: int = EDGES) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, one column per name in probs. Groups of all sizes go the same
+    way: the intervals that hold a wanted rank are narrowed until they have at most leaf rows."""
+    group = list(keys) or ["_all"]
+    x = df.select(*(keys or [F.lit(0).alias("_all")]), F.col(col).cast("double").alias("_v"), F.lit(1).cast("long").alias("_n")).filter(
+        F.col("_v").isNotNull())
+
+    def place(total: str) -> dict[str, Column]:
+        return {name: F.lit(p) * (F.col(total) - 1) for name, p in probs.items()}
+
+    wanted = F.array_distinct(F.concat(*[F.array(F.floor(h), F.ceil(h)) for h in place("_copies").values()]))
+    leaves = _leaves(x, group, wanted, leaf, parts)
+    # equal values of a leaf are one row; a leaf of one value alone may hold any number of them
+    held = leaves.groupBy(*group, "_id", "_before", "_v").agg(
+        F.sum("_n").alias("_n"), F.first("_ranks").alias("_ranks"), F.first("_total").alias("_total"))
+    found = _running(held, group).select(*group, "_total", "_v", F.explode(F.filter("_ranks", lambda r: (
+        r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")))).alias("_rank"))
+    # at most two ranks a quantile
+    values = found.groupBy(*group).agg(
+        F.first("_total").alias("_total"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def quantile(h: Column) -> Column:
+        low, high = F.col("_at")[F.floor(h)], F.col("_at")[F.ceil(h)]
+        return low + (h - F.floor(h)) * (high - low)
+
+    return values.select(*keys, *[quantile(h).alias(name) for name, h in place("_total").items()])
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str],

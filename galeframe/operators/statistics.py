@@ -166,13 +166,15 @@ def taylor_by_basin(models: DataFrame, reference: DataFrame, variable: str, mode
 
 
 def linear_fit(df: DataFrame, x: str, y: str, buffer_pct: float = 10.0) -> DataFrame:
-    """One row: slope, intercept, R2 and the buffer over the worst residual (second pass)."""
+    """One row: slope, intercept, R2 and the buffer over the worst residual. Two passes: the sums of the fit, whose one row
+    the second pass takes as constants."""
     fit = df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-                 F.regr_r2(y, x).alias("r2"))
-    slope, intercept = fit.select("slope").scalar(), fit.select("intercept").scalar()
-    worst = df.agg(F.max(F.col(y) - (intercept + slope * F.col(x))).alias("max_residual"))
-    return fit.withColumn("max_residual", worst.scalar()).withColumn(
-        "buffer", (1 + buffer_pct / 100.0) * F.col("max_residual"))
+                 F.regr_r2(y, x).alias("r2")).first()
+    known = {name: F.lit(fit[name]).cast("double") for name in ("slope", "intercept", "r2")}
+    worst = F.max(F.col(y) - (known["intercept"] + known["slope"] * F.col(x)))
+    return df.agg(worst.alias("max_residual")).select(
+        *[c.alias(name) for name, c in known.items()], "max_residual",
+        ((1 + buffer_pct / 100.0) * F.col("max_residual")).alias("buffer"))
 
 
 def runtime_summary(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from galeframe.functions import intensity
 from galeframe.operators import statistics as S
 from galeframe.operators import tracks as T
+from galeframe.operators.scale import average_ranks, exact_quantiles
 from galeframe.plans import views as V
 from galeframe.plans.q_scalars import EST_CTES
 from galeframe.plans.registry import R, ora, query, rounded
@@ -33,6 +34,25 @@ def _(spark, sf_dir):
     return rounded(S.summary(enriched(spark, sf_dir), VARS), "mean", "std", "min", "max", "q25", "median", "q75")
 
 
+_PROBS = {"q01": 0.01, "q25": 0.25, "median": 0.5, "q75": 0.75, "q99": 0.99}
+
+
+@query("a9_quantiles_in_rounds", ora("fx_points", "SELECT basin, " + ", ".join(
+    R(f"QUANTILE_CONT(rmw, {p})", name) for name, p in _PROBS.items()) + """
+FROM (SELECT p.basin, e.rmw FROM enr e JOIN fx_points p USING (event_id)) WHERE rmw IS NOT NULL GROUP BY basin""", _ENRICHED))
+def _(spark, sf_dir):
+    # histograms of four bins and leaves of four rows: every basin takes several rounds on small tables already
+    return rounded(exact_quantiles(enriched(spark, sf_dir), ["basin"], "rmw", _PROBS, leaf=4, parts=3), *_PROBS)
+
+
+@query("a10_average_ranks", ora("fx_points", """
+SELECT model, rmw, MAX(CAST(r AS DOUBLE) + (c - 1) / 2) AS mean_rank FROM (SELECT model, rmw, RANK() OVER (PARTITION BY model ORDER BY rmw) AS r,
+  COUNT(*) OVER (PARTITION BY model, rmw) AS c FROM (SELECT model, ROUND(rmw, 3) AS rmw FROM enr WHERE rmw IS NOT NULL)) GROUP BY model, rmw""", _ENRICHED))
+def _(spark, sf_dir):
+    pts = enriched(spark, sf_dir).select("model", F.round("rmw", 3).alias("rmw"), F.lit(1).alias("n"))
+    return average_ranks(pts, ["model"], "rmw", "n", "mean_rank", leaf=16, parts=7)
+
+
 _SPEARMAN = """,
 rk AS (SELECT model, ABS(lat) AS a, rmw AS b FROM enr WHERE lat IS NOT NULL AND rmw IS NOT NULL),
 rr AS (SELECT model, RANK() OVER (PARTITION BY model ORDER BY a) + (COUNT(*) OVER (PARTITION BY model, a) - 1) / 2 AS ra,
