@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +20,8 @@ from galeframe.functions.text import first_true, last_true
 
 @dataclass(frozen=True)
 class EntropyAxes:
-    """Axes of the temperature table over pressure (Pa) and saturation entropy (J/kg/K)."""
+    """Axes of the temperature table over pressure (Pa) and saturation entropy (J/kg/K), and over total water (kg/kg) where the
+    form is reversible (n_w 2 at least)."""
 
     p0: float = 5000.0
     p1: float = 105000.0
@@ -24,6 +29,9 @@ class EntropyAxes:
     s0: float = 2300.0
     s1: float = 3100.0
     n_s: int = 101
+    w0: float = 0.0
+    w1: float = 0.0
+    n_w: int = 1
 
     @property
     def dp(self) -> float:
@@ -33,52 +41,68 @@ class EntropyAxes:
     def ds(self) -> float:
         return (self.s1 - self.s0) / (self.n_s - 1)
 
+    @property
+    def dw(self) -> float:
+        return (self.w1 - self.w0) / max(self.n_w - 1, 1)
+
 
-# a table of up to this many entries (about 20 MB of quads) is sent to every executor
-BROADCAST_ENTRIES = 250_000
+#: axes that hold the parcels of warm seas in the reversible form
+REVERSIBLE = EntropyAxes(s1=4100.0, n_s=181, w1=0.06, n_w=13)
 
 
-def entropy_table(spark: SparkSession, axes: EntropyAxes = EntropyAxes(), rounds: int = 60) -> DataFrame:
-    """Temperature on the axes, by bisection of the pseudoadiabatic saturation entropy. It grows with
+def entropy_table(spark: SparkSession, axes: EntropyAxes = EntropyAxes(), rounds: int = 60, form: str = "pseudo") -> DataFrame:
+    """Temperature on the axes (ip, is, iw, t), by bisection of the saturation entropy. It grows with
     temperature as long as the vapour pressure stays well below p, which sets the upper end."""
-    ip, is_ = (F.col("id") / axes.n_s).cast("int"), (F.col("id") % axes.n_s).cast("int")
-    grid = spark.range(axes.n_p * axes.n_s).select(
-        ip.alias("ip"), is_.alias("is"), (axes.p0 + ip * axes.dp).alias("p"), (axes.s0 + is_ * axes.ds).alias("s"))
+    ip = (F.col("id") / (axes.n_s * axes.n_w)).cast("int")
+    is_, iw = (F.col("id") / axes.n_w).cast("int") % axes.n_s, (F.col("id") % axes.n_w).cast("int")
+    grid = spark.range(axes.n_p * axes.n_s * axes.n_w).select(
+        ip.alias("ip"), is_.alias("is"), iw.alias("iw"), (axes.p0 + ip * axes.dp).alias("p"), (axes.s0 + is_ * axes.ds).alias("s"),
+        (axes.w0 + iw * axes.dw).alias("w"))
     x = F.log(0.6 * F.col("p") / 610.94)
     top = F.least(273 + 243.04 * x / (17.625 - x), F.lit(350.0))
     start = F.struct(F.lit(120.0).alias("lo"), top.alias("hi"))
 
     def halve(b: Column, _i: Column) -> Column:
         mid = (b["lo"] + b["hi"]) / 2
-        low = thermo.s_sat(mid, F.col("p"), F.lit(0.0)) < F.col("s")
+        low = thermo.s_sat(mid, F.col("p"), F.col("w"), form) < F.col("s")
         return F.struct(F.when(low, mid).otherwise(b["lo"]).alias("lo"), F.when(low, b["hi"]).otherwise(mid).alias("hi"))
 
     ends = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)
-    return grid.withColumn("_e", ends).select("ip", "is", ((F.col("_e.lo") + F.col("_e.hi")) / 2).alias("t"))
-
-
-def _table_quads(table: DataFrame, axes: EntropyAxes) -> DataFrame:
-    homes = F.array(*[F.struct((F.col("ip") - a).alias("_ip"), (F.col("is") - b).alias("_is"), F.lit(f"{a}{b}").alias("_c"))
-                      for a in (0, 1) for b in (0, 1)])
-    rows = table.select("t", F.inline(homes)).filter(
-        (F.col("_ip").between(0, axes.n_p - 2)) & (F.col("_is").between(0, axes.n_s - 2)))
-    q = rows.groupBy("_ip", "_is").agg(*[F.max(F.when(F.col("_c") == c, F.col("t"))).alias(f"_t{c}") for c in ("00", "01", "10", "11")])
-    return F.broadcast(q) if axes.n_p * axes.n_s <= BROADCAST_ENTRIES else q
-
-
-def lookup_temperature(df: DataFrame, quads: DataFrame, axes: EntropyAxes, p: str, s: str, out: str) -> DataFrame:
-    """Temperature at (p, s) by bilinear interpolation of the table, held at its edges."""
-    y = clip((F.col(p) - axes.p0) / axes.dp, 0, axes.n_p - 1)
-    x = clip((F.col(s) - axes.s0) / axes.ds, 0, axes.n_s - 1)
-    # a missing entropy finds no quad and stays missing
-    staged = df.withColumns({"_y": y, "_x": x}).withColumns({
-        "_ip": F.coalesce(F.least(F.floor("_y"), F.lit(axes.n_p - 2)), F.lit(-1)).cast("int"),
-        "_is": F.coalesce(F.least(F.floor("_x"), F.lit(axes.n_s - 2)), F.lit(-1)).cast("int")})
-    fy, fx = F.col("_y") - F.col("_ip"), F.col("_x") - F.col("_is")
-    t = (F.col("_t00") * (1 - fx) * (1 - fy) + F.col("_t01") * fx * (1 - fy)
-         + F.col("_t10") * (1 - fx) * fy + F.col("_t11") * fx * fy)
-    return staged.join(quads, ["_ip", "_is"], "left").withColumn(out, t).drop(
-        "_y", "_x", "_ip", "_is", "_t00", "_t01", "_t10", "_t11")
+    return grid.withColumn("_e", ends).select("ip", "is", "iw", ((F.col("_e.lo") + F.col("_e.hi")) / 2).alias("t"))
+
+
+def table_lookup(table: DataFrame, axes: EntropyAxes, held: bool) -> Callable[[Column, Column, Column], Column]:
+    """Temperatures (an array) at pressures (an array), entropy and water of a row, linear between the corners of
+    the table's cell. Beyond an axis its edge counts (held) or the temperature is missing. The table, as large as its axes say
+    (2 MB for the reversible ones), is one array that is sent to every executor."""
+    got = table.toArrow()
+    grid = np.zeros((axes.n_p, axes.n_s, axes.n_w))
+    grid[tuple(got.column(c).to_numpy() for c in ("ip", "is", "iw"))] = got.column("t").to_numpy()
+    shared = table.sparkSession.sparkContext.broadcast(grid)
+
+    def slot(x: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of an axis and the share inside it; a missing place stays missing in the share."""
+        x = np.clip(x, 0, many - 1) if held else np.where((x >= 0) & (x <= many - 1), x, np.nan)
+        low = np.minimum(np.nan_to_num(np.floor(x)), max(many - 2, 0)).astype(np.int64)
+        return low, x - low
+
+    @F.arrow_udf("array<double>")
+    def run(p: pa.Array, s: pa.Array, w: pa.Array) -> pa.Array:
+        counts = pc.fill_null(pc.list_value_length(p), 0).to_numpy(zero_copy_only=False)
+        flat = p.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        s, w = (np.repeat(x.to_numpy(zero_copy_only=False).astype(np.float64), counts) for x in (s, w))
+        sides = [slot((flat - axes.p0) / axes.dp, axes.n_p), slot((s - axes.s0) / axes.ds, axes.n_s)]
+        sides.append(slot((w - axes.w0) / axes.dw, axes.n_w) if axes.n_w > 1 else (np.zeros(len(flat), np.int64), np.zeros(len(flat))))
+        total = np.zeros(len(flat))
+        for corner in product((0, 1), (0, 1), (0, 1) if axes.n_w > 1 else (0,)):
+            share = 1.0
+            for c, (_, f) in zip(corner, sides, strict=True):
+                share = share * (f if c else 1 - f)
+            total += share * shared.value[tuple(low + c for c, (low, _) in zip(corner, sides, strict=True))]
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(total, mask=np.isnan(total)))
+
+    return run
 
 
 def assemble_soundings(levels: DataFrame, surface: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,44 +115,47 @@ def assemble_soundings(levels: DataFrame, surface: DataFrame, keys: Sequence[str
 
 
 def potential_intensity(soundings: DataFrame, keys: Sequence[str], table: DataFrame, axes: EntropyAxes = EntropyAxes(),
-                        ratio: float = K.CK / K.CD) -> DataFrame:
+                        ratio: float = K.CK / K.CD, form: str = "pseudo", also: Sequence[str] = ()) -> DataFrame:
     """Potential intensity per sounding (keys, sst, psl, arrays p, t, r from the ground up), 0 where it cannot be
     had. Parcels: one from the lowest level, dry to its condensation level and moist above, and one saturated
     at the sea surface. CAPE is summed to the level of neutral buoyancy plus the part layer above it.
 
-    The levels are unfolded for the two table lookups (broadcast joins) and folded again, one shuffle of
-    cells x levels.
+    The reversible form keeps each parcel's total water, which is then the third axis of the table; beyond the axes it
+    has no temperature, where the pseudoadiabatic form takes the edge. Every sounding is worked on inside its row,
+    over its arrays of levels, without a shuffle; only the table lookup is numpy, in batches. also names columns that are passed on.
     """
-    keys = list(keys)
+    keys, also = list(keys), list(also)
     c = F.col
-    quads = _table_quads(table, axes)
     base = soundings.withColumns({
         "_tn": c("t")[0], "_rn": c("r")[0], "_pn": c("p")[0], "_rs": thermo.sat_mixing_ratio(c("sst"), c("psl"))})
     base = base.withColumns({
         "_rh": thermo.parcel_humidity(c("_rn"), c("_rs")),
-        "_sn": thermo.s_unsat(c("_tn"), c("_pn"), c("_rn"), c("_rn")),
-        "_ss": thermo.s_sat(c("sst"), c("psl"), c("_rs"))})
+        "_sn": thermo.s_unsat(c("_tn"), c("_pn"), c("_rn"), c("_rn"), form),
+        "_ss": thermo.s_sat(c("sst"), c("psl"), c("_rs"), form)})
     base = base.withColumn("_lcl", thermo.lcl_pressure(c("_pn"), c("_tn"), c("_rn"), c("_rh")))
     top = F.size("p") - 1
     cond = F.coalesce(first_true(F.transform("p", lambda x: F.coalesce(c("_lcl") > x, F.lit(False)))), top).cast("int")
     lnp_next = F.transform("p", lambda x, i: F.when(i < top, F.log(F.get("p", i + 1)) - F.log(x)).otherwise(F.log(x) - F.log(F.get("p", i - 1))))
-    base = base.withColumn("_cond", F.least(cond, top)).withColumn("_dl", lnp_next)
-    lv = base.select(*keys, "sst", "_tn", "_rn", "_pn", "_sn", "_ss", "_cond",
-                     F.posexplode(F.arrays_zip("p", "t", "r", c("_dl").alias("dl"))).alias("_k", "_l"))
-    lv = lv.select(*keys, "sst", "_tn", "_rn", "_pn", "_sn", "_ss", "_cond", "_k",
-                   c("_l.p").alias("_p"), c("_l.t").alias("_te"), c("_l.r").alias("_re"), c("_l.dl").alias("_dl"))
-    lv = lookup_temperature(lv, quads, axes, "_p", "_sn", "_tm")
-    lv = lookup_temperature(lv, quads, axes, "_p", "_ss", "_ts")
-    moist = c("_k") >= c("_cond")
-    lv = lv.withColumn("_ta", F.when(moist, c("_tm")).otherwise(c("_tn") * F.pow(c("_p") / c("_pn"), F.lit(K.RD / K.CP))))
-    lv = lv.withColumn("_ra", F.when(moist, thermo.sat_mixing_ratio(c("_ta"), c("_p"))).otherwise(c("_rn")))
-    lv = lv.withColumns({
-        "_de": thermo.density_temperature(c("_te"), c("_re"), c("_re")),
-        "_da": thermo.density_temperature(c("_ta"), c("_ra"), c("_rn")),
-        "_ds": thermo.density_temperature(c("_ts"), thermo.sat_mixing_ratio(c("_ts"), c("_p")), c("_rn"))})
-    lv = lv.withColumns({"_ba": c("_da") - c("_de"), "_bs": c("_ds") - c("_de")})
-    prof = lv.groupBy(*keys, "sst").agg(F.array_sort(F.collect_list(F.struct(
-        c("_k").alias("k"), c("_p").alias("p"), c("_te").alias("te"), c("_ba").alias("a"), c("_bs").alias("s"), c("_dl").alias("dl")))).alias("_v"))
+    lookup = table_lookup(table, axes, held=form == "pseudo")
+    # parcels above condensation and from the sea surface
+    base = base.withColumns({"_cond": F.least(cond, top), "_dl": lnp_next}).withColumns({
+        "_tm": lookup(c("p"), c("_sn"), c("_rn")), "_ts": lookup(c("p"), c("_ss"), c("_rs"))})
+
+    def lifted(e: Column, k: Column) -> Column:
+        dry = c("_tn") * F.pow(e["p"] / c("_pn"), F.lit(K.RD / K.CP))
+        moist = k >= c("_cond")
+        return F.struct(e["p"].alias("p"), e["t"].alias("te"), e["r"].alias("re"), e["_dl"].alias("dl"), e["_ts"].alias("ts"),
+                        F.when(moist, e["_tm"]).otherwise(dry).alias("ta"),
+                        F.when(moist, thermo.sat_mixing_ratio(e["_tm"], e["p"])).otherwise(c("_rn")).alias("ra"))
+
+    def buoyant(e: Column) -> Column:
+        env = thermo.density_temperature(e["te"], e["re"], e["re"], form)
+        a = thermo.density_temperature(e["ta"], e["ra"], c("_rn"), form)
+        s = thermo.density_temperature(e["ts"], thermo.sat_mixing_ratio(e["ts"], e["p"]), c("_rs"), form)
+        return F.struct(e["p"].alias("p"), e["te"].alias("te"), (a - env).alias("a"), (s - env).alias("s"), e["dl"].alias("dl"))
+
+    base = base.withColumn("_lv", F.transform(F.arrays_zip("p", "t", "r", "_dl", "_tm", "_ts"), lifted))
+    prof = base.select(*keys, *also, "sst", F.transform("_lv", buoyant).alias("_v"))
     n = F.size("_v")
 
     def out_level(b: str) -> Column:
@@ -156,20 +183,19 @@ def potential_intensity(soundings: DataFrame, keys: Sequence[str], table: DataFr
         "_tout": F.when(c("_is") < n - 1, t_out)})
     energy = ratio * F.try_divide(c("sst"), c("_tout")) * (c("_capes") - c("_cape"))
     pi = F.when(energy.isNotNull(), F.sqrt(F.greatest(energy, F.lit(0.0))))
-    return prof.select(*keys, F.coalesce(pi, F.lit(0.0)).alias("pi"), c("_cape").alias("cape"), c("_capes").alias("cape_surface"), c("_tout").alias("t_out"))
+    return prof.select(*keys, *also, F.coalesce(pi, F.lit(0.0)).alias("pi"), c("_cape").alias("cape"), c("_capes").alias("cape_surface"), c("_tout").alias("t_out"))
 
 
 def monthly_thermo(soundings: DataFrame, keys: Sequence[str], table: DataFrame, axes: EntropyAxes = EntropyAxes(),
-                   p_mid: float = 60000.0) -> DataFrame:
-    """Potential intensity, saturation deficit (0..10) and mid-level humidity per key. The mid level is the one
-    nearest to p_mid; the given humidity serves as mixing ratio, as in the source method."""
+                   p_mid: float = 60000.0, form: str = "pseudo") -> DataFrame:
+    """Potential intensity, saturation deficit (0..10) and mid-level humidity per key, in one pass over the soundings. The mid
+    level is the one nearest to p_mid; the given humidity serves as mixing ratio, as in the source method."""
     keys = list(keys)
     mid = F.array_min(F.transform(F.arrays_zip("p", "t", "r"), lambda e: F.struct(F.abs(e["p"] - p_mid).alias("d"), e["p"].alias("p"), e["t"].alias("t"), e["r"].alias("r"))))
-    m = soundings.withColumn("_m", mid).select(
-        *keys, "sst", "psl", F.col("_m.p").alias("_p"), F.col("_m.t").alias("_t"), F.col("_m.r").alias("_r"))
-    fields = m.select(
-        *keys,
-        clip(thermo.saturation_deficit_chi(F.col("sst"), F.col("psl"), F.col("_t"), F.col("_p"), F.col("_r")), 0, 10).alias("chi"),
-        thermo.relative_humidity(F.col("_t"), F.col("_r"), F.col("_p")).alias("rh_mid"))
-    pi = potential_intensity(soundings, keys, table, axes).select(*keys, F.col("pi").alias("vmax"))
-    return pi.join(fields, keys)
+    m = soundings.withColumn("_m", mid)
+    t, p, r = F.col("_m.t"), F.col("_m.p"), F.col("_m.r")
+    fields = m.withColumns({
+        "chi": clip(thermo.saturation_deficit_chi(F.col("sst"), F.col("psl"), t, p, r, form), 0, 10),
+        "rh_mid": thermo.relative_humidity(t, r, p)})
+    return potential_intensity(fields, keys, table, axes, form=form, also=["chi", "rh_mid"]).select(
+        *keys, F.col("pi").alias("vmax"), "chi", "rh_mid")
