@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,8 +211,8 @@ def regrid_bilinear(cells: DataFrame, source: Lattice, target: Lattice, fields:
 def nearest_sources(cells: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """For each missing cell (group, lat_ix, lon_ix) the nearest present cell (_si, _sj) in index space, ties
     to the smaller (row, column). Squared distance splits by axis: first the nearest present row inside each
-    column (a window over one column of the grid), then the best column along the row, over an array as
-    long as the grid is wide."""
+    column (a window over one column of the grid), then the best column along the row: an array as long as the grid is
+    wide, in time that grows with its length."""
     group = list(group)
     # holes in the listing become cells that neither give nor take
     box = cells.groupBy(*group).agg(*[f(c).alias(f"_{n}_{c}") for n, f in (("a", F.min), ("b", F.max)) for c in ("lat_ix", "lon_ix")])
@@ -228,16 +229,60 @@ def nearest_sources(cells: DataFrame, group: Sequence[str], value: str) -> DataF
     row = F.when(F.col("_a").isNotNull() & take_above, F.col("_a")).otherwise(F.col("_b"))
     cols = cols.withColumn("_row", row)
     rows = cols.groupBy(*group, "lat_ix").agg(
-        F.collect_list(F.when(F.col("_row").isNotNull(), F.struct(F.col("_row").alias("i"), F.col("lon_ix").alias("j")))).alias("_near"),
+        F.collect_list(F.when(F.col("_row").isNotNull(), F.col("lon_ix"))).alias("_j"),
+        F.collect_list(F.when(F.col("_row").isNotNull(), F.col("_row"))).alias("_i"),
         F.collect_list(F.when(F.col("_gap"), F.col("lon_ix"))).alias("_gaps"))
-    gaps = rows.select(*group, "lat_ix", "_near", F.explode("_gaps").alias("lon_ix"))
-
-    def ranked(c: Column) -> Column:
-        di, dj = c["i"] - F.col("lat_ix"), c["j"] - F.col("lon_ix")
-        return F.struct((di * di + dj * dj).alias("d2"), c["i"].alias("i"), c["j"].alias("j"))
-
-    best = F.array_min(F.transform("_near", ranked))
-    return gaps.select(*group, "lat_ix", "lon_ix", best["i"].alias("_si"), best["j"].alias("_sj")).filter("_si IS NOT NULL")
+    rows = rows.filter((F.size("_j") > 0) & (F.size("_gaps") > 0))
+    near = rows.select(*group, "lat_ix", F.inline(F.arrays_zip("_gaps", nearest_in_row("lat_ix", "_i", "_j", "_gaps").alias("_best"))))
+    return near.select(*group, "lat_ix", F.col("_gaps").alias("lon_ix"), F.col("_best.i").alias("_si"), F.col("_best.j").alias("_sj"))
+
+
+def envelope(row: int, i: np.ndarray, j: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Which source (i, j) is nearest to each gap of a row, ties to the smaller (i, j). The sources' squared
+    distances along the row are parabolas; their lower envelope comes from one pass over the sources by column, in
+    whole numbers. A source's rank by (i, j), below one unit of distance, makes all values differ, so ties fall the right way."""
+    order = np.argsort(j, kind="stable")
+    unit = len(order) + 1
+    rank = np.empty(len(order), np.int64)
+    rank[np.lexsort((j, i))] = np.arange(len(order))
+    # unit (q - j)^2 + height is unit q^2 plus a line of q; the lines meet where line and slope say
+    column = j[order].astype(np.int64)
+    line = (unit * ((i.astype(np.int64) - row) ** 2) + rank)[order] + unit * column * column
+    kept: list[int] = []
+    begins: list[int] = []
+    for k, (c, h) in enumerate(zip(column.tolist(), line.tolist(), strict=True)):
+        begin = None
+        while kept:
+            top = kept[-1]
+            begin = (h - int(line[top])) // (2 * unit * (c - int(column[top]))) + 1
+            if begin > begins[-1]:
+                break
+            kept.pop()
+            begins.pop()
+            begin = None
+        kept.append(k)
+        begins.append(int(gaps.min()) if begin is None else begin)
+    return order[np.array(kept)[np.searchsorted(begins, gaps, "right") - 1]]
+
+
+def nearest_in_row(row: str, i: str, j: str, gaps: str) -> Column:
+    """envelope() for every row of a grid: an array of structs i, j, one for each gap."""
+    kind = pa.struct([("i", pa.int32()), ("j", pa.int32())])
+
+    @F.arrow_udf("array<struct<i:int,j:int>>")
+    def run(rows: pa.Array, is_: pa.Array, js: pa.Array, gap_lists: pa.Array) -> pa.Array:
+        numbers = rows.to_numpy(zero_copy_only=False)
+        out_i, out_j, sizes = [], [], [0]
+        for k, row_ in enumerate(numbers):
+            a, b, g = (x[k].values.to_numpy() for x in (is_, js, gap_lists))
+            best = envelope(int(row_), a, b, g)
+            out_i.append(a[best])
+            out_j.append(b[best])
+            sizes.append(len(best))
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([[], *x]), pa.int32()) for x in (out_i, out_j)], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
+
+    return run(F.col(row), F.col(i).cast("array<int>"), F.col(j).cast("array<int>"), F.col(gaps).cast("array<int>"))
 
 
 def fill_nearest(cells: DataFrame, time: Sequence[str], value: str) -> DataFrame:
@@ -265,20 +310,32 @@ def fill_nearest(cells: DataFrame, time: Sequence[str], value: str) -> DataFrame
         value, F.coalesce(F.col(value), F.col("_fill"))).drop("_fill")
 
 
+def window_tiles(cells: DataFrame, group: Sequence[str], value: str, window: tuple[int, int, int], rounds: int, tile: int) -> DataFrame:
+    """What smoothing has to see: the cells of the window and the one cell wide rim around it that they read, laid over
+    tiles (_ti, _tj) with a rim as wide as there are rounds."""
+    row, col, half = window
+    near = F.col("lat_ix").between(row - half - 1, row + half) & F.col("lon_ix").between(col - half - 1, col + half)
+    first_i, last_i = F.floor((F.col("lat_ix") - rounds) / tile), F.floor((F.col("lat_ix") + rounds) / tile)
+    first_j, last_j = F.floor((F.col("lon_ix") - rounds) / tile), F.floor((F.col("lon_ix") + rounds) / tile)
+    laid = cells.filter(near).select(*group, "lat_ix", "lon_ix", F.col(value).cast("double").alias(value)).withColumn(
+        "_ti", F.explode(F.sequence(first_i, last_i))).withColumn("_tj", F.explode(F.sequence(first_j, last_j)))
+    # a tile without a cell of the window of its own has nothing to do
+    return laid.filter((F.col("_ti") >= (row - half) // tile) & (F.col("_ti") <= (row + half - 1) // tile)
+                       & (F.col("_tj") >= (col - half) // tile) & (F.col("_tj") <= (col + half - 1) // tile))
+
+
 def smooth_box(cells: DataFrame, group: Sequence[str], value: str, window: tuple[int, int, int], rounds: int = 15,
                tile: int = 64) -> DataFrame:
     """Rounds of 3 x 3 means, missing left out, for the cells of a square window (row, column, half width);
     the rest stays as it is. Every round reads the field of the round before.
 
-    The field is cut into tiles that carry a rim as wide as there are rounds, since a cell reaches one cell
-    further per round. So all rounds run inside a tile and the data is shuffled once.
+    Cells outside the window never change and never leave the JVM. The window is cut into tiles that carry a rim as wide as
+    there are rounds, since a cell reaches one cell further per round. So all rounds run inside a tile and the window's
+    cells are shuffled once.
     """
     row, col, half = window
     group = list(group)
-    first_i, last_i = F.floor((F.col("lat_ix") - rounds) / tile), F.floor((F.col("lat_ix") + rounds) / tile)
-    first_j, last_j = F.floor((F.col("lon_ix") - rounds) / tile), F.floor((F.col("lon_ix") + rounds) / tile)
-    laid = cells.select(*group, "lat_ix", "lon_ix", F.col(value).cast("double").alias(value)).withColumn(
-        "_ti", F.explode(F.sequence(first_i, last_i))).withColumn("_tj", F.explode(F.sequence(first_j, last_j)))
+    laid = window_tiles(cells, group, value, window, rounds, tile)
     out_schema = T.StructType([f for f in laid.schema.fields if f.name not in ("_ti", "_tj")])
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -302,11 +359,14 @@ def smooth_box(cells: DataFrame, group: Sequence[str], value: str, window: tuple
             mean = np.divide(total, count, out=np.full(field.shape, np.nan), where=count > 0)
             field = np.where(moves, mean, field)
         ti, tj = pdf["_ti"].iloc[0], pdf["_tj"].iloc[0]
-        own = (i // tile == ti) & (j // tile == tj)
+        own = (i // tile == ti) & (j // tile == tj) & moves[i - i0 + 1, j - j0 + 1]
         res = pdf.loc[own, [*group, "lat_ix", "lon_ix"]].copy()
         vals = field[i - i0 + 1, j - j0 + 1][own]
         res[value] = pd.Series(vals, index=res.index, dtype="float64")
         return res[[f.name for f in out_schema.fields]]
 
     smoothed = laid.groupBy(*group, "_ti", "_tj").applyInPandas(smooth, out_schema)
-    return smoothed.withColumn(value, F.when(~F.isnan(value), F.col(value)))
+    moves = F.col("lat_ix").between(row - half, row + half - 1) & F.col("lon_ix").between(col - half, col + half - 1)
+    still = cells.filter(~F.coalesce(moves, F.lit(False))).select(
+        *group, "lat_ix", "lon_ix", F.col(value).cast("double").alias(value))
+    return still.unionByName(smoothed).withColumn(value, F.when(~F.isnan(value), F.col(value)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from galeframe import constants as K
 from galeframe.functions import geo
 from galeframe.operators.grid import basin_bounds
-from galeframe.operators.scale import join_small
+from galeframe.operators.scale import join_small, saved
 
 
 def uniform(key: Column, stream: str) -> Column:
@@ -57,6 +57,46 @@ def seed_points(keys: DataFrame, key: str, basin: str = "basin") -> DataFrame:
     }).drop("_b")
 
 
+def accepted_points(keys: DataFrame, key: str, mask: Callable[[Column, Column], Column], basin: str = "basin",
+                    least: float = 1e-2, attempts: int = 32, rounds: int = 40) -> DataFrame:
+    """One point per key that the mask accepts (mask(lon, lat) at least so great), with the number of attempts. A rejected
+    point is drawn again from the key and the attempt's number: longitude over the box as before, latitude now uniform between the
+    box's own bounds, as the source method has it. All attempts run inside the row; keys still open after attempts draws go
+    on in a further pass, and after rounds passes without success it is an error."""
+    b = F.col("_b")
+
+    def drawn(k: Column) -> tuple[Column, Column]:
+        def u(stream: str) -> Column:
+            h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(stream), k.cast("string")))
+            return F.conv(F.substring(h, 1, 12), 16, 10).cast("double") / float(16**12)
+
+        return b["w"] + u("lon") * (b["e"] - b["w"]), b["s"] + u("lat") * (b["n"] - b["s"])
+
+    def good(lon: Column, lat: Column) -> Column:
+        return F.coalesce(mask(lon, lat).cast("double"), F.lit(0.0)) >= least
+
+    def state(lon: Column, lat: Column, n: Column) -> Column:
+        return F.struct(good(lon, lat).alias("ok"), lon.alias("lon"), lat.alias("lat"), n.alias("attempts"))
+
+    def again(acc: Column, k: Column) -> Column:
+        pair = F.struct(*[x.alias(n) for x, n in zip(drawn(k), ("lon", "lat"))])
+        tried = F.transform(F.array(pair), lambda e: state(e["lon"], e["lat"], k + 1))[0]
+        return F.when(acc["ok"], acc).otherwise(tried)
+
+    open_ = seed_points(keys, key, basin).withColumn("_b", basin_bounds(F.col(basin)))
+    open_ = open_.withColumn("_s", state(F.col("lon"), F.col("lat"), F.lit(1)))
+    done: DataFrame | None = None
+    for r in range(rounds):
+        tried = saved(open_.withColumn("_s", F.aggregate(
+            F.sequence(F.lit(r * attempts + 1), F.lit((r + 1) * attempts)), F.col("_s"), again)))
+        ready = tried.filter("_s.ok")
+        done = ready if done is None else done.unionAll(ready)
+        open_ = tried.filter("NOT _s.ok")
+        if open_.isEmpty():
+            return done.withColumns({c: F.col(f"_s.{c}") for c in ("lon", "lat", "attempts")}).drop("_s", "_b")
+    raise ValueError(f"a mask accepts none of {rounds * attempts} points")
+
+
 def eligible_seeds(seeds: DataFrame, masks: dict[str, Column], u: str, pi: str) -> DataFrame:
     """Adds genesis_basin (the basin with the greatest mask, the first code on a tie; NULL without a mask above
     1e-3), counted (past that basin's low-latitude draw) and passed (and PI above 35)."""
@@ -74,6 +114,6 @@ def eligible_seeds(seeds: DataFrame, masks: dict[str, Column], u: str, pi: str)
 
 
 def inside_mask(candidates: DataFrame, mask: Column, least: float = 1e-2) -> DataFrame:
-    """Candidate points whose basin mask is at least so great; the others are rejected. More candidates than are
-    needed go in, as a rejected one is not drawn again."""
+    """Candidate points whose basin mask is at least so great; the others are rejected (accepted_points draws them
+    again)."""
     return candidates.filter(F.coalesce(mask.cast("double"), F.lit(0.0)) >= least)

@@ -427,3 +427,38 @@ def _(spark, sf_dir):
     for b, mask in _masks().items():
         own = F.when(_c("basin") == b, mask).otherwise(own)
     return SM.inside_mask(_seed_env(spark, sf_dir), own).groupBy("basin").agg(F.count("*").alias("n"))
+
+
+def _again(stream):
+    return f"CAST(CONCAT('0x', SUBSTR(md5(CONCAT(CAST(event_id AS STRING), ':{stream}:', CAST(k AS STRING))), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE"
+
+
+_RIGHT = ("(CASE basin " + " ".join(f"WHEN '{b}' THEN {c}" for b, c in mask_sql(
+    "lon", "lat", "COALESCE(lands[CAST(FLOOR((lat + 90) / 10) * 36 + FLOOR(lon / 10) AS INT) + 1], false)").items()) + " ELSE false END)")
+
+
+@query("m3_accepted_points", ora("fx_points fx_grid", f"""
+SELECT event_id, basin, {R('lon', 'lon')}, {R('lat', 'lat')}, seed_month, CAST(k AS INT) AS attempts FROM tries WHERE ok""", _SEEDS + "," + _CELLS + f""",
+land AS (SELECT list(land ORDER BY lat_ix, lon_ix) AS lands FROM cl),
+tries AS (SELECT *, {_RIGHT} AS ok FROM (SELECT sd.event_id, sd.basin, w, s, e, n, lon, lat, seed_month, 1 AS k FROM sd JOIN bb USING (basin) WHERE basin <> 'AU'), land
+  UNION ALL SELECT t.*, {_RIGHT} AS ok FROM (SELECT event_id, basin, w, s, e, n, w + {_again('lon')} * (e - w) AS lon, s + {_again('lat')} * (n - s) AS lat, seed_month, k + 1 AS k, lands FROM tries WHERE NOT ok) t)""", recursive=True))
+def _(spark, sf_dir):
+    # the land mask, 18 rows of 36 cells, as text that every row can look into
+    rows = _cells(spark, sf_dir).select("lat_ix", "lon_ix", "land").orderBy("lat_ix", "lon_ix").collect()
+    lands = "".join("1" if r["land"] else "0" for r in rows)
+
+    def mask(lon, lat):
+        # looked up once a point
+        at = (F.floor((lat + 90) / 10) * 36 + F.floor(lon / 10)).cast("int")
+        land = F.coalesce(F.substring(F.lit(lands), at + 1, F.lit(1)) == "1", F.lit(False))
+        return F.transform(F.array(land), lambda land: own(lon, lat, land))[0]
+
+    def own(lon, lat, land):
+        out = F.lit(False)
+        for b in K.MASK_BOUNDS:
+            out = F.when(_c("basin") == b, geo.basin_mask(lon, lat, land, b)).otherwise(out)
+        return out
+
+    keys = _pts(spark, sf_dir).select("event_id", "basin").filter("basin <> 'AU'")  # all land here
+    seeds = SM.accepted_points(keys, "event_id", mask)
+    return rounded(seeds, "lon", "lat").select("event_id", "basin", "lon", "lat", "seed_month", "attempts")
