@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe import constants as K
-from galeframe.operators.scale import join_same, number_rows, previous_value
+from galeframe.operators.scale import join_same, join_small, number_rows, previous_value
 
 
 def _all_keys(draws: DataFrame, keys: Sequence[str], expected: DataFrame | None) -> DataFrame:
@@ -109,24 +109,32 @@ MAY_AGREE = ["basin", "year"]
 
 def draws_differ(points: DataFrame, keys: Sequence[str], track: str = "track", step: str = "step") -> DataFrame:
     """Each draw against the next present one: per variable, are all shared cells equal, how many
-    differ, and by how much. The pair (track, step, draw) meets its neighbour in one equi-join."""
+    differ, and by how much. The draws of a cell (track, step), at most an ensemble of them, stand in one window; the list of
+    present draws says which neighbour a row should have met, so a cell that one of the two lacks is told by the other."""
     keys = list(keys)
-    present = points.select(*keys, "draw").distinct()
-    following = previous_value(present.withColumn("_neg", -F.col("draw")), keys, F.floor(F.col("_neg") / 64), ["_neg"], "draw", "draw_b")
-    pairs = following.filter("draw_b IS NOT NULL").select(*keys, F.col("draw").alias("draw_a"), "draw_b")
+    group = keys or ["_all"]
+    rows = points if keys else points.withColumn("_all", F.lit(0))
     values = [*MUST_DIFFER, *MAY_AGREE]
-    a = points.select(*keys, F.col("draw").alias("draw_a"), track, step, *[F.col(v).alias(f"_a_{v}") for v in values], F.lit(True).alias("_in_a"))
-    b = points.select(*keys, F.col("draw").alias("draw_b"), track, step, *[F.col(v).alias(f"_b_{v}") for v in values], F.lit(True).alias("_in_b"))
-    left = a.join(pairs, [*keys, "draw_a"])
-    right = b.join(pairs, [*keys, "draw_b"])
-    both = left.join(right, [*keys, "draw_a", "draw_b", track, step], "full_outer")
+    present = rows.groupBy(*group).agg(F.array_sort(F.collect_set("draw")).alias("_draws"))
+    cell = Window.partitionBy(*group, track, step).orderBy("draw")
+    at = F.array_position("_draws", F.col("draw")).cast("int")
+    seen = join_small(rows.select(*group, "draw", track, step, *values), present, group).withColumns({
+        "_next": F.get("_draws", at), "_before": F.get("_draws", at - 2)}).drop("_draws").withColumns({
+            "_b": F.lead(F.struct("draw", *values)).over(cell), "_last": F.lag("draw").over(cell)})
+    met = F.col("_b.draw").eqNullSafe(F.col("_next"))
     rows = []
     for v in values:
-        x, y = F.col(f"_a_{v}"), F.col(f"_b_{v}")
-        same = x.eqNullSafe(y) & F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
-        gap = F.abs(x - y).cast("double") if v in MUST_DIFFER else F.lit(None).cast("double")
-        rows.append(F.struct(F.lit(v).alias("variable"), F.lit(v in MUST_DIFFER).alias("must_differ"), same.alias("same"), gap.alias("gap")))
-    long = both.select(*keys, "draw_a", "draw_b", F.inline(F.array(*rows)))
+        x, y = F.col(v), F.col(f"_b.{v}")
+        gap = F.when(met, F.abs(x - y)).cast("double") if v in MUST_DIFFER else F.lit(None).cast("double")
+        rows.append(F.struct(F.lit(v).alias("variable"), F.lit(v in MUST_DIFFER).alias("must_differ"), (met & x.eqNullSafe(y)).alias("same"), gap.alias("gap")))
+    # what the draw before lacks
+    lacks = [F.struct(F.lit(v).alias("variable"), F.lit(v in MUST_DIFFER).alias("must_differ"), F.lit(False).alias("same"),
+                      F.lit(None).cast("double").alias("gap")) for v in values]
+    pairs = F.array(
+        F.when(F.col("_next").isNotNull(), F.struct(F.col("draw").alias("draw_a"), F.col("_next").alias("draw_b"), F.array(*rows).alias("v"))),
+        F.when(F.col("_before").isNotNull() & ~F.col("_last").eqNullSafe(F.col("_before")),
+               F.struct(F.col("_before").alias("draw_a"), F.col("draw").alias("draw_b"), F.array(*lacks).alias("v"))))
+    long = seen.select(*keys, F.inline(F.filter(pairs, lambda p: p.isNotNull()))).select(*keys, "draw_a", "draw_b", F.inline("v"))
     return long.groupBy(*keys, "draw_a", "draw_b", "variable", "must_differ").agg(
         F.bool_and("same").alias("identical"), F.count_if(~F.col("same")).alias("n_differ"),
         F.max("gap").alias("max_gap"), F.avg("gap").alias("mean_gap"),
