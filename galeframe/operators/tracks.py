@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.functions import geo, intensity
-from galeframe.operators.scale import number_rows, with_halo
+from galeframe.operators.scale import join_same, number_rows, with_halo
 
 POINT_FIELDS = ["ts", "lon", "lat", "vmax_ms", "u250", "v250", "u850", "v850"]
 
@@ -39,6 +39,34 @@ def collect_tracks(points: DataFrame, keys: Sequence[str], fields: Sequence[str]
     return packed
 
 
+def array_summary(points: DataFrame, keys: Sequence[str], value: str, hit: str, category: str, step: str = "step",
+                  segment: int = 4096) -> DataFrame:
+    """Per track, in step order: unique_sorted (categories), any_hit, all_hit, first_hit and last_hit (0-based places), path (sum
+    of absolute differences of neighbours) and total (last running sum). A track is summed up segment by segment; what
+    the segments say is put together by their row counts and edge values, so no array and no window is longer than
+    a segment, or than the list of segments."""
+    keys = list(keys)
+    cut = points.withColumn("_segment", F.floor(F.col(step) / segment))
+    inside = Window.partitionBy(*keys, "_segment").orderBy(step)
+    rows = cut.withColumns({"_at": F.row_number().over(inside) - 1, "_gap": F.abs(F.col(value) - F.lag(value).over(inside))})
+    place = F.when(F.col(hit), F.col("_at"))
+    parts = rows.groupBy(*keys, "_segment").agg(
+        F.count("*").alias("_n"), F.bool_or(hit).alias("_any"), F.bool_and(hit).alias("_all"), F.min(place).alias("_first"),
+        F.max(place).alias("_last"), F.sum("_gap").alias("_path"), F.sum(value).alias("_sum"),
+        F.min_by(value, "_at").alias("_left"), F.max_by(value, "_at").alias("_right"), F.collect_set(category).alias("_cats"))
+    along = Window.partitionBy(*keys).orderBy("_segment")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumns({
+        "_offset": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_jump": F.abs(F.col("_left") - F.lag("_right").over(along))})
+    zero = F.lit(0.0)
+    whole = placed.groupBy(*keys).agg(
+        F.bool_or("_any").alias("any_hit"), F.bool_and("_all").alias("all_hit"),
+        F.min(F.col("_offset") + F.col("_first")).alias("first_hit"), F.max(F.col("_offset") + F.col("_last")).alias("last_hit"),
+        (F.coalesce(F.sum("_path"), zero) + F.coalesce(F.sum("_jump"), zero)).alias("path"), F.sum("_sum").alias("total"))
+    kinds = parts.select(*keys, F.explode_outer("_cats").alias("_cat")).groupBy(*keys).agg(F.array_sort(F.collect_set("_cat")).alias("unique_sorted"))
+    return join_same(whole, kinds, keys)
+
+
 def number_steps(points: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
     """0-based step inside a track by (ts, tie); buckets of one hour keep a hot track spread."""
     hour = F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)

@@ -130,6 +130,17 @@ def _(spark, sf_dir):
         "storm", "step", "name", "lon", "central_pressure", "category", "n_points")
 
 
+@query("s7_storm_directory", ora("fx_points", f"""
+SELECT storm, basin, draw, {_CAT} AS category, n_points, n_segments, first_step, last_step, CONCAT(basin, '_', draw, '_', year, '_', CASE WHEN storm < 10000 THEN LPAD(CAST(storm AS STRING), 4, '0') ELSE CAST(storm AS STRING) END) AS name
+FROM (SELECT storm, basin, draw, year, MAX(vmax_ms) AS peak, COUNT(*) AS n_points, COUNT(DISTINCT FLOOR(step / 4)) AS n_segments, MIN(step) AS first_step, MAX(step) AS last_step
+  FROM fx_points WHERE lat IS NOT NULL GROUP BY ALL)"""))
+def _(spark, sf_dir):
+    path = scratch_path(spark, "directory")
+    sinks.write_storms(T.add_tc_parameters(V.points(spark, sf_dir)), path, 4)
+    return sinks.read_storms(spark, path).select(
+        "storm", "basin", "draw", "category", "n_points", F.size("segments").cast("long").alias("n_segments"), "first_step", "last_step", "name")
+
+
 @query("s2_scan_track_arrays", ora("fx_points", "SELECT storm, step, lon, lat, vmax_ms FROM fx_points"))
 def _(spark, sf_dir):
     size = 32

@@ -433,13 +433,31 @@ SELECT storm, array_to_string(list_sort(list_distinct(cats)), ',') AS unique_sor
 FROM (SELECT storm, list(lon ORDER BY step) AS lons, list(COALESCE(vmax_ms >= 33, false) ORDER BY step) AS hits, list(CAST(FLOOR(lon / 90) AS INT) ORDER BY step) AS cats
       FROM fx_points GROUP BY storm)"""))
 def _(spark, sf_dir):
-    pts = V.points(spark, sf_dir).select(
+    # segments of eight steps, so that every storm has several
+    rows = T.array_summary(_marked_points(spark, sf_dir), ["storm"], "lon", "hit", "cat", segment=8)
+    return rows.select(
+        "storm", F.array_join(F.transform("unique_sorted", lambda x: x.cast("string")), ",").alias("unique_sorted"), "any_hit", "all_hit",
+        _c("first_hit").cast("int").alias("first_hit"), _c("last_hit").cast("int").alias("last_hit"),
+        rnd("path").alias("path"), rnd("total").alias("last_cumsum"))
+
+
+def _marked_points(spark, sf_dir):
+    return V.points(spark, sf_dir).select(
         "storm", "step", "lon", F.coalesce(_c("vmax_ms") >= 33, F.lit(False)).alias("hit"), F.floor(_c("lon") / 90).cast("int").alias("cat"))
-    rows = T.collect_tracks(pts, ["storm"], ["lon", "hit", "cat"], segment=1 << 20).select(
-        "storm", _c("points.lon").alias("lons"), _c("points.hit").alias("hits"), _c("points.cat").alias("cats"))
+
+
+@query("d10_short_arrays", ora("fx_points", f"""
+SELECT storm, segment, array_to_string(list_sort(list_distinct(cats)), ',') AS unique_sorted,
+  CAST(CASE WHEN list_position(hits, true) > 0 THEN list_position(hits, true) - 1 END AS INT) AS first_hit,
+  CAST(CASE WHEN list_position(list_reverse(hits), true) > 0 THEN len(hits) - list_position(list_reverse(hits), true) END AS INT) AS last_hit,
+  {R('COALESCE(list_sum(list_transform(range(1, len(lons)), lambda i: ABS(lons[i + 1] - lons[i]))), 0)', 'path')}, {R('list_sum(lons)', 'last_cumsum')}
+FROM (SELECT storm, CAST(FLOOR(step / 16) AS INT) AS segment, list(lon ORDER BY step) AS lons, list(COALESCE(vmax_ms >= 33, false) ORDER BY step) AS hits, list(CAST(FLOOR(lon / 90) AS INT) ORDER BY step) AS cats
+      FROM fx_points GROUP BY ALL)"""))
+def _(spark, sf_dir):
+    rows = T.collect_tracks(_marked_points(spark, sf_dir), ["storm"], ["lon", "hit", "cat"], segment=16).select(
+        "storm", "segment", _c("points.lon").alias("lons"), _c("points.hit").alias("hits"), _c("points.cat").alias("cats"))
     return rows.select(
-        "storm", F.array_join(F.transform(text.sorted_unique(_c("cats")), lambda x: x.cast("string")), ",").alias("unique_sorted"),
-        F.exists("hits", lambda h: h).alias("any_hit"), F.forall("hits", lambda h: h).alias("all_hit"),
+        "storm", "segment", F.array_join(F.transform(text.sorted_unique(_c("cats")), lambda x: x.cast("string")), ",").alias("unique_sorted"),
         text.first_true(_c("hits")).cast("int").alias("first_hit"), text.last_true(_c("hits")).cast("int").alias("last_hit"),
         rnd(F.aggregate(text.diffs(_c("lons")), F.lit(0.0), lambda s, d: s + F.abs(d))).alias("path"),
         rnd(F.element_at(text.running_sum(_c("lons")), -1)).alias("last_cumsum"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galeframe import constants as K
+from galeframe.operators.scale import join_same
 from galeframe.operators.tracks import collect_tracks
 
 # fixed key levels of each kind of data
@@ -50,28 +51,50 @@ STORM_FIELDS = ["ts", "lon", "lat", "vmax_ms", "central_pressure", "environmenta
 STORM_KEYS = ["model", "scenario", "basin", "draw", "year", "storm"]
 
 
-def storm_records(points: DataFrame, segment: int = 4096) -> DataFrame:
-    """Nested record per storm: ordered valid points with name, category and step hours. Storms longer than a
-    segment continue in further rows with the same name."""
-    from galeframe.functions import geo, intensity, text
+def _stored(points: DataFrame) -> DataFrame:
+    from galeframe.functions import geo
 
-    ok = points.filter("lon IS NOT NULL AND lat IS NOT NULL").withColumns({
+    return points.filter("lon IS NOT NULL AND lat IS NOT NULL").withColumns({
         "lon": geo.normalize_lon(F.col("lon")), "lat": geo.clip(F.col("lat"), -90, 90)})
-    peaks = ok.groupBy("storm").agg(intensity.storm_category(F.max("vmax_ms")).alias("category"), F.count("*").alias("n_points"))
-    packed = collect_tracks(ok, STORM_KEYS, STORM_FIELDS, segment=segment)
-    return packed.join(peaks, "storm").withColumn(
+
+
+def storm_directory(points: DataFrame, segment: int = 4096) -> DataFrame:
+    """One record per storm of any length: name, category, number of valid points, first and last step, and its segments in order,
+    each with its steps and number of points. The points stand in storm_segments."""
+    from galeframe.functions import intensity, text
+
+    parts = _stored(points).withColumn("segment", F.floor(F.col("step") / segment).cast("int")).groupBy(*STORM_KEYS, "segment").agg(
+        F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.count("*").alias("n"), F.max("vmax_ms").alias("_peak"))
+    return parts.groupBy(*STORM_KEYS).agg(
+        intensity.storm_category(F.max("_peak")).alias("category"), F.sum("n").alias("n_points"),
+        F.min("first_step").alias("first_step"), F.max("last_step").alias("last_step"),
+        F.array_sort(F.collect_list(F.struct("segment", "first_step", "last_step", "n"))).alias("segments")).withColumn(
         "name", text.storm_name(F.col("basin"), F.col("draw"), F.col("year"), F.col("storm")))
 
 
+def storm_segments(points: DataFrame, segment: int = 4096) -> DataFrame:
+    """The ordered valid points of every storm in pieces of at most segment steps."""
+    return collect_tracks(_stored(points), STORM_KEYS, STORM_FIELDS, segment=segment)
+
+
 def write_storms(points: DataFrame, path: str, segment: int = 4096) -> None:
-    """Storm records per basin and draw; an older output of the same basin and draw is replaced."""
-    _partitioned(storm_records(points, segment), path, ["basin", "draw"])
+    """Storms per basin and draw: the segments, then the directory that points at them. An older output of the same
+    basin and draw is replaced."""
+    _partitioned(storm_segments(points, segment), f"{path}/segments", ["basin", "draw"])
+    _partitioned(storm_directory(points, segment), f"{path}/directory", ["basin", "draw"])
+
+
+def read_storms(spark: SparkSession, path: str) -> DataFrame:
+    """One record per storm."""
+    return spark.read.parquet(f"{path}/directory").withColumn("draw", F.col("draw").cast("int"))
 
 
 def read_storm_points(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    keep = [c for c in rows.columns if c != "points"]
-    return rows.select(*keep, F.explode("points").alias("_p")).select(*keep, "_p.*").withColumn("draw", F.col("draw").cast("int"))
+    """The points of all storms with what the directory says of their storm."""
+    rows = spark.read.parquet(f"{path}/segments").withColumn("draw", F.col("draw").cast("int")).select(
+        *STORM_KEYS, "segment", F.inline("points"))
+    told = read_storms(spark, path).select(*STORM_KEYS, "category", "n_points", "name")
+    return join_same(rows, told, STORM_KEYS)
 
 
 def write_exposure(exposure: DataFrame, path: str) -> None:

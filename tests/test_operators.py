@@ -61,10 +61,10 @@ def test_names(spark):
     assert one(spark, text.draw_suffix(F.lit(1))) == "_e0"
     assert one(spark, text.draw_of(F.lit("tracks_NA_x_e248.nc"))) == 249
     assert one(spark, intensity.predict_memory_gib(F.lit(5))) == 8
-    task = F.lit("run_data_source-cmip6_model-EC-Earth3_variant-r1i1p1f1_scenario-ssp585_time_period-2091-2100_basin-NI_draw_start-140_draw_end-149")
+    task = F.lit("run_data_source-cmip6_model-Made-Up9_variant-r7i2p1f3_scenario-ssp126_time_period-2011-2014_basin-SP_draw_start-20_draw_end-31")
     parsed = {k: one(spark, c) for k, c in text.parse_task(task).items()}
-    assert parsed == {"data_source": "cmip6", "model": "EC-Earth3", "variant": "r1i1p1f1", "scenario": "ssp585",
-                      "time_period": "2091-2100", "basin": "NI", "draw_start": 140, "draw_end": 149}
+    assert parsed == {"data_source": "cmip6", "model": "Made-Up9", "variant": "r7i2p1f3", "scenario": "ssp126",
+                      "time_period": "2011-2014", "basin": "SP", "draw_start": 20, "draw_end": 31}
 
 
 def test_parse_coord_refuses_text(spark):
@@ -203,18 +203,16 @@ def test_spearman_like_pandas(spark, hot):
         assert got[key] == pytest.approx(part["v"].rank().corr(part["y"].rank()), abs=1e-9)
 
 
-@pytest.mark.parametrize("small", [40000, 100])
-def test_exact_quantiles(hot, monkeypatch, small):
-    # with the lower limit, groups go through the sketch brackets
-    monkeypatch.setattr(SC, "SMALL_GROUP", small)
-    monkeypatch.setattr(SC, "SKETCH", 2000)
+@pytest.mark.parametrize(("leaf", "parts"), [(40000, 255), (100, 31)])
+def test_exact_quantiles(hot, leaf, parts):
+    # with the smaller leaf, groups go through rounds of histograms
     pdf, df = hot
     probs = {"a": 0.0, "q": 0.25, "m": 0.5, "z": 0.99, "b": 1.0}
     hot_only, frame = df.filter("key = 0"), pdf[pdf.key == 0]
-    got = SC.exact_quantiles(hot_only, ["key"], "v", probs).first()
+    got = SC.exact_quantiles(hot_only, ["key"], "v", probs, leaf, parts).first()
     for name, p in probs.items():
         assert got[name] == pytest.approx(frame["v"].quantile(p))
-    total = SC.exact_quantiles(df, [], "v", probs).first()
+    total = SC.exact_quantiles(df, [], "v", probs, leaf, parts).first()
     assert total["m"] == pytest.approx(pdf["v"].quantile(0.5))
 
 
