@@ -80,7 +80,7 @@ def with_halo(df: DataFrame, keys: Sequence[str], position: str, size: int = 409
 
 
 #: values of an interval that is looked into whole
-LEAF = 4096
+LEAF = 1 << 16
 #: edges of a histogram, one less than a power of two
 EDGES = 255
 #: of the sketch that the edges come from: ranks are right to one in so many
@@ -117,10 +117,10 @@ def _leaves(rows: DataFrame, keys: Sequence[str], ranks: Column | None, leaf: in
     every = [F.count("*").alias("_rows"), F.sum("_n").alias("_copies"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
     intervals = rows.groupBy(*ids).agg(*every).withColumns({
         "_before": F.lit(0).cast("long"), **({} if ranks is None else {"_ranks": ranks, "_total": F.col("_copies")})})
+    intervals = saved(intervals)
     told = ["_before"] if ranks is None else ["_before", "_ranks", "_total"]
     done: DataFrame | None = None
     while True:
-        intervals = saved(intervals)
         small = (F.col("_rows") <= leaf) | (F.col("_lo") == F.col("_hi"))
         ended = join_small(rows, intervals.filter(small).select(*ids, *told), ids).select(*ids, *told, "_v", "_n")
         done = ended if done is None else done.unionAll(ended)

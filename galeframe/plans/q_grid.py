@@ -307,13 +307,13 @@ def _(spark, sf_dir):
 
 
 @query("j13_attach_environment", ora("fx_fields", f"""
-SELECT o_orderkey, {R('sst', 'sst')}, {R('CASE WHEN land = 1 THEN 0 ELSE pi END', 'pi')}, {R('q', 'q_mid')}, land = 1 AS over_land FROM (
+SELECT o_orderkey, {R('sst', 'sst')}, {R('CASE WHEN land = 1 THEN 0 ELSE pi END', 'pi')}, {R('q', 'q_mid', 8)}, land = 1 AS over_land FROM (
   SELECT o_orderkey, {_st('sst0', 'sst1')} AS sst, {_st('pi0', 'pi1')} AS pi, {_st('q0', 'q1')} AS q, {_st('land0', 'land1')} AS land FROM cv GROUP BY o_orderkey)""", _SHIPS))
 def _(spark, sf_dir):
     cells = V.fields(spark, sf_dir).withColumns({
         "pi": (_c("sst") - 290) * 8, "land": F.when((_c("lat_ix") + _c("lon_ix")) % 4 < 2, 1.0).otherwise(0.0)})
     out = G.attach_environment(_ships(spark, sf_dir), cells, GRID10, ["sst", "pi", "q_mid", "land"], "pi", "land")
-    return out.select("o_orderkey", rnd("sst").alias("sst"), rnd("pi").alias("pi"), rnd("q_mid").alias("q_mid"), "over_land")
+    return out.select("o_orderkey", rnd("sst").alias("sst"), rnd("pi").alias("pi"), rnd("q_mid", 8).alias("q_mid"), "over_land")
 
 
 @query("g3_regrid_bilinear", ora("fx_grid", f"""

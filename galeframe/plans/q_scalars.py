@@ -274,12 +274,14 @@ _ROW = ["lat_ix", "lon_ix", "year", "month"]
 _R_MID = "(q_mid / (1 - q_mid))"
 
 
-def _thermo(name: str, sqls: dict[str, str], build, digits: int = 4):
-    sql = ora("fx_fields", f"SELECT {_KEYS}, " + ", ".join(R(e, n, digits) for n, e in sqls.items()) + " FROM fx_fields")
+def _thermo(name: str, sqls: dict[str, str], build, digits: int = 4, small: tuple[str, ...] = ()):
+    """small names columns of small numbers, compared at eight digits."""
+    places = {n: 8 if n in small else digits for n in sqls}
+    sql = ora("fx_fields", f"SELECT {_KEYS}, " + ", ".join(R(e, n, places[n]) for n, e in sqls.items()) + " FROM fx_fields")
 
     @query(name, sql)
     def _(spark, sf_dir):
-        return V.fields(spark, sf_dir).select(*_ROW, *[rnd(c, digits).alias(n) for n, c in build().items()])
+        return V.fields(spark, sf_dir).select(*_ROW, *[rnd(c, places[n]).alias(n) for n, c in build().items()])
 
 
 def _r_mid():
@@ -290,7 +292,7 @@ _P_MID = 60000.0
 _thermo("p22_saturation_vapour", {
     "es": es_sql("sst"), "rs": rs_sql("sst", "psl"), "es_triple": "611.65 * EXP(2.5e6 / 461.5 * (1.0 / 273.16 - 1.0 / sst))"},
     lambda: {"es": thermo.sat_pressure(_c("sst")), "rs": thermo.sat_mixing_ratio(_c("sst"), _c("psl")),
-             "es_triple": thermo.sat_pressure_triple(_c("sst"))})
+             "es_triple": thermo.sat_pressure_triple(_c("sst"))}, small=("rs",))
 _RH = f"GREATEST(1e-5, LEAST(1.0, q_mid / ({rs_sql('t_mid', '60000')} / (1 + {rs_sql('t_mid', '60000')}))))"
 _thermo("p23_relative_humidity", {"rh": _RH}, lambda: {"rh": thermo.relative_humidity(_c("t_mid"), _c("q_mid"), F.lit(_P_MID))})
 
