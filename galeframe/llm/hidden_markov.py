@@ -4,9 +4,10 @@ Words with at least a 1/OWN_CLASSES share of the training tokens are symbols of
 symbol by their spelling (first byte, last two bytes). A latent state chain emits symbols, and a spelling
 symbol emits one of its words by the words' counts, half a count added to each and to one unknown word, so
 the score is a log-probability over all texts. Baum-Welch runs over all training texts: partitions compute
-expected counts by scaled forward and backward recursions, Spark adds them up. WARM_ROUNDS before, on about a
-WARM share of the blocks, only give the start. The score of a text is its exact likelihood by the scaled
-forward recursion over all its tokens; in training, texts are cut into chains of CHAIN tokens.
+expected counts by scaled forward and backward recursions, Spark adds them up, ROUNDS times at every size. The
+score of a text is its exact likelihood by the scaled forward recursion over all its tokens; in training, texts are cut into
+chains of CHAIN tokens, each with the last CONTEXT tokens of the one before, which lead its states in but are not
+counted again. So every token and every transition counts once, and only texts' own beginnings count as starts.
 
 Layout: a block holds about BLOCK_BYTES of text: the distinct words, their counts in training texts, and the
 tokens as numbers into these words. Word counts are added up over blocks and joined back to the blocks; no
@@ -37,9 +38,8 @@ OWN_CLASSES = 1 << 14
 SPELLINGS = 1 << 11
 BLOCK_BYTES = 20 << 20
 CHAIN = 256
-ROUNDS = 2
-WARM_ROUNDS = 8
-WARM = 16            # one block in so many
+CONTEXT = 16         # tokens before a chain that its states are led in by
+ROUNDS = 6
 LOCKSTEP = 400_000   # training tokens worked on together
 END_WORD = np.uint64(0x0123456789ABCDEF)  # stands for the end token; words hash elsewhere but for one in 2^64
 
@@ -203,9 +203,9 @@ class Chain:
         result[order] = out
         return result
 
-    def expect(self, symbols: np.ndarray, first: np.ndarray, n: np.ndarray, counts: np.ndarray, moves: np.ndarray,
-               starts: np.ndarray) -> None:
-        """Adds the expected counts of chains of at most CHAIN tokens, sorted by falling length."""
+    def expect(self, symbols: np.ndarray, first: np.ndarray, n: np.ndarray, context: np.ndarray, counts: np.ndarray,
+               moves: np.ndarray, starts: np.ndarray) -> None:
+        """Adds the expected counts of chains, sorted by falling length; the first context tokens of a chain are not its own."""
         longest = int(n[0])
         lives = np.searchsorted(-n, -np.arange(1, longest + 1), "right")
         states, emitted, scales = [], [], []
@@ -221,10 +221,11 @@ class Chain:
         for t in range(longest - 1, -1, -1):
             if t < longest - 1:
                 after = emitted[t + 1] * beta / scales[t + 1]
-                moves += (states[t][:lives[t + 1]].T @ after) * self.move
+                entered = (context[:lives[t + 1]] <= t + 1)[:, None]
+                moves += ((states[t][:lives[t + 1]] * entered).T @ after) * self.move
                 beta = np.ones((lives[t], STATES))
                 beta[:lives[t + 1]] = after @ self.move.T
-            gammas.append(states[t] * beta)
+            gammas.append(states[t] * beta * (context[:lives[t]] <= t)[:, None])
             order.append(symbols[first[:lives[t]] + t])
         starts += gammas[-1].sum(0)
         gamma, symbol = np.concatenate(gammas), np.concatenate(order)
@@ -232,16 +233,17 @@ class Chain:
             counts[:, k] += np.bincount(symbol, weights=gamma[:, k], minlength=len(counts))
 
 
-def _chains(symbols: np.ndarray, lengths: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First token and length of the chains of training texts, longest first."""
+def _chains(lengths: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token, length and number of context tokens of the chains of training texts, longest first."""
     first = (np.cumsum(lengths) - lengths)[~held]
     length = lengths[~held]
     pieces = -(-length // CHAIN)
     nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = np.repeat(first, pieces) + nth * CHAIN
-    size = np.minimum(CHAIN, np.repeat(length, pieces) - nth * CHAIN)
+    context = np.where(nth > 0, CONTEXT, 0)
+    start = np.repeat(first, pieces) + nth * CHAIN - context
+    size = np.minimum(CHAIN, np.repeat(length, pieces) - nth * CHAIN) + context
     order = np.argsort(-size, kind="stable")
-    return start[order], size[order]
+    return start[order], size[order], context[order]
 
 
 def expected(coded: DataFrame, chain: Chain) -> Chain | None:
@@ -255,13 +257,13 @@ def expected(coded: DataFrame, chain: Chain) -> Chain | None:
         for batch in batches:
             for r in range(batch.num_rows):
                 symbols = _unpack(batch.column("symbols")[r].as_py(), np.uint16)
-                first, n = _chains(symbols, batch.column("lengths")[r].values.to_numpy().astype(np.int64),
-                                   batch.column("held")[r].values.to_numpy(zero_copy_only=False))
+                first, n, context = _chains(batch.column("lengths")[r].values.to_numpy().astype(np.int64),
+                                            batch.column("held")[r].values.to_numpy(zero_copy_only=False))
                 upto, begin = np.cumsum(n), 0
                 while begin < len(n):
                     base = upto[begin - 1] if begin else 0
                     end = max(begin + 1, int(np.searchsorted(upto, base + LOCKSTEP, "right")))
-                    own.expect(symbols, first[begin:end], n[begin:end], counts, moves, starts)
+                    own.expect(symbols, first[begin:end], n[begin:end], context[begin:end], counts, moves, starts)
                     begin = end
         used = np.flatnonzero(counts.any(axis=1))
         # rows of symbols, then those of states (-1 and below), then the start
@@ -283,17 +285,14 @@ def expected(coded: DataFrame, chain: Chain) -> Chain | None:
     return Chain.from_counts(table[number == -1 - STATES][0], move, emit)
 
 
-def train(coded: DataFrame, size: int, rounds: int = ROUNDS, warm_rounds: int = WARM_ROUNDS) -> Chain:
+def train(coded: DataFrame, size: int, rounds: int = ROUNDS) -> Chain:
     chain = Chain.random(size)
-    some = coded.filter(F.pmod(F.xxhash64("block"), F.lit(WARM)) == 0)
-    if some.isEmpty():
-        some = coded
-    for k in range(warm_rounds + rounds):
-        chain = expected(some if k < warm_rounds else coded, chain) or chain
+    for _ in range(rounds):
+        chain = expected(coded, chain) or chain
     return chain
 
 
-def score(docs: DataFrame, held_out: int = 1, rounds: int = ROUNDS, warm_rounds: int = WARM_ROUNDS) -> DataFrame:
+def score(docs: DataFrame, held_out: int = 1, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score for every row."""
     spark = docs.sparkSession
     held = F.coalesce(fold("doc_id") == held_out, F.lit(False))
@@ -324,7 +323,7 @@ def score(docs: DataFrame, held_out: int = 1, rounds: int = ROUNDS, warm_rounds:
     told.groupBy("block").cogroup(again.select("block", "ids", "held", "lengths", "tokens", "words", "spelling").groupBy(
         "block")).applyInArrow(_coder(shared), CODED).write.option("compression", "zstd").parquet(path)
     coded = spark.read.parquet(path)
-    chain = spark.sparkContext.broadcast(train(coded, symbols.size, rounds, warm_rounds))
+    chain = spark.sparkContext.broadcast(train(coded, symbols.size, rounds))
     per_token = float(np.log10(n + 0.5 * (v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from galeframe.llm import (
     stratified_index,
     token_counts,
 )
-from galeframe.session import scratch_path
+from galeframe.llm.scratch import Scratch
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
@@ -113,9 +113,9 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = id_files.write_ids(
-        table(spark, sf_dir, "documents"), scratch_path(spark, "ids"), tokenizer_path(BYTE_MODEL), END_ID)
-    return id_files.checksums(files)
+    with Scratch(spark) as tables:  # the files go, what was read back from them stays
+        files = id_files.write_ids(table(spark, sf_dir, "documents"), tables.place(), tokenizer_path(BYTE_MODEL), END_ID)
+        return tables.written(id_files.checksums(files), stays=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

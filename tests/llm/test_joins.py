@@ -214,3 +214,19 @@ def test_vectors_against_brute_force(spark):
 def test_op7_against_brute_force(spark, sf_dir):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op7_near_vectors"](spark, sf_dir).collect())) == brute_vectors(rows)
+
+
+def test_forest_that_splits_finds_all_links(spark):
+    """The query's own parameters on one label of 3,000 vectors, which its trees split several times."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(1500, 64))
+    near = base + rng.normal(size=base.shape) * rng.uniform(0.05, 0.19, (1500, 1))
+    rows = np.concatenate([base, near]).astype(np.float32)
+    unit = rows.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.98
+    np.fill_diagonal(links, False)
+    table = spark.createDataFrame([(k, [float(x) for x in v], 1) for k, v in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in projection_forest.near_vectors(table).collect()}
+    found = sum(got.values())
+    assert links.sum() > 1500 and all(got[k] <= n for k, n in enumerate(links.sum(1))) and found >= 0.99 * links.sum()
