@@ -115,12 +115,12 @@ def draws_differ(points: DataFrame, keys: Sequence[str], track: str = "track", s
     group = keys or ["_all"]
     rows = points if keys else points.withColumn("_all", F.lit(0))
     values = [*MUST_DIFFER, *MAY_AGREE]
-    present = rows.groupBy(*group).agg(F.array_sort(F.collect_set("draw")).alias("_draws"))
-    cell = Window.partitionBy(*group, track, step).orderBy("draw")
-    at = F.array_position("_draws", F.col("draw")).cast("int")
-    seen = join_small(rows.select(*group, "draw", track, step, *values), present, group).withColumns({
-        "_next": F.get("_draws", at), "_before": F.get("_draws", at - 2)}).drop("_draws").withColumns({
-            "_b": F.lead(F.struct("draw", *values)).over(cell), "_last": F.lag("draw").over(cell)})
+    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_set("draw")).alias("_draws"))
+    present = listed.select(*keys, F.inline(F.transform("_draws", lambda d, i: F.struct(
+        d.alias("draw"), F.get("_draws", i - 1).alias("_before"), F.get("_draws", i + 1).alias("_next")))))
+    cell = Window.partitionBy(*keys, track, step).orderBy("draw")
+    seen = join_small(points.select(*keys, "draw", track, step, *values), present, [*keys, "draw"]).withColumns({
+        "_b": F.lead(F.struct("draw", *values)).over(cell), "_last": F.lag("draw").over(cell)})
     met = F.col("_b.draw").eqNullSafe(F.col("_next"))
     rows = []
     for v in values:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,60 +228,59 @@ def nearest_sources(cells: DataFrame, group: Sequence[str], value: str) -> DataF
     row = F.when(F.col("_a").isNotNull() & take_above, F.col("_a")).otherwise(F.col("_b"))
     cols = cols.withColumn("_row", row)
     rows = cols.groupBy(*group, "lat_ix").agg(
-        F.collect_list(F.when(F.col("_row").isNotNull(), F.col("lon_ix"))).alias("_j"),
-        F.collect_list(F.when(F.col("_row").isNotNull(), F.col("_row"))).alias("_i"),
-        F.collect_list(F.when(F.col("_gap"), F.col("lon_ix"))).alias("_gaps"))
-    rows = rows.filter((F.size("_j") > 0) & (F.size("_gaps") > 0))
-    near = rows.select(*group, "lat_ix", F.inline(F.arrays_zip("_gaps", nearest_in_row("lat_ix", "_i", "_j", "_gaps").alias("_best"))))
-    return near.select(*group, "lat_ix", F.col("_gaps").alias("lon_ix"), F.col("_best.i").alias("_si"), F.col("_best.j").alias("_sj"))
-
-
-def envelope(row: int, i: np.ndarray, j: np.ndarray, gaps: np.ndarray) -> np.ndarray:
-    """Which source (i, j) is nearest to each gap of a row, ties to the smaller (i, j). The sources' squared
-    distances along the row are parabolas; their lower envelope comes from one pass over the sources by column, in
-    whole numbers. A source's rank by (i, j), below one unit of distance, makes all values differ, so ties fall the right way."""
-    order = np.argsort(j, kind="stable")
-    unit = len(order) + 1
-    rank = np.empty(len(order), np.int64)
-    rank[np.lexsort((j, i))] = np.arange(len(order))
-    # unit (q - j)^2 + height is unit q^2 plus a line of q; the lines meet where line and slope say
-    column = j[order].astype(np.int64)
-    line = (unit * ((i.astype(np.int64) - row) ** 2) + rank)[order] + unit * column * column
-    kept: list[int] = []
-    begins: list[int] = []
-    for k, (c, h) in enumerate(zip(column.tolist(), line.tolist(), strict=True)):
-        begin = None
-        while kept:
-            top = kept[-1]
-            begin = (h - int(line[top])) // (2 * unit * (c - int(column[top]))) + 1
-            if begin > begins[-1]:
-                break
-            kept.pop()
-            begins.pop()
-            begin = None
-        kept.append(k)
-        begins.append(int(gaps.min()) if begin is None else begin)
-    return order[np.array(kept)[np.searchsorted(begins, gaps, "right") - 1]]
-
-
-def nearest_in_row(row: str, i: str, j: str, gaps: str) -> Column:
-    """envelope() for every row of a grid: an array of structs i, j, one for each gap."""
-    kind = pa.struct([("i", pa.int32()), ("j", pa.int32())])
-
-    @F.arrow_udf("array<struct<i:int,j:int>>")
-    def run(rows: pa.Array, is_: pa.Array, js: pa.Array, gap_lists: pa.Array) -> pa.Array:
-        numbers = rows.to_numpy(zero_copy_only=False)
-        out_i, out_j, sizes = [], [], [0]
-        for k, row_ in enumerate(numbers):
-            a, b, g = (x[k].values.to_numpy() for x in (is_, js, gap_lists))
-            best = envelope(int(row_), a, b, g)
-            out_i.append(a[best])
-            out_j.append(b[best])
-            sizes.append(len(best))
-        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([[], *x]), pa.int32()) for x in (out_i, out_j)], fields=list(kind))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
-
-    return run(F.col(row), F.col(i).cast("array<int>"), F.col(j).cast("array<int>"), F.col(gaps).cast("array<int>"))
+        F.array_sort(F.collect_list(F.when(F.col("_row").isNotNull(), F.struct(
+            F.col("lon_ix").cast("int").alias("j"), F.col("_row").cast("int").alias("i"))))).alias("_near"),
+        F.collect_list(F.when(F.col("_gap"), F.col("lon_ix"))).alias("_gaps"),
+        F.min("lon_ix").cast("int").alias("_first"), F.max("lon_ix").cast("int").alias("_end"))
+    rows = rows.filter((F.size("_near") > 0) & (F.size("_gaps") > 0))
+    owned = with_envelope(rows, "lat_ix", "_near", "_first", "_end").select(*group, "lat_ix", "_first", "_owner", F.explode("_gaps").alias("lon_ix"))
+    best = F.get("_owner", (F.col("lon_ix") - F.col("_first")).cast("int"))
+    return owned.select(*group, "lat_ix", "lon_ix", best["i"].alias("_si"), best["j"].alias("_sj"))
+
+
+def with_envelope(rows: DataFrame, row: str, near: str, first: str, end: str) -> DataFrame:
+    """Adds _owner, which source (j, i) of near is nearest to each column first..end of a row, ties to the smaller (i, j).
+
+    The sources' squared distances along the row are parabolas; their lower envelope comes from one walk over the sources by
+    column, which takes a source in or drops the last one, so two steps a source at most. All in whole numbers: the unit of
+    distance is larger than any rank by (i, j), which is added to it, so no two values are equal and ties fall the
+    right way. The pieces of the envelope are then laid out one after the other."""
+    c = F.col
+    i_min, i_max = (f(F.transform(near, lambda e: e["i"])) for f in (F.array_min, F.array_max))
+    out = rows.withColumn("_unit", ((i_max - i_min + 1) * (c(end) - c(first) + 1)).cast("long")).withColumn("_i0", i_min)
+    # unit (q - j)^2 + height is unit q^2 plus a line of q
+    line = F.transform(near, lambda e: c("_unit") * ((e["i"] - c(row)) * (e["i"] - c(row)) + e["j"] * e["j"])
+                       + (e["i"] - c("_i0")) * (c(end) - c(first) + 1) + (e["j"] - c(first)))
+    out = out.withColumn("_line", line.cast("array<bigint>"))
+    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("kept"), F.array().cast("array<bigint>").alias("begins"))
+
+    def takes_over(top: Column, k: Column) -> Column:
+        """The first column at which source k is nearer than the source before it."""
+        rise = F.get("_line", k) - F.get("_line", top)
+        slope = 2 * c("_unit") * (F.get(near, k)["j"] - F.get(near, top)["j"])
+        return ((rise - F.pmod(rise, slope)) / slope).cast("long") + 1
+
+    def walk(acc: Column, _n: Column) -> Column:
+        k, last = acc["k"], F.size(acc["kept"])
+        begin = takes_over(F.get(acc["kept"], last - 1), k)
+
+        def state(k: Column, kept: Column, begins: Column) -> Column:
+            return F.struct(k.alias("k"), kept.alias("kept"), begins.alias("begins"))
+
+        return (F.when(k >= F.size(near), acc)
+                .when((last > 0) & (begin <= F.get(acc["begins"], last - 1)),
+                      state(k, F.slice(acc["kept"], F.lit(1), last - 1), F.slice(acc["begins"], F.lit(1), last - 1)))
+                .otherwise(state(k + 1, F.concat(acc["kept"], F.array(k)), F.concat(acc["begins"], F.array(
+                    F.when(last > 0, begin).otherwise(c(first).cast("long")))))))
+
+    out = out.withColumn("_e", F.aggregate(F.sequence(F.lit(1), 2 * F.size(near)), start, walk))
+
+    def piece(k: Column, t: Column) -> Column:
+        left = F.greatest(F.get("_e.begins", t), c(first).cast("long"))
+        right = F.least(F.coalesce(F.get("_e.begins", t + 1), c(end) + F.lit(1).cast("long")), c(end) + F.lit(1).cast("long"))
+        return F.array_repeat(F.get(near, k), F.greatest(right - left, F.lit(0)).cast("int"))
+
+    return out.withColumn("_owner", F.flatten(F.transform("_e.kept", piece))).drop("_unit", "_i0", "_line", "_e")
 
 
 def fill_nearest(cells: DataFrame, time: Sequence[str], value: str) -> DataFrame:

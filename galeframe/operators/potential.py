@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,38 +69,53 @@ def entropy_table(spark: SparkSession, axes: EntropyAxes = EntropyAxes(), rounds
     return grid.withColumn("_e", ends).select("ip", "is", "iw", ((F.col("_e.lo") + F.col("_e.hi")) / 2).alias("t"))
 
 
-def table_lookup(table: DataFrame, axes: EntropyAxes, held: bool) -> Callable[[Column, Column, Column], Column]:
-    """Temperatures (an array) at pressures (an array), entropy and water of a row, linear between the corners of
-    the table's cell. Beyond an axis its edge counts (held) or the temperature is missing. The table, as large as its axes say
-    (2 MB for the reversible ones), is one array that is sent to every executor."""
+def table_array(table: DataFrame, axes: EntropyAxes) -> Column:
+    """The table as one constant array by pressure, entropy and water, as long as its axes say. It is read from text, which
+    the optimizer does once, as a literal of so many columns would take long to build."""
     got = table.toArrow()
     grid = np.zeros((axes.n_p, axes.n_s, axes.n_w))
     grid[tuple(got.column(c).to_numpy() for c in ("ip", "is", "iw"))] = got.column("t").to_numpy()
-    shared = table.sparkSession.sparkContext.broadcast(grid)
-
-    def slot(x: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cell of an axis and the share inside it; a missing place stays missing in the share."""
-        x = np.clip(x, 0, many - 1) if held else np.where((x >= 0) & (x <= many - 1), x, np.nan)
-        low = np.minimum(np.nan_to_num(np.floor(x)), max(many - 2, 0)).astype(np.int64)
-        return low, x - low
-
-    @F.arrow_udf("array<double>")
-    def run(p: pa.Array, s: pa.Array, w: pa.Array) -> pa.Array:
-        counts = pc.fill_null(pc.list_value_length(p), 0).to_numpy(zero_copy_only=False)
-        flat = p.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        s, w = (np.repeat(x.to_numpy(zero_copy_only=False).astype(np.float64), counts) for x in (s, w))
-        sides = [slot((flat - axes.p0) / axes.dp, axes.n_p), slot((s - axes.s0) / axes.ds, axes.n_s)]
-        sides.append(slot((w - axes.w0) / axes.dw, axes.n_w) if axes.n_w > 1 else (np.zeros(len(flat), np.int64), np.zeros(len(flat))))
-        total = np.zeros(len(flat))
-        for corner in product((0, 1), (0, 1), (0, 1) if axes.n_w > 1 else (0,)):
-            share = 1.0
-            for c, (_, f) in zip(corner, sides, strict=True):
-                share = share * (f if c else 1 - f)
-            total += share * shared.value[tuple(low + c for c, (low, _) in zip(corner, sides, strict=True))]
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(total, mask=np.isnan(total)))
-
-    return run
+    return F.split(F.lit(",".join(map(repr, grid.ravel().tolist()))), ",").cast("array<double>")
+
+
+def _slot(value: Column, first: float, step: float, many: int, held: bool) -> tuple[Column, Column]:
+    """Cell of an axis and the share inside it. Beyond the axis its edge counts (held) or the place is missing."""
+    x = (value - first) / step
+    x = clip(x, 0, many - 1) if held else F.when((x >= 0) & (x <= many - 1), x)
+    low = F.least(F.floor(x), F.lit(many - 2)).cast("int")
+    return low, x - low
+
+
+def table_lookup(rows: DataFrame, table: Column, axes: EntropyAxes, p: str, parcels: dict[str, tuple[str, str]], held: bool) -> DataFrame:
+    """Adds, for each name of parcels, the temperatures (an array) at the pressures of array p and the parcel's
+    entropy and water, linear between the corners of the table's cell."""
+    slots: dict[str, Column] = {}
+    for name, (s, w) in parcels.items():
+        slots[f"_{name}si"], slots[f"_{name}sf"] = _slot(F.col(s), axes.s0, axes.ds, axes.n_s, held)
+        if axes.n_w > 1:
+            slots[f"_{name}wi"], slots[f"_{name}wf"] = _slot(F.col(w), axes.w0, axes.dw, axes.n_w, held)
+
+    def level(e: Column) -> Column:
+        low, share = _slot(e, axes.p0, axes.dp, axes.n_p, held)
+        return F.struct(low.alias("i"), share.alias("f"))
+
+    def at(tbl: Column, name: str, e: Column) -> Column:
+        total = None
+        for a, b, c in product((0, 1), (0, 1), (0, 1) if axes.n_w > 1 else (0,)):
+            place = (e["i"] + a) * axes.n_s + F.col(f"_{name}si") + b
+            share = (e["f"] if a else 1 - e["f"]) * (F.col(f"_{name}sf") if b else 1 - F.col(f"_{name}sf"))
+            if axes.n_w > 1:
+                place = place * axes.n_w + F.col(f"_{name}wi") + c
+                share = share * (F.col(f"_{name}wf") if c else 1 - F.col(f"_{name}wf"))
+            term = F.get(tbl, place) * share
+            total = term if total is None else total + term
+        return total
+
+    placed = rows.withColumns({**slots, "_levels": F.transform(p, level)})
+    found = F.transform(F.array(table), lambda tbl: F.transform("_levels", lambda e: F.struct(
+        *[at(tbl, name, e).alias(name) for name in parcels])))[0]
+    placed = placed.withColumn("_found", found)
+    return placed.withColumns({name: F.col(f"_found.{name}") for name in parcels}).drop("_found", "_levels", *slots)
 
 
 def assemble_soundings(levels: DataFrame, surface: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -122,7 +135,7 @@ def potential_intensity(soundings: DataFrame, keys: Sequence[str], table: DataFr
 
     The reversible form keeps each parcel's total water, which is then the third axis of the table; beyond the axes it
     has no temperature, where the pseudoadiabatic form takes the edge. Every sounding is worked on inside its row,
-    over its arrays of levels, without a shuffle; only the table lookup is numpy, in batches. also names columns that are passed on.
+    over its arrays of levels, without a shuffle; the table is one constant array. also names columns that are passed on.
     """
     keys, also = list(keys), list(also)
     c = F.col
@@ -136,10 +149,9 @@ def potential_intensity(soundings: DataFrame, keys: Sequence[str], table: DataFr
     top = F.size("p") - 1
     cond = F.coalesce(first_true(F.transform("p", lambda x: F.coalesce(c("_lcl") > x, F.lit(False)))), top).cast("int")
     lnp_next = F.transform("p", lambda x, i: F.when(i < top, F.log(F.get("p", i + 1)) - F.log(x)).otherwise(F.log(x) - F.log(F.get("p", i - 1))))
-    lookup = table_lookup(table, axes, held=form == "pseudo")
     # parcels above condensation and from the sea surface
-    base = base.withColumns({"_cond": F.least(cond, top), "_dl": lnp_next}).withColumns({
-        "_tm": lookup(c("p"), c("_sn"), c("_rn")), "_ts": lookup(c("p"), c("_ss"), c("_rs"))})
+    base = base.withColumns({"_cond": F.least(cond, top), "_dl": lnp_next})
+    base = table_lookup(base, table_array(table, axes), axes, "p", {"_tm": ("_sn", "_rn"), "_ts": ("_ss", "_rs")}, held=form == "pseudo")
 
     def lifted(e: Column, k: Column) -> Column:
         dry = c("_tn") * F.pow(e["p"] / c("_pn"), F.lit(K.RD / K.CP))

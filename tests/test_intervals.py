@@ -108,16 +108,18 @@ def test_nearest_on_a_wide_grid(spark):
         assert (got[i] == field[si[best], sj[best]]).all()
 
 
-def test_envelope_ties_and_far_sources():
+def test_envelope_ties_and_far_sources(spark):
     rng = np.random.default_rng(5)
-    for _ in range(200):
-        n = rng.integers(1, 12)
-        j = rng.permutation(30)[:n]
-        i, row, gaps = rng.integers(0, 8, n), int(rng.integers(0, 8)), np.arange(-3, 35)
-        best = G.envelope(row, i, j, gaps)
-        for q, k in zip(gaps, best, strict=True):
-            assert ((i[k] - row) ** 2 + (j[k] - q) ** 2, i[k], j[k]) == min(
-                ((a - row) ** 2 + (b - q) ** 2, a, b) for a, b in zip(i, j, strict=True))
+    cases = []
+    for n in range(300):
+        m = int(rng.integers(1, 12))
+        cases.append((n, int(rng.integers(0, 8)), sorted(zip(rng.permutation(30)[:m].tolist(), rng.integers(0, 8, m).tolist(), strict=True)), -3, 34))
+    df = spark.createDataFrame(cases, "n int, row int, near array<struct<j:int,i:int>>, first int, end int")
+    for r in G.with_envelope(df, "row", "near", "first", "end").collect():
+        assert len(r["_owner"]) == 38
+        for q, k in zip(range(-3, 35), r["_owner"], strict=True):
+            d, i, j = min(((e["i"] - r["row"]) ** 2 + (e["j"] - q) ** 2, e["i"], e["j"]) for e in r["near"])
+            assert (k["i"], k["j"]) == (i, j), d
 
 
 def test_smoothing_sends_only_the_window_to_python(spark):
@@ -159,8 +161,7 @@ def test_lookup_between_and_beyond_the_axes(spark):
         "p", F.array(F.lit(5000.0), F.lit(30000.0), F.lit(200000.0)))
     for held, want in ((False, [[5.25, 55.25, None], [21, 71, None], [None] * 3, [None] * 3, [None] * 3]),
                        (True, [[5.25, 55.25, 205.25], [21, 71, 221], [20, 70, 220], [None] * 3, [None] * 3])):
-        look = PT.table_lookup(table, axes, held)
-        got = [r["t"] for r in rows.select(look(F.col("p"), F.col("s"), F.col("w")).alias("t")).collect()]
+        got = [r["t"] for r in PT.table_lookup(rows, PT.table_array(table, axes), axes, "p", {"t": ("s", "w")}, held).collect()]
         assert [[None if x is None else pytest.approx(x) for x in r] for r in want] == got
 
 
