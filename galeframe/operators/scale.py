@@ -113,7 +113,9 @@ def _leaves(rows: DataFrame, keys: Sequence[str], ranks: Column | None, leaf: in
     """
     keys, ids = list(keys), [*keys, "_id"]
     # an interval's number begins with that of the interval it was cut from, so it stays unique over all rounds
-    rows = saved(rows.select(*keys, "_v", "_n", F.lit(1).cast("long").alias("_id")))
+    rows = rows.select(*keys, "_v", "_n", F.lit(1).cast("long").alias("_id"))
+    if ranks is None:  # all rows come back; of those with ranks only a few do, so reading the source again costs less
+        rows = saved(rows)
     every = [F.count("*").alias("_rows"), F.sum("_n").alias("_copies"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
     intervals = rows.groupBy(*ids).agg(*every).withColumns({
         "_before": F.lit(0).cast("long"), **({} if ranks is None else {"_ranks": ranks, "_total": F.col("_copies")})})
