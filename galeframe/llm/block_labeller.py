@@ -1,15 +1,16 @@
 """HTML extraction: a recurrent block labeller.
 
 A page is read into leaf blocks: runs of text between block-level tags, each with the path of tags and class
-words that it stands in. A bidirectional LSTM in numpy reads the blocks of the whole page (hashed path and
-words, lengths, link share) and says of every block whether it belongs to the main text.
+words that it stands in. A bidirectional LSTM in numpy reads the blocks of the whole page (hashed path, opening
+words, the mean over all distinct words, lengths, link share) and says of every block whether it belongs to the main text.
 
 There are no labelled pages, so it learns from pages that mark their article (article, main, role=main,
 itemprop=articleBody) outside of elements that name themselves as something else. So that it also knows
 pages that mark nothing, training pages are put together anew: the page's own main and other blocks, and
-strange text as comments, teasers, notices, forms and adverts, in containers of many usual names. At most
-SAMPLE_PAGES pages of at most SAMPLE_CHARS characters (least hash of the id) reach the driver. Without any
-such page the containers' names alone decide.
+strange text as comments, teasers, notices, forms and adverts, in containers of many usual names. Three pages in ten,
+as they are or put together, lose all names, so that link share, length, place and words must tell their parts. At most
+SAMPLE_PAGES pages of at most SAMPLE_CHARS characters (least hash of the id) reach the driver; they are learnt whole.
+Without any such page the containers' names alone decide.
 
 Text: scripts, styles, comments and other unseen content are left out, character references decoded, white
 space inside a block becomes one space, empty blocks vanish, main blocks are joined by two line feeds. A tag that
@@ -34,18 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galeframe.llm.text import slices
+from galeframe.llm.text import ALNUM, slices, words
 
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 60_000
 PATH_HASHES = 1 << 12
 WORD_HASHES = 1 << 10
 HASHES = PATH_HASHES + WORD_HASHES
+BAG_HASHES = 1 << 12
 DENSE = 8
 WIDTH = 16      # of a block's vector
 HIDDEN = 16     # of each direction
 STEPS = 600
 BATCH = 24
+BARE = 0.3      # of the pages are learnt without names
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn em font i img kbd mark q rp rt ruby s samp small span strike "
@@ -78,6 +81,9 @@ OTHER_NAMES = frozenset(
     "comments consent cookie cookies copyright disqus feedback footer gdpr header hidden hint login masthead menu meta modal "
     "nav navbar navigation newsletter notice overlay pagination pager popup promo promoted recommended register related replies "
     "reply respond search share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar tooltip widget".split())
+NAMING_TAGS = frozenset("article main section nav header footer aside dialog".split())
+#: parts that link share, length, place and words tell; an advert in a plain container may read like the article
+TOLD_WITHOUT_NAMES = frozenset("menu header footer sidebar form".split())
 MAIN_NAMES = frozenset("articlebody main".split())
 
 MAIN_PLACES = ("article", "main", "div.content", "div.post-content", "div.entry-content", "div.article-body", "section.story",
@@ -282,6 +288,14 @@ def _number(text: str) -> int:
 _number = lru_cache(100_000)(_number)
 
 
+def bag(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed words of each text, one text after another, and their number."""
+    w = words(pa.array(texts, pa.large_string()), ALNUM)
+    owner = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    keys = np.unique(owner * BAG_HASHES + (w.hashes % np.uint64(BAG_HASHES)).astype(np.int64))
+    return keys % BAG_HASHES, np.bincount(keys // BAG_HASHES, minlength=len(texts))
+
+
 def encode(blocks: list[Block]) -> tuple[list[list[int]], np.ndarray]:
     """Hashed path and word features of each block, and its DENSE numbers."""
     hashed, dense = [], np.zeros((len(blocks), DENSE))
@@ -310,13 +324,13 @@ class Labeller:
         rng = np.random.default_rng(seed)
         scale = 1 / np.sqrt(WIDTH + HIDDEN)
         self.p = {
-            "hash": rng.normal(0, 0.1, (HASHES, WIDTH)), "dense": rng.normal(0, 0.3, (DENSE, WIDTH)),
+            "hash": rng.normal(0, 0.1, (HASHES, WIDTH)), "bag": rng.normal(0, 0.1, (BAG_HASHES, WIDTH)), "dense": rng.normal(0, 0.3, (DENSE, WIDTH)),
             "out": rng.normal(0, 0.3, (2 * HIDDEN + WIDTH, 1)), "bias": np.zeros(1)}
         for d in ("f", "b"):
             self.p[f"w{d}"] = rng.normal(0, scale, (WIDTH + HIDDEN, 4 * HIDDEN))
             self.p[f"c{d}"] = np.concatenate([np.ones(HIDDEN), np.zeros(3 * HIDDEN)])
 
-    def embed(self, hashed: list[list[int]], dense: np.ndarray) -> np.ndarray:
+    def embed(self, hashed: list[list[int]], dense: np.ndarray, bags: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         counts = np.fromiter(map(len, hashed), np.int64, len(hashed))
         flat = np.fromiter((x for own in hashed for x in own), np.int64, int(counts.sum()))
         x = dense @ self.p["dense"]
@@ -324,6 +338,10 @@ class Labeller:
         some = counts > 0
         if some.any():
             x[some] += np.add.reduceat(self.p["hash"][flat], first[some])
+        index, many = bags
+        some = many > 0
+        if some.any():
+            x[some] += np.add.reduceat(self.p["bag"][index], (np.cumsum(many) - many)[some]) / many[some, None]
         return np.tanh(x)
 
     def chain(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -372,11 +390,12 @@ class Labeller:
         out.transpose(1, 0, 2)[mask.T] = x
         return out, mask
 
-    def probability(self, hashed: list[list[int]], dense: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def probability(self, hashed: list[list[int]], dense: np.ndarray, bags: tuple[np.ndarray, np.ndarray],
+                    lengths: np.ndarray) -> np.ndarray:
         """Of every block of some pages to be main text; pages of like length are worked on together."""
         if not len(hashed):
             return np.zeros(0)
-        x = self.embed(hashed, dense)
+        x = self.embed(hashed, dense, bags)
         first, out = np.cumsum(lengths) - lengths, np.zeros(len(x))
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
@@ -389,10 +408,10 @@ class Labeller:
             out[at] = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).T[mask.T]
         return out
 
-    def step(self, hashed: list[list[int]], dense: np.ndarray, lengths: np.ndarray, label: np.ndarray, memory: dict,
-             number: int, rate: float = 0.01) -> float:
+    def step(self, hashed: list[list[int]], dense: np.ndarray, bags: tuple[np.ndarray, np.ndarray], lengths: np.ndarray,
+             label: np.ndarray, memory: dict, number: int, rate: float = 0.01) -> float:
         """One step of Adam on the logistic loss of a batch of pages."""
-        x = self.embed(hashed, dense)
+        x = self.embed(hashed, dense, bags)
         laid, mask = self.lay(x, lengths)
         kept: dict[str, list] = {"f": [], "b": []}
         h = np.concatenate([self.chain("f", laid, mask, kept["f"]), self.chain("b", laid, mask, kept["b"]), laid], axis=2)
@@ -412,6 +431,8 @@ class Labeller:
         counts = np.fromiter(map(len, hashed), np.int64, len(hashed))
         np.add.at(grads["hash"], np.fromiter((v for own in hashed for v in own), np.int64, int(counts.sum())),
                   np.repeat(flat, counts, axis=0))
+        index, many = bags
+        np.add.at(grads["bag"], index, np.repeat(flat / np.maximum(many, 1)[:, None], many, axis=0))
         for k, g in grads.items():
             m, v = memory.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
             m += 0.1 * (g - m)
@@ -420,8 +441,15 @@ class Labeller:
         return float(-np.where(mask, y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12), 0).sum() / mask.sum())
 
 
-def _arranged(rng: np.random.Generator, main: list[Block], other: list[Block], strange: list[str]) -> tuple[list[Block], list[int]]:
-    """A page put together anew from blocks and strange texts, and its labels."""
+def _bare(path: tuple[str, ...]) -> tuple[str, ...]:
+    """A path without names: containers that name their use are plain ones."""
+    tags = (place.split(".")[0] for place in path)
+    return tuple("div" if t in NAMING_TAGS else t for t in tags)
+
+
+def _arranged(rng: np.random.Generator, main: list[Block], other: list[Block], strange: list[str],
+              kinds: frozenset[str]) -> tuple[list[Block], list[int]]:
+    """A page put together anew from blocks and strange texts, with other parts of these kinds, and its labels."""
     def pick(options):
         return options[int(rng.integers(len(options)))]
 
@@ -447,6 +475,8 @@ def _arranged(rng: np.random.Generator, main: list[Block], other: list[Block], s
         return [Block((), b.text, 0) for b in main], [1] * len(main)
 
     def other_part(kind: str, n: int, inside: tuple[str, ...] = ()) -> None:
+        if kind not in kinds:
+            return
         place = path(pick(OTHER_PLACES[kind]))
         for text, linked in texts(kind, n):
             blocks.append(Block((*(inside or wrap), *place), text, linked))
@@ -485,22 +515,29 @@ def train(pages: list[list[Block]], steps: int = STEPS, seed: int = 10) -> Label
     strange = [b.text for blocks, labels in known for b, y in zip(blocks, labels, strict=True) if y] or ["text"]
     net, memory = Labeller(seed), {}
     for number in range(1, steps + 1):
-        hashed, dense, lengths, label = [], [], [], []
+        hashed, said, dense, lengths, label = [], [], [], [], []
         for k in rng.integers(0, len(known), BATCH).tolist():
             blocks, labels = known[k]
+            bare = rng.random() < BARE
             if rng.random() < 0.75:
                 main = [b for b, y in zip(blocks, labels, strict=True) if y]
-                begin = int(rng.integers(0, max(1, len(main) - 12)))
                 other = [b for b, y in zip(blocks, labels, strict=True) if not y]
-                blocks, labels = _arranged(rng, main[begin:begin + 12], other, strange)
-            h, d = encode(blocks[:60])
+                if rng.random() < 0.5:  # an article that begins and ends elsewhere
+                    begin, end = sorted(rng.integers(0, len(main) + 1, 2).tolist())
+                    main = main[begin:end] or main
+                blocks, labels = _arranged(rng, main, other, strange, TOLD_WITHOUT_NAMES if bare else frozenset(OTHER_PLACES))
+            if bare:
+                blocks = [Block(_bare(b.path), b.text, b.linked) for b in blocks]
+            h, d = encode(blocks)
+            texts = [b.text for b in blocks]
             if rng.random() < 0.5:  # a page without its words: paths must do
-                h = [[x for x in own if x < PATH_HASHES] for own in h]
+                h, texts = [[x for x in own if x < PATH_HASHES] for own in h], [""] * len(h)
             hashed += h
+            said += texts
             dense.append(d)
             lengths.append(len(h))
-            label += labels[:60]
-        net.step(hashed, np.concatenate(dense), np.array(lengths), np.array(label, float), memory, number,
+            label += labels
+        net.step(hashed, np.concatenate(dense), bag(said), np.array(lengths), np.array(label, float), memory, number,
                  0.01 if number < steps * 0.7 else 0.003)
     return net
 
@@ -519,7 +556,8 @@ def texts_of(net: Labeller | None, pages: list[str | None]) -> list[str]:
     every = [encode(own) for own in blocks]
     lengths = np.array([len(own) for own in blocks], np.int64)
     flat = [h for own, _ in every for h in own]
-    likely = net.probability(flat, np.concatenate([d for _, d in every]) if flat else np.zeros((0, DENSE)), lengths) >= 0.5
+    likely = net.probability(flat, np.concatenate([d for _, d in every]) if flat else np.zeros((0, DENSE)),
+                             bag([b.text for own in blocks for b in own]), lengths) >= 0.5
     first = np.cumsum(lengths) - lengths
     return ["\n\n".join(b.text for b, y in zip(own, likely[a:a + len(own)].tolist(), strict=True) if y)
             for own, a in zip(blocks, first.tolist(), strict=True)]

@@ -357,6 +357,22 @@ def test_op10_against_the_template(spark, net):
     assert len(rows) == len(pages) and good >= 0.98 * len(pages)
 
 
+def test_pages_without_any_names(spark, net):
+    """Held-out pages whose containers are all plain: link share, length, place and words tell their parts."""
+    seen = {r["page_id"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id").collect()}
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect() if r["page_id"] not in seen][:300]
+    want = ["\n\n".join(b.text for b in block_labeller.read(p) if block_labeller.named_main(b.path)) for p in pages]
+    plain = [re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", re.sub(
+        r'\s(class|id)="[^"]*"', "", p)) for p in pages]
+    got = block_labeller.texts_of(net, plain)
+    assert sum(a == b for a, b in zip(want, got, strict=True)) >= 0.85 * len(pages)
+
+
+def test_every_word_of_a_block_is_read():
+    index, many = block_labeller.bag(["one two three four five six seven", "", "Seven, seven"])
+    assert many.tolist() == [7, 0, 1] and index[-1] in index[:7]
+
+
 def test_pages_odd_tables(spark, net):
     odd = spark.createDataFrame([(None, None, None, "x"), (1, "u", "", "x"), (1, "u", "", "x")],
                                 "page_id long, url string, html string, Text string")
