@@ -7,7 +7,8 @@ hashed into WORD_SPACE features with a common length of one; structure statistic
 characters, words and lines, lengths) enter as their value and as the interval they fall into.
 
 fit() uses labelled rows outside the held-out fold only, at most SAMPLE_ROWS of them (those with the least
-hash of their id), which bounds what reaches the driver. Scores read the text alone. Null and empty texts
+hash of their id) with at most SAMPLE_BYTES of text a class and no text over a sixteenth of that, which bounds what
+reaches the driver; of rows with one id one text is learnt. Scores read the text alone. Null and empty texts
 have no words and all statistics 0 and get the score of these. Several labels of one id: the largest counts;
 null labels don't count. Without any usable label every score is 0.5.
 """
@@ -22,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from galeframe.llm.sample import labelled_texts
 from galeframe.llm.text import LOWER, NOT_SPACE, Words, flat, slices, words
 
 SAMPLE_ROWS = 8_000
+SAMPLE_BYTES = 32 << 20  # a class
 WORD_SPACE = 1 << 16
 FACTORS = 8
 BINS = 12
@@ -170,26 +173,29 @@ def train(index: np.ndarray, values: np.ndarray, counts: np.ndarray, label: np.n
     return m
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and label (0 or 1) of at most so many labelled rows outside the held-out fold."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS,
+                    size: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, text and label (0 or 1) of at most so many labelled ids outside the held-out fold."""
     known = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 0))
-             .groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")))
+             .groupBy("doc_id").agg(F.max(label).cast("int").alias("label")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("_label").alias("label"))
+    return labelled_texts(docs, chosen, size)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS,
+        size: int = SAMPLE_BYTES) -> Machine:
     def encoded(batches):
         for batch in batches:
             for part in slices(batch):
                 index, values, counts = features(part.column("text"))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 yield pa.record_batch([
-                    part.column("label"), pa.ListArray.from_arrays(offsets, pa.array(index, pa.int32())),
-                    pa.ListArray.from_arrays(offsets, pa.array(values, pa.float32()))], names=["label", "i", "x"])
+                    part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(offsets, pa.array(index, pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(values, pa.float32()))], names=["doc_id", "label", "i", "x"])
 
-    got = labelled_sample(docs, labels, label, rows).mapInArrow(
-        encoded, "label int, i array<int>, x array<float>").toArrow().combine_chunks()
+    sample = labelled_sample(docs, labels, label, rows, size).withColumn("doc_id", F.col("doc_id").cast("string"))
+    got = sample.mapInArrow(encoded, "doc_id string, label int, i array<int>, x array<float>").toArrow().sort_by(
+        "doc_id").combine_chunks()  # batches of training in an order that doesn't hang on the partitions
     index, values = (got.column(c).combine_chunks() for c in ("i", "x"))
     counts = np.diff(index.offsets.to_numpy()) if len(got) else np.zeros(0, np.int64)
     return train(index.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(np.float64), counts,

@@ -15,7 +15,8 @@ entry per DISCOUNT training bytes and order.
 
 Words are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII; a text counts each of its
 words once in training. fit() uses labelled rows outside the held-out fold only, at most SAMPLE_ROWS and
-SAMPLE_BYTES of text a class (least hash of the id first). Scores read the text alone. Null and empty texts
+SAMPLE_BYTES of text a class (least hash of the id first), no text over a sixteenth of that, and of rows with one id
+one text. Scores read the text alone. Null and empty texts
 have no words and a difference of 0. Several labels of one id: the largest counts. If one class has no
 labelled text, every score is the share of toxic labels (0.5 without any). The sample has as many texts of
 either class, and the curve is moved back to the share among all labels.
@@ -27,11 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galeframe.llm.factorisation import fold
+from galeframe.llm.sample import labelled_texts
 from galeframe.llm.text import ALNUM, Words, slices, words
 
 SAMPLE_ROWS = 2_500
@@ -272,13 +274,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     for value in (0, 1):
         part = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         chosen = part if chosen is None else chosen.union(part)
-    w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     sample = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)))
-        .filter(F.col("_size") <= size // 16)  # no single text takes the room of the sample
-        .withColumn("_upto", F.sum("_size").over(w)).filter(F.col("_upto") <= size)
-        .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").select("text", "label").toArrow().combine_chunks())
+        labelled_texts(docs, chosen, size).withColumn("_at", F.xxhash64("doc_id", F.lit(7)))
+        .toArrow().sort_by([("_at", "ascending"), ("doc_id", "ascending")]).combine_chunks())
     text = sample.column("text")
     return train(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text,
                  sample.column("label").to_numpy().astype(int), prior)

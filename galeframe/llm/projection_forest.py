@@ -33,6 +33,7 @@ LEVELS = 40     # of splits at most
 LEAF = 512      # vectors of a leaf that is not split further
 SPILL = 0.1     # share of ranks on each side of the median that goes to both halves
 BLOCK = 256     # vectors compared with another block at a time
+SALTS = 64      # parts of a group that meet its number of blocks on their own
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -104,15 +105,18 @@ def leaves(vectors: DataFrame, tables: Scratch, trees: int = TREES, leaf: int =
 
 
 def _blocks(rows: DataFrame, group: list[str], block: int) -> DataFrame:
-    """Every row once for each pair of blocks of its group that its block is in: columns i, j."""
-    size = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    number = F.ceil(F.col("_n") / block).cast("long")
+    """Every row once for each pair of blocks of its group that its block is in: columns i, j. Groups of one block
+    need no number; those of more meet it under a salt as well, so that no task has the rows of a whole group."""
+    size = rows.groupBy(*group).agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+    number = size.select(*group, F.ceil(F.col("_n") / block).cast("long").alias("_k"),
+                         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("key", F.lit("salt")), F.lit(SALTS)).cast("int"))
     return (
-        rows.join(size, group).withColumn("_k", number)
+        salted.join(number, [*group, "_salt"], "left").withColumn("_k", F.coalesce("_k", F.lit(1).cast("long")))
         .withColumn("_own", F.pmod(F.xxhash64("key"), F.col("_k")))
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
         .withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other"))
-        .drop("_n", "_k", "_other")
+        .drop("_salt", "_k", "_other")
     )
 
 

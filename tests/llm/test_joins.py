@@ -230,3 +230,12 @@ def test_forest_that_splits_finds_all_links(spark):
     got = {r["vec_id"]: r["n_links"] for r in projection_forest.near_vectors(table).collect()}
     found = sum(got.values())
     assert links.sum() > 1500 and all(got[k] <= n for k, n in enumerate(links.sum(1))) and found >= 0.99 * links.sum()
+
+
+def test_a_class_of_several_blocks(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=16)
+    rows = [(k, (middle + 0.07 * rng.normal(size=16)).tolist(), 1) for k in range(700)] + [
+        (700 + k, rng.normal(size=16).tolist(), 1 + k % 3) for k in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    assert sorted(map(tuple, projection_forest.near_vectors(table).collect())) == brute_vectors(rows)

@@ -12,6 +12,7 @@ import pytest
 import corpus_pipeline
 from galeframe.llm import block_labeller, factorisation, hidden_markov, kneser_ney, pii
 from galeframe.llm.queries import QUERIES, TEST_KEY
+from galeframe.llm.sample import labelled_texts
 from helpers import LABELS, lower
 
 
@@ -179,6 +180,26 @@ def test_classifiers_of_odd_tables(spark, documents, awkward, module, label):
     assert module.scored(documents([]), module.fit(documents([]), none, label)).collect() == []
 
 
+def test_sample_takes_one_text_an_id_and_is_bounded(spark, documents):
+    docs = documents([(1, f"text {k}") for k in range(500)] + [(2, None), (2, None), (3, "b" * 40), (4, "c" * 60), (5, "d" * 700), (None, "x")])
+    chosen = spark.createDataFrame([(i, int(i > 3)) for i in range(1, 8)], "doc_id long, label int")
+    rows = {r["doc_id"]: r for r in labelled_texts(docs, chosen, 1_600).collect()}
+    assert set(rows) == {1, 2, 3, 4} and rows[2]["text"] is None and rows[4]["label"] == 1  # 5 is over a sixteenth
+    assert rows[1]["text"].startswith("text ") and labelled_texts(docs, chosen, 1_600).count() == 4
+    many = documents([(k, "w" * 90) for k in range(100)])
+    every = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, label int")
+    per_class = Counter(r["label"] for r in labelled_texts(many, every, 1_600).collect())
+    assert per_class == {0: 17, 1: 17}
+    assert labelled_texts(documents([]), chosen, 1_600).collect() == []
+
+
+def test_repeated_rows_of_an_id_train_alike(spark, documents):
+    docs = [(k, "good plain words" if k % 2 else "#### 12 !! %%") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(60)], LABELS)
+    once, often = (factorisation.fit(documents(rows), labels) for rows in (docs, docs + docs[:7] * 20))
+    assert once.bias == often.bias and np.array_equal(once.weights, often.weights)
+
+
 def test_labels_of_the_held_out_fold_are_not_used(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
