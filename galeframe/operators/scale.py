@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeframe.session import shared_dir
+from galeframe.session import scratch_path, shared_dir
+
 
 def saved(df: DataFrame) -> DataFrame:
     """df written once to the shared checkpoint folder; its lineage ends there."""
@@ -20,6 +21,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as a table below the shared folder and read from there. Unlike a checkpoint it is computed once, and
+    its bytes are known when a join is planned, so a small one is broadcast and the large side stays where it is."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys meet NULL keys; the keys of the left side are kept."""
     names = {k: f"_right_{k}" for k in keys}
@@ -102,10 +111,11 @@ def _placed(rows: DataFrame, edges: DataFrame, keys: Sequence[str], parts: int)
 def _leaves(rows: DataFrame, keys: Sequence[str], ranks: Column | None, leaf: int, parts: int) -> DataFrame:
     """Cuts every group into intervals of at most leaf rows, or of equal values, in the order of _v.
 
-    rows: keys, _v, _n (copies a row stands for). In every round the intervals that are still too large get a histogram: edges
-    from a sketch of their rows, exact counts between the edges, values equal to an edge in bins of their own. So the
-    rows of an interval shrink about by the number of edges, whatever the distribution, and a group of any size ends after a
-    few rounds. A bin's place follows from the bins before it in its own interval, never from the whole group.
+    rows: keys, _v (those without are left out), _n (copies a row stands for). They are computed once and stored. In every
+    round the intervals that are still too large get a histogram: edges from a sketch of their rows, exact counts between the
+    edges, values equal to an edge in bins of their own. So the rows of an interval shrink about by the number of edges,
+    whatever the distribution, and a group of any size ends after a few rounds. A bin's place follows from the bins before it
+    in its own interval, never from the whole group.
 
     With ranks (an array of 0-based ranks, from the number of _copies of a group) only intervals that hold one of them are
     kept; _ranks and the group's _total come with their rows. Returns keys, _id (an interval's number), _before (copies before
@@ -113,24 +123,26 @@ def _leaves(rows: DataFrame, keys: Sequence[str], ranks: Column | None, leaf: in
     """
     keys, ids = list(keys), [*keys, "_id"]
     # an interval's number begins with that of the interval it was cut from, so it stays unique over all rounds
-    rows = rows.select(*keys, "_v", "_n", F.lit(1).cast("long").alias("_id"))
-    if ranks is None:  # all rows come back; of those with ranks only a few do, so reading the source again costs less
-        rows = saved(rows)
+    # the source is read once: a round passes its rows four times, and the source may cost far more than its three columns.
+    # rows without a value go afterwards, as a filter before would be pushed into the source and repeat the formula of _v there
+    rows = stored(rows.select(*keys, "_v", "_n", F.lit(1).cast("long").alias("_id"))).filter("_v IS NOT NULL")
     every = [F.count("*").alias("_rows"), F.sum("_n").alias("_copies"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
     intervals = rows.groupBy(*ids).agg(*every).withColumns({
         "_before": F.lit(0).cast("long"), **({} if ranks is None else {"_ranks": ranks, "_total": F.col("_copies")})})
-    intervals = saved(intervals)
+    intervals = stored(intervals)
     told = ["_before"] if ranks is None else ["_before", "_ranks", "_total"]
     done: DataFrame | None = None
     while True:
         small = (F.col("_rows") <= leaf) | (F.col("_lo") == F.col("_hi"))
-        ended = join_small(rows, intervals.filter(small).select(*ids, *told), ids).select(*ids, *told, "_v", "_n")
-        done = ended if done is None else done.unionAll(ended)
-        open_ = intervals.filter(~small).select(*ids, *told)
-        if open_.isEmpty():
+        has_small, has_open = intervals.agg(F.bool_or(small), F.bool_or(~small)).first()
+        if has_small or done is None and not has_open:
+            ended = join_small(rows, intervals.filter(small).select(*ids, *told), ids).select(*ids, *told, "_v", "_n")
+            done = ended if done is None else done.unionAll(ended)
+        if not has_open:
             return done
+        open_ = intervals.filter(~small).select(*ids, *told)
         rows = join_small(rows, open_.select(*ids), ids)
-        edges = saved(rows.groupBy(*ids).agg(F.percentile_approx(
+        edges = stored(rows.groupBy(*ids).agg(F.percentile_approx(
             "_v", [(i + 1) / (parts + 1) for i in range(parts)], ACCURACY).alias("_edges")))
         placed = _placed(rows, edges, ids, parts)
         # a window over the bins of one interval, at most 2 parts + 1
@@ -141,8 +153,8 @@ def _leaves(rows: DataFrame, keys: Sequence[str], ranks: Column | None, leaf: in
         if ranks is not None:
             bins = bins.withColumn("_ranks", F.filter("_ranks", lambda r: (r >= F.col("_before")) & (
                 r < F.col("_before") + F.col("_copies")))).filter(F.size("_ranks") > 0)
-        intervals = saved(bins.withColumn("_id", number).drop("_bin"))
-        rows = saved(join_small(placed.withColumn("_id", number).drop("_bin"), intervals.select(*ids), ids))
+        intervals = stored(bins.withColumn("_id", number).drop("_bin"))
+        rows = stored(join_small(placed.withColumn("_id", number).drop("_bin"), intervals.select(*ids), ids))
 
 
 def _running(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -166,8 +178,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[st
     """Exact linear-interpolated quantiles per key, one column per name in probs. Groups of all sizes go the same
     way: the intervals that hold a wanted rank are narrowed until they have at most leaf rows."""
     group = list(keys) or ["_all"]
-    x = df.select(*(keys or [F.lit(0).alias("_all")]), F.col(col).cast("double").alias("_v"), F.lit(1).cast("long").alias("_n")).filter(
-        F.col("_v").isNotNull())
+    x = df.select(*(keys or [F.lit(0).alias("_all")]), F.col(col).cast("double").alias("_v"), F.lit(1).cast("long").alias("_n"))
 
     def place(total: str) -> dict[str, Column]:
         return {name: F.lit(p) * (F.col(total) - 1) for name, p in probs.items()}

@@ -82,6 +82,23 @@ def test_registered_quantiles_take_three_rounds(spark, monkeypatch):
     assert len(rounds) >= 3 and all(r["median"] is not None for r in rows)
 
 
+def test_quantiles_compute_their_source_once(spark):
+    """However many rounds: a source may cost far more than the rounds do."""
+    made = spark.sparkContext.accumulator(0)
+
+    def costly(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") * 0.5).alias("x"))
+    got = {r["k"]: r["m"] for r in SC.exact_quantiles(
+        df.mapInArrow(costly, df.schema), ["k"], "x", {"m": 0.5}, leaf=4, parts=3).collect()}
+    for k in (0, 1):
+        assert got[k] == np.median([i * 0.5 for i in range(3000) if i % 2 == k and i % 5 > 0])
+    assert made.value == 3000
+
+
 def test_quantiles_of_empty_and_null_groups(spark):
     df = spark.createDataFrame([("a", None), (None, 2.0), (None, 4.0)], "k string, x double")
     assert [(r["k"], r["m"]) for r in SC.exact_quantiles(df, ["k"], "x", {"m": 0.5}).collect()] == [(None, 3.0)]
