@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -52,11 +53,17 @@ def clip_days(df: DataFrame, time: str, first: str, last: str) -> DataFrame:
 
 
 def select_level(df: DataFrame, cell: Sequence[str], level: str, wanted: float, nearest: bool = True) -> DataFrame:
-    """One pressure level per cell: the equal one, or the nearest (the smaller on a tie). Levels are compared
-    as whole numbers."""
+    """One pressure level per cell: the equal one, or the nearest (the smaller on a tie; missing levels last). Levels are
+    compared as whole numbers, exactly below 2^52. Columns of fixed width are picked in a hash table of one entry a cell, so a
+    task holds its cells and never its levels; strings, arrays and structs make Spark sort the task's rows."""
     at = F.round(F.col(level))
     if not nearest:
         return df.filter(at == round(wanted))
-    rest = [c for c in df.columns if c not in cell]
-    best = F.min_by(F.struct(*rest), F.struct(F.abs(at - wanted), at))
-    return df.groupBy(*cell).agg(best.alias("_b")).select(*cell, "_b.*")
+    # the place among all whole levels by distance, which alternates between both sides: one number, as Spark hashes
+    # aggregates of fixed width only
+    low, high = math.floor(wanted), math.ceil(wanted)
+    above_first = high - wanted < wanted - low
+    place = F.when(at <= wanted, 2 * (low - at) + int(above_first)).otherwise(2 * (at - high) + int(not above_first))
+    rows = df.withColumn("_place", F.coalesce(place.cast("double"), F.lit(float("nan"))))
+    # equal places are decided alike in all columns, so they come from one row
+    return rows.groupBy(*cell).agg(*[F.min_by(c, "_place").alias(c) for c in df.columns if c not in cell])

@@ -19,6 +19,7 @@ from galeframe.operators import tracks as T
 from galeframe.plans import views as V
 from galeframe.sources import manifest as M
 from galeframe.sources import sinks
+from galeframe.sources.tables import select_level
 from galeframe.session import scratch_path
 
 
@@ -333,3 +334,26 @@ def test_yearly_layout_prunes(spark, sf_dir):
     sinks.write_yearly(V.wind_daily(spark, sf_dir).select("ts", "u250"), path, "ts")
     plan = spark.read.parquet(path).filter("year = 1998")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
+
+
+@pytest.mark.parametrize("wanted", [50.0, 50.5, 50.3, 50.7, -1.0, 200.0])
+def test_nearest_level_is_picked_by_hash(spark, wanted):
+    """A task holds one entry a cell, not its sorted levels; ties take the smaller level, missing levels come last."""
+    rng = np.random.default_rng(8)
+    rows = [(f"c{cell}", None if rng.random() < 0.3 else float(at) + float(rng.uniform(-0.4, 0.4)), float(cell * 1000 + at))
+            for cell in range(200) for at in rng.permutation(100)[:rng.integers(1, 6)]]
+    rows += [("tie", 51.0, 1.0), ("tie", 49.0, 2.0), ("tie", None, 3.0), ("lost", None, 4.0)]
+    got = select_level(spark.createDataFrame(rows, "cell string, plev double, t double").repartition(5), ["cell"], "plev", wanted)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    found = {r["cell"]: (r["plev"], r["t"]) for r in got.collect()}
+    cells = {}
+    for cell, plev, t in rows:
+        cells.setdefault(cell, []).append((plev, t))
+    assert found.keys() == cells.keys()
+    for cell, levels in cells.items():
+        known = [x for x in levels if x[0] is not None]
+        if known:
+            assert found[cell] == min(known, key=lambda x: (abs(round(x[0]) - wanted), round(x[0]))), cell
+        else:
+            assert found[cell] in levels
