@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from galeframe.llm.text import slices
+
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -353,13 +355,16 @@ def replaced(text: Column, key: bytes, back: bool = False) -> Column:
 
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
-        own, rows, spans = pseudonyms(key), [], []
-        for t in texts:
-            new, found = own.apply(t.as_py(), back)
-            rows.append(new)
-            spans.append([dict(zip(("kind", "start", "end", "pseudonym"), s, strict=True)) for s in found])
-        return pa.StructArray.from_arrays([pa.array(rows, pa.string()), pa.array(spans, kind.field("spans").type)],
-                                          fields=list(kind))
+        own, out = pseudonyms(key), []
+        for part in slices(pa.record_batch([texts], names=["text"])):
+            rows, spans = [], []
+            for t in part.column(0):
+                new, found = own.apply(t.as_py(), back)
+                rows.append(new)
+                spans.append([dict(zip(("kind", "start", "end", "pseudonym"), s, strict=True)) for s in found])
+            out.append(pa.StructArray.from_arrays([pa.array(rows, pa.string()), pa.array(spans, kind.field("spans").type)],
+                                                  fields=list(kind)))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
 
     return run(text)
 

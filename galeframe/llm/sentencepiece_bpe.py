@@ -8,7 +8,7 @@ encoding of the text passes through it, and the search steps back. Compatibility
 the two tokens, once per pair.
 
 Texts are cut before each run of U+2581 (which stands for a blank), which no piece of the model crosses;
-the distinct units of a slice of texts are searched side by side in numpy. Null and empty texts have no
+the distinct units of a slice of texts are searched side by side in numpy, in runs of bounded size. Null and empty texts have no
 tokens; every other text is encoded whole. Characters without a piece become byte pieces.
 """
 
@@ -29,6 +29,8 @@ from galeframe.llm.text import distinct, flat, lists, slices
 
 BLANK = "\u2581"
 KEPT_PAIRS = 1 << 20    # verdicts on token pairs kept per worker (9 MB); beyond it the table starts anew
+RUN_CHARS = 1 << 17     # characters of units searched side by side; a longer unit stands alone
+RUN_ITEMS = 1 << 18     # numbers put together at a time; a longer run stands alone
 
 ENCODED = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -38,8 +40,15 @@ ENCODED = T.StructType([
 
 def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The runs flat[start:start + count] put one after another."""
-    begin = np.cumsum(counts) - counts
-    return flat[np.arange(int(counts.sum())) + np.repeat(starts - begin, counts)]
+    upto = np.cumsum(counts)
+    begin = upto - counts
+    out, at = np.empty(int(counts.sum()), flat.dtype), 0
+    while at < len(counts):
+        base = int(begin[at])
+        end = max(at + 1, int(np.searchsorted(upto, base + RUN_ITEMS, "right")))
+        out[base:upto[end - 1]] = flat[np.arange(base, upto[end - 1]) + np.repeat(starts[at:end] - begin[at:end], counts[at:end])]
+        at = end
+    return out
 
 
 class PieceModel:
@@ -61,10 +70,10 @@ class PieceModel:
         # a piece that its own merges don't lead to never occurs
         self.ids = {self.pieces[i]: i for i in plain if len(self.merged(self.pieces[i])) == 1}
         # beyond the vocabulary, the number size + code stands for a character without a piece
-        self.lengths = np.ones(self.size + 0x110000, np.int64)
+        self.lengths = np.ones(self.size + 0x110000, np.int32)
         self.lengths[:self.size] = [len(p) for p in self.pieces]
-        self.shorter = np.full(self.size + 0x110000, -1, np.int64)
-        self.single = self.size + np.arange(0x110000)
+        self.shorter = np.full(self.size + 0x110000, -1, np.int32)
+        self.single = self.size + np.arange(0x110000, dtype=np.int32)
         self.matcher = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if len(piece) == 1:
@@ -133,6 +142,18 @@ class PieceModel:
 
     def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every unit, one after another, and how many each has."""
+        upto, at, parts = np.cumsum(np.fromiter(map(len, units), np.int64, len(units))), 0, []
+        while at < len(units):
+            base = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, base + RUN_CHARS, "right")))
+            parts.append(self.searched(units[at:end]))
+            at = end
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+    def searched(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As units, of a run of them searched side by side."""
         joined = "\n".join(units) + "\n"
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, units), np.int64, len(units))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,8 @@ SLICE_BYTES = 2 << 20   # text worked on at a time
 PIECE_BYTES = 1 << 18   # text hashed at a time
 LONG_WORD = 1 << 16     # longer words are hashed on their own
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+
 _BYTES = np.arange(256)
 #: words [^\x20\x09-\x0D]+
 NOT_SPACE = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
@@ -117,8 +120,16 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+def hand_back() -> None:
+    """Free memory that Arrow and the C library keep goes back to the system, as workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of whole rows with about size bytes of text; a longer text stands alone."""
+    hand_back()  # what an earlier stage left in this worker
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     upto, at = np.cumsum(lengths), 0
     while at < len(lengths):
@@ -126,7 +137,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         end = max(at + 1, int(np.searchsorted(upto, base + size, "right")))
         yield batch.slice(at, end - at)
         at = end
-    pa.default_memory_pool().release_unused()  # what the slices needed goes back before the next batch comes
+    hand_back()  # what the slices needed goes back before the next batch comes
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -83,3 +84,26 @@ def test_op6_against_library(spark, sf_dir, byte_library, documents, awkward):
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len((texts[r["doc_id"]] or "").encode()), n > 1024)
     got = token_counts.with_token_counts(documents(awkward).withColumn("n_tokens", F.lit("old")), tokenizer_path(BYTE_MODEL))
     assert got.count() == len(awkward) and dict(got.dtypes)["n_tokens"] == "bigint"
+
+
+def test_runs_of_units_do_not_change_ids(awkward, monkeypatch):
+    m, texts = sentencepiece_bpe.model(tokenizer_path(PIECE_MODEL)), pa.array(awkward, pa.string())
+    ids, counts = m.encode(texts)
+    whole = m.decode(ids, counts)
+    monkeypatch.setattr(sentencepiece_bpe, "RUN_CHARS", 40)
+    monkeypatch.setattr(sentencepiece_bpe, "RUN_ITEMS", 7)
+    again, same = m.encode(texts)
+    assert np.array_equal(ids, again) and np.array_equal(counts, same) and m.decode(again, same).equals(whole)
+
+
+def test_a_slice_of_distinct_words_needs_bounded_memory():
+    m, rng = sentencepiece_bpe.model(tokenizer_path(PIECE_MODEL)), random.Random(5)
+    texts = pa.array([" ".join("".join(rng.choices("aeinorst", k=7)) for _ in range(2_600)) for _ in range(100)])  # 2 MB
+    m.encode(texts)  # verdicts on pairs are kept
+    tracemalloc.start()
+    try:
+        m.decode(*m.encode(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 110 << 20
