@@ -15,7 +15,7 @@ Vectors that are null, empty or hold null or non-finite entries are left out. Th
 most rows have, the smaller of equally frequent ones; other lengths are left out. Each row counts, equal ones and those
 without an id too. Directions without variance (eigenvalue at rounding level) cannot be scaled to unit variance
 and give no component, so that equal vectors alone, one vector or an empty table give no rows. Entries of 2^42 or more
-raise an error, and so do deviations beyond 64 bits. Extra columns are left out.
+raise an error, and so do n times an x of 2^62 or more and deviations beyond 38 digits. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ INNER = 3               # steps of MINRES in a round
 ROUNDS = 200
 EPS = float(np.finfo(np.float64).eps)
 SHIFT = 100_000
+EXACT = pa.decimal128(38, 0)
 BLOCKS = "dim int, many long, width int, ids array<long>, x binary, sums binary"
 
 
@@ -225,10 +226,24 @@ def leading_pairs(product: Callable[[np.ndarray], np.ndarray], dim: int, k: int,
 
 # --- whitening ---
 
+def square_sums(whole: np.ndarray) -> pa.Array:
+    """The sum of squares of every row, exact: products of parts of 21 bits where 64 bits may not hold it."""
+    size = np.abs(whole)
+    if int(size.max()) ** 2 * whole.shape[1] < 1 << 63:
+        return pa.array((whole * whole).sum(axis=1)).cast(EXACT)
+    parts = [size >> 21 * k & (1 << 21) - 1 for k in range(3)]
+    products = [sum((parts[i] * parts[k - i]).sum(axis=1) for i in range(3) if 0 <= k - i < 3) for k in range(5)]
+    sums = sum(p.astype(object) << 21 * k for k, p in enumerate(products))
+    if sums.max() >= 10 ** 38:
+        raise OverflowError("a deviation is beyond 38 digits")
+    return pa.array(sums.tolist(), EXACT)
+
+
 def whitened(rows: DataFrame, components: int = 8) -> DataFrame:
     """One row for each usable vector and component: vec_id, component (from 1), n, deviation, whitened, explained,
-    identity_error (see the contract of the query). Every direction is turned so that its largest entry is positive."""
-    schema = ("vec_id long, component int, n long, deviation long, whitened double, explained double, "
+    identity_error (see the contract of the query). The deviation, which grows with the square of n, is a decimal.
+    Every direction is turned so that its largest entry is positive."""
+    schema = ("vec_id long, component int, n long, deviation decimal(38,0), whitened double, explained double, "
               "identity_error double")
     spark = rows.sparkSession
     with Scratch(spark) as tables:
@@ -251,12 +266,11 @@ def whitened(rows: DataFrame, components: int = 8) -> DataFrame:
             for batch in batches:
                 for ids, width, raw in zip(batch.column("ids"), batch.column("width").to_pylist(), batch.column("x"), strict=True):
                     whole = own.deviations(width, raw.as_buffer())
-                    if float(np.abs(whole).max()) ** 2 * own.dim >= 2.0 ** 63:
-                        raise OverflowError("a deviation is beyond 64 bits")
                     m = len(whole)
+                    each = pa.array(np.repeat(np.arange(m), k))
                     yield pa.record_batch([
-                        ids.values.take(pa.array(np.repeat(np.arange(m), k))), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)),
-                        pa.array(np.full(m * k, own.n)), pa.array(np.repeat((whole * whole).sum(axis=1), k)),
+                        ids.values.take(each), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)),
+                        pa.array(np.full(m * k, own.n)), square_sums(whole).take(each),
                         pa.array(((whole / own.n) @ scale).ravel()), pa.array(np.tile(explained, m)), pa.array(np.full(m * k, error))],
                         names=["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"])
 

@@ -109,7 +109,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jacobi_davidson.whitened(table(spark, sf_dir, "embeddings"), components=8)
+    """A deviation that 64 bits cannot hold (unit vectors: from about 2.8 million on) is null as a long, deviation_exact has it whole."""
+    done = jacobi_davidson.whitened(table(spark, sf_dir, "embeddings"), components=8)
+    return done.select(
+        "vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained",
+        "identity_error", F.col("deviation").alias("deviation_exact"))
 
 
 def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,6 +214,33 @@ def test_whitening_odd_tables(spark, monkeypatch):
         jacobi_davidson.whitened(spark.createDataFrame([(1, [1e300]), (2, [1.0])], "vec_id long, embedding array<double>")).collect()
 
 
+@pytest.mark.parametrize("size", [2500, 7400])
+def test_op12_deviations_around_64_bits(spark, tmp_path, size):
+    """64 squares of the largest entry would be beyond 64 bits; at 7400 some deviations are, at 2500 none."""
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(np.random.default_rng(9).normal(size=(50, 64)) * size)]
+    exact = brute_whitening(rows)[1]
+    assert (0 < sum(d >= 1 << 63 for d in exact) < 50) if size == 7400 else max(exact) < 1 << 63
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["op12_whitening"](spark, str(tmp_path))
+    assert dict(got.dtypes)["deviation"] == "bigint"
+    got = got.collect()
+    assert len(got) == 50 * 8 and all(r["deviation_exact"] == exact[r["vec_id"]] for r in got)
+    assert all(r["deviation"] == (exact[r["vec_id"]] if exact[r["vec_id"]] < 1 << 63 else None) for r in got)
+    check_whitening(rows, jacobi_davidson.whitened(table).collect())
+
+
+def test_square_sums_are_exact():
+    rng = np.random.default_rng(4)
+    for bits in (3, 28, 29, 31, 45, 59):
+        whole = rng.integers(-(1 << bits), 1 << bits, size=(50, 64))
+        whole[3] = -(1 << bits)
+        want = (whole.astype(object) ** 2).sum(axis=1).tolist()
+        assert [int(s) for s in jacobi_davidson.square_sums(whole).to_pylist()] == want
+    with pytest.raises(OverflowError, match="38 digits"):
+        jacobi_davidson.square_sums(np.full((1, 64), 1 << 62))
+
+
 @pytest.mark.parametrize(("dim", "k", "spread"), [(1, 8, 0), (5, 8, 1), (64, 8, 0), (64, 8, 3), (250, 8, 1), (400, 3, 0)])
 def test_leading_pairs_against_eigh(dim, k, spread):
     rng = np.random.default_rng(dim + spread)
